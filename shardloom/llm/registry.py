@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, mixing
 
-QUERIES = {"op1_exact_dedup": exact_dedup.query}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.query,
+    "op3_source_mixing": mixing.query,
+    "op8_line_dedup": line_dedup.query,
+}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
