@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing
+from . import exact_dedup, line_dedup, mixing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_quality_fm": quality.query,
     "op3_source_mixing": mixing.query,
     "op8_line_dedup": line_dedup.query,
 }
