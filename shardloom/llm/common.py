@@ -114,3 +114,40 @@ def shingle_hashes(data: bytes, n: int) -> np.ndarray:
         if m < n:
             h = mix64(h + np.uint64(m))
     return np.unique(h)
+
+
+def batch_shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, end to end, with the offsets where each text's begin (one more at
+    the end). Equal to :func:`shingle_hashes` text by text, but hashed in one pass over all of them."""
+    sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+    data = b" ".join(texts)
+    a = _FOLD[np.frombuffer(data, dtype=np.uint8)] if data else np.empty(0, dtype=np.uint8)
+    word = ~_WORD_SEP[a]
+    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    begin, end = edge[::2], edge[1::2]
+    bounds = np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]))
+    if len(begin):
+        length = end - begin
+        first = np.cumsum(length) - length
+        at = np.arange(int(length.sum())) - np.repeat(first, length)
+        with np.errstate(over="ignore"):
+            w = mix64(np.add.reduceat((a[word].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()) + 1)[at], first) + length.astype(np.uint64) * _MUL)
+            h = np.zeros(max(0, len(w) - n + 1), dtype=np.uint64)
+            for i in range(n):
+                h = mix64(h * _MUL + w[i : i + len(h)] + np.uint64(i + 1))
+    parts, lens = [], np.zeros(len(texts) + 1, dtype=np.int64)
+    for d, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        if hi - lo >= n:
+            s = h[lo : hi - n + 1].copy()
+            s.sort()
+            keep = np.empty(len(s), dtype=bool)
+            keep[0] = True
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            s = s[keep]
+        elif hi > lo:
+            s = shingle_hashes(texts[d], n)
+        else:
+            continue
+        parts.append(s)
+        lens[d + 1] = len(s)
+    return (np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)), np.cumsum(lens)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, quality
+from . import exact_dedup, line_dedup, mixing, near_dedup, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_quality_fm": quality.query,
     "op3_source_mixing": mixing.query,
+    "op6_near_dedup": near_dedup.query,
     "op8_line_dedup": line_dedup.query,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
