@@ -79,12 +79,12 @@ def sainte_lague(seats: int, votes: np.ndarray, caps: np.ndarray) -> np.ndarray:
     return q
 
 
-def _dealt(df: DataFrame, source_col: str, id_col: str, text_col: str, seed: int, block: int, epochs: int) -> DataFrame:
-    """Each row with size, source_size, target and what the mix takes: ``passes`` whole and the run's two pieces."""
+def _dealt(df: DataFrame, source_col: str, id_col: str, text_col: str, seed: int, block: int, epochs: int, carry: list[str]) -> DataFrame:
+    """Each row (its columns ``carry``) with size, source_size, target and what the mix takes: ``passes`` whole and the run's two pieces."""
     spark = df.sparkSession
     body = F.btrim(text_of(text_col), F.lit(WS_CHARS))
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
         F.col(source_col).cast("string").alias("src"),
         F.when(body == "", 0).otherwise(F.size(F.split(body, f"[{WS}]+"))).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), text_of(text_col)).alias("order"),
@@ -140,7 +140,7 @@ def mix(
 ) -> DataFrame:
     """Per row: ``id_col``, size, source_size, target and taken (words the mix takes, repeats counted)."""
     light = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    out = _dealt(light, "source", "id", "text", seed, block, epochs)
+    out = _dealt(light, "source", "id", "text", seed, block, epochs, ["id"])
     return out.select(F.col("row.id").alias(id_col), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
@@ -152,7 +152,7 @@ def mix_rows(
 
     A piece of the whole text is the text as it is; a shorter one its words joined by single spaces.
     """
-    d = _dealt(df, source_col, id_col, text_col, seed, block, epochs)
+    d = _dealt(df, source_col, id_col, text_col, seed, block, epochs, df.columns)
     text = text_of(f"row.{text_col}")
     words = F.split(F.btrim(text, F.lit(WS_CHARS)), f"[{WS}]+")
     piece = lambda k: F.when(F.col(f"{k}_n") == F.col("size"), text).otherwise(
