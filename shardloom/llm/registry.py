@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, pieces, quality
+from . import exact_dedup, line_dedup, mixing, near_dedup, pieces, quality, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_quality_fm": quality.query,
     "op3_source_mixing": mixing.query,
+    "op4_warc_zip": warc.query,
     "op6_near_dedup": near_dedup.query,
     "op7_sentencepiece": pieces.query,
     "op8_line_dedup": line_dedup.query,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_warc_zip": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
