@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, flac, line_dedup, mixing, near_dedup, pieces, quality, warc
+from . import exact_dedup, flac, line_dedup, mixing, near_dedup, pieces, pii, quality, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.query,
     "op7_sentencepiece": pieces.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_pii_crf": pii.query,
     "op10_flac": flac.query,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_warc_zip": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
