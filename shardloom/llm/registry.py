@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, flac, line_dedup, mixing, near_dedup, pieces, pii, quality, warc
+from . import exact_dedup, flac, line_dedup, mixing, near_dedup, pieces, pii, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op2_quality_fm": quality.query,
     "op3_source_mixing": mixing.query,
     "op4_warc_zip": warc.query,
+    "op5_suffix_array": substring_dedup.query,
     "op6_near_dedup": near_dedup.query,
     "op7_sentencepiece": pieces.query,
     "op8_line_dedup": line_dedup.query,
