@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,11 @@ from .common import text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNK_CHARS = 12 << 20
-MEMO = 300_000
+CHUNK_CHARS = 3 << 19
+MEMO = 200_000
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
+MOST_PAIRS = 500_000
 
 
 class PieceModel:
@@ -75,6 +79,8 @@ class PieceModel:
         else:
             self.segment = re.compile("[^\n]+|\n" if self.cuts_lines else "(?s:.+)")
         self.pairs: dict[int, bool] = {}
+        self.slot_key: np.ndarray | None = None
+        self.slot_ok: np.ndarray | None = None
 
     def merge(self, text: str) -> list[str]:
         """Byte-pair merging: the best-scored neighbouring pair first, ties leftmost."""
@@ -126,21 +132,39 @@ class PieceModel:
         return out
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether merging the texts of two pieces gives the two; pieces without id (-1) never merge."""
+        """Whether merging the texts of two pieces gives the two; pieces without id (-1) never merge.
+
+        Answers are kept in a direct-mapped table of ``SLOTS`` pairs, looked up for all edges at once, behind it in a dict.
+        """
         known, n = self.pairs, len(self.pieces)
-        keys = (left.astype(np.int64) * n + right).tolist()
-        out = np.ones(len(keys), dtype=bool)
-        for k in np.flatnonzero((left >= 0) & (right >= 0)).tolist():
-            key = keys[k]
-            ok = known.get(key)
-            if ok is None:
-                a, b = self.pieces[key // n], self.pieces[key % n]
-                ok = known[key] = self.merge(a + b) == [a, b]
-            out[k] = ok
+        if self.slot_key is None:
+            self.slot_key, self.slot_ok = np.full(SLOTS, -1, dtype=np.int64), np.zeros(SLOTS, dtype=bool)
+        keys = left.astype(np.int64) * n + right
+        with np.errstate(over="ignore"):
+            slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        real = (left >= 0) & (right >= 0)
+        out = ~real | self.slot_ok[slot]
+        miss = np.flatnonzero(real & (self.slot_key[slot] != keys))
+        if len(miss):
+            asked, back = np.unique(keys[miss], return_inverse=True)
+            if len(known) > MOST_PAIRS:
+                known.clear()
+            ok = np.zeros(len(asked), dtype=bool)
+            for k, key in enumerate(asked.tolist()):
+                fit = known.get(key)
+                if fit is None:
+                    a, b = self.pieces[key // n], self.pieces[key % n]
+                    fit = known[key] = self.merge(a + b) == [a, b]
+                ok[k] = fit
+            out[miss] = ok[back]
+            self.slot_key[slot[miss]] = keys[miss]
+            # of pairs that share a slot only the last one written stays, and with it its answer
+            stays = self.slot_key[slot[miss]] == keys[miss]
+            self.slot_ok[slot[miss][stays]] = out[miss][stays]
         return out
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pairs": {}}
+        return self.__dict__ | {"pairs": {}, "slot_key": None, "slot_ok": None}
 
 
 def lattice_ids(model: PieceModel, segments: list[str]) -> list[np.ndarray]:
@@ -168,9 +192,13 @@ def lattice_ids(model: PieceModel, segments: list[str]) -> list[np.ndarray]:
     words = np.zeros((m, -(-w // 4) * 4), dtype=">u2")
     words[:, :w] = window
     keys = words.view(">u8").astype(np.uint64)
+    del words
     suffixes = np.lexsort(tuple(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)))
-    ranked = np.ascontiguousarray(window[suffixes]).view(f"S{2 * w}").ravel()
+    del keys
+    ranked = window[suffixes].view(f"S{2 * w}").ravel()
+    del window
     lo, hi = np.searchsorted(ranked, model.low, "left"), np.searchsorted(ranked, model.high, "right")
+    del ranked
     count = hi - lo
     edge_piece = np.repeat(np.arange(len(lo)), count)
     edge_at = suffixes[np.arange(len(edge_piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
@@ -251,14 +279,15 @@ def decode(model: PieceModel, ids: np.ndarray) -> str:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
-        texts = [t.decode("utf-8", "replace") for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+        texts = batch.column("_text").cast(pa.binary())
+        sizes = pa.compute.binary_length(texts).to_pylist()
         at = 0
-        while at < len(texts):
+        while at < len(sizes):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_CHARS):
-                size += len(texts[end])
+            while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK_CHARS):
+                size += sizes[end]
                 end += 1
-            yield batch.slice(at, end - at), texts[at:end]
+            yield batch.slice(at, end - at), [t.decode("utf-8", "replace") for t in texts.slice(at, end - at).to_pylist()]
             at = end
 
 
