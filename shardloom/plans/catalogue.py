@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from . import q_reports, q_sampling, q_sources, q_trials, q_vectors  # noqa: F401  they register on import
+from .registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    """Retrieval metrics of the embedding table."""
+    return QUERIES["retrieval_metrics"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return ORACLES
