@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffle_partitions, text_of, written
+from .common import drop_written, mix64, release, shuffle_partitions, text_of, written
 
 LENGTH = 200
 K = 50
@@ -166,17 +166,12 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             at = end
 
 
-def _release(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now rather than at some later collection."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_bytes, n_removed, n_spans and kept_sha256."""
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(id_col).cast("long").alias("given"), text_of(text_col).cast("binary").alias("body"))
-    docs = docs.withColumn("same", F.xxhash64("body"))
+    docs = docs.withColumn("same", F.hash("body").cast("long"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, "body"):
@@ -184,8 +179,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), batch.column("same").take(pa.array(of)), pa.array(at, pa.int64()), pa.array(h.view(np.int64))], names=["id", "same", "at", "bucket"])
 
     found = written(docs.where(F.octet_length("body") >= LENGTH).select("id", "same", "body").mapInArrow(anchors, "id long, same long, at long, bucket long"), "anchors")
-    often = found.groupBy("bucket").count().where("count > 1").select("bucket")
-    places = found.join(often, "bucket").groupBy("id", "same").agg(F.collect_set("at").alias("places"))
+    # a table of its own, so that both sides of the join are shuffled and Spark can split a hot bucket
+    often = written(found.groupBy("bucket").count().where("count > 1").select("bucket"), "often")
+    release(spark)
+    places = written(found.join(often, "bucket").groupBy("id", "same").agg(F.collect_set("at").alias("places")), "places")
+    drop_written(found)
+    release(spark)
     wanted = docs.select("id", "same", "body").join(places, ["id", "same"])
     schema = "id long, same long, start long, left int, bucket long, digest binary, segment binary"
 
@@ -211,10 +210,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     occurrences = written(wanted.mapInArrow(segments, schema), "segments")
-    _release(spark)
+    release(spark)
     runs = occurrences.where("start >= 0")
     different = written(runs.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("segment").alias("segment")), "buckets")
-    _release(spark)
+    release(spark)
     heavy = written(different.groupBy("bucket").count().where(F.col("count") > HEAVY).select("bucket"), "heavy")
     any_heavy = not heavy.isEmpty()
     light = different.join(heavy, "bucket", "left_anti") if any_heavy else different
@@ -251,7 +250,10 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flagged = light.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, "bucket long, digest binary, spans binary")
     if any_heavy:
         flagged = flagged.union(_by_hashes(different.join(heavy, "bucket", "left_semi"), rows_of))
-    hits = runs.select("id", "same", "start", "bucket", "digest").join(flagged, ["bucket", "digest"])
+    flagged = written(flagged.select("digest", "spans"), "flagged")
+    drop_written(different)
+    release(spark)
+    hits = runs.select("id", "same", "start", "digest").join(flagged, "digest")
     per_doc = hits.groupBy("id", "same").agg(F.collect_set(F.struct("start", "spans")).alias("hits"))
     bodies = occurrences.where("start = -1").select("id", "same", F.col("segment").alias("body"))
 
