@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, WS_CHARS, text_of
+from .common import LOWER, UPPER, WS_CHARS, text_of, written
 
 NULL_ID = -(2**63)
 
@@ -38,11 +38,13 @@ def line_dedup(
         .where(F.char_length("key") >= min_chars)
         .select("id", "same", "pos", F.unhex(F.md5("key")).alias("h"))
     )
-    common = (
+    # a table of its own, so that both sides of the join are shuffled and Spark can split a hot line
+    common = written(
         lines.groupBy("h")
         .agg(F.count_distinct("id").alias("n"), F.max("id").alias("holder"))
         .where(F.col("n") >= min_docs)
-        .select("h", "holder")
+        .select("h", "holder"),
+        "lines",
     )
     drops = (
         lines.join(common, "h")
