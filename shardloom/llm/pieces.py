@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import text_of, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -279,7 +279,7 @@ def decode(model: PieceModel, ids: np.ndarray) -> str:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
-        texts = batch.column("_text").cast(pa.binary())
+        texts = batch.column(batch.num_columns - 1).cast(pa.binary())
         sizes = pa.compute.binary_length(texts).to_pylist()
         at = 0
         while at < len(sizes):
@@ -306,7 +306,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str = MODEL, ids_c
             made = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], made], names=[*[f.name for f in kept], ids_col])
 
-    return df.select(*[F.col(f"`{f.name}`") for f in kept], text_of(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{f.name}`") for f in kept], text_of(text_col).alias(unused(df, "_text"))).mapInArrow(run, schema)
 
 
 def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
@@ -329,7 +329,7 @@ def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2 + [pa.bool_()], strict=True)]], names=names)
 
     schema = T.StructType([df.schema[id_col], *[T.StructField(n, T.LongType()) for n in names[1:4]], *[T.StructField(n, T.StringType()) for n in names[4:6]], T.StructField(names[6], T.BooleanType())])
-    return df.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col), text_of(text_col).alias(unused(df, "_text"))).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -148,7 +148,7 @@ class Graph:
                         if key in seen and (seen[key], i) not in chain[-1:]:
                             skip.append((seen[key], i))
                         seen[key] = i
-        self.x = np.array(rows, dtype=np.int64).reshape(len(rows), -1)
+        self.x = np.array(rows, dtype=np.int64) if rows else np.empty((0, 1), dtype=np.int64)
         self.chain = np.array(chain, dtype=np.int64).reshape(-1, 2)
         self.skip = np.array(sorted(set(skip)), dtype=np.int64).reshape(-1, 2)
 

@@ -70,7 +70,7 @@ class ZipArchive:
         tail_at = max(0, size - 65_557)
         tail = read_range(tail_at, size - tail_at)
         end = tail.rfind(_EOCD)
-        while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
+        while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
             end = tail.rfind(_EOCD, 0, end + 3) if end else -1
         if end < 0:
             raise ValueError("no end of central directory")
@@ -181,6 +181,7 @@ def write_archives(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ).withColumns({"sha1": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
     light = pages.select("id", "sha1", "n").where(F.col("n") >= min_bytes)
     shared = light.groupBy("sha1", "n").agg(F.max("id").alias("holder"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and holder is not null").select("sha1", "n", "holder")
+    shared = written(shared, "digests")  # so that both sides of the join are shuffled and Spark can split a hot digest
     chosen = pages.join(shared, ["sha1", "n"], "left").select("id", "url", "sha1", "n", F.when(~F.col("id").eqNullSafe(F.col("holder")), F.col("holder")).alias("refers_to"), "payload")
     chosen = chosen.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
 
