@@ -44,5 +44,5 @@ def first_token(line: Column, suffixes: list[str]) -> Column:
 
 def cell(c: Column, kind: str) -> Column:
     """A Markdown cell: four decimals for fractions, empty for null, pipes escaped."""
-    text = F.format_string("%.4f", c.cast("double")) if kind in ("double", "float") else c.cast("string")
+    text = F.when(c.isNotNull(), F.format_string("%.4f", c.cast("double"))) if kind in ("double", "float") else c.cast("string")
     return F.coalesce(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit(""))
