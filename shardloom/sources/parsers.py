@@ -57,3 +57,22 @@ def integrity(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has: (key, missing_in); must be empty."""
     x, y = a.select(key).distinct(), b.select(key).distinct()
     return x.join(y, key, "left_anti").withColumn("missing_in", F.lit("right")).unionByName(y.join(x, key, "left_anti").withColumn("missing_in", F.lit("left")))
+
+
+def resolved(df: DataFrame, name: str, listing: DataFrame, path: str, roots: list[str]) -> DataFrame:
+    """Adds ``path``: the first root under which the listing has the name; null if none has."""
+    tries = df.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(len(roots) - 1)))).withColumn("_full", F.concat(F.array(*[F.lit(r) for r in roots])[F.col("_try")], F.col(name)))
+    there = listing.select(F.col(path).alias("_there")).distinct()
+    found = tries.join(there, F.col("_full") == F.col("_there")).groupBy(name).agg(F.min_by("_full", "_try").alias("path"))
+    return df.join(found, name, "left")
+
+
+def header_check(rows: DataFrame, stated: int) -> DataFrame:
+    """(rows, header_ok): whether a file's stated number of rows is the one it has."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), (F.count(F.lit(1)) == stated).alias("header_ok"))
+
+
+def product_list(lines: DataFrame, value: str = "value") -> DataFrame:
+    """``image class superclass path`` rows; the superclass is named by the path's first part without ``_final``."""
+    p = F.split(F.trim(value), r"\s+")
+    return lines.where(p[0].rlike("^[0-9]+$")).select(p[0].cast("long").alias("image_id"), p[1].cast("long").alias("class_id"), p[2].cast("long").alias("super_class_id"), F.regexp_replace(F.split(p[3], "/")[0], "_final$", "").alias("superclass"))

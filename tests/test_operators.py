@@ -197,3 +197,42 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r["run"], r["epoch"], r["best"], r["stopped"]) for r in spark.table("stops").collect())
     assert got == [("r", 0, 0.5, False), ("r", 1, 0.5, False), ("r", 2, 0.5, True), ("s", 0, 0.1, False)]
+
+
+def test_config(tmp_path):
+    from shardloom.plans import config
+
+    made, extra = config.load(config.LabelConfig, {"mode": "class_subset_k_shot", "k": 3})
+    assert made.k == 3 and not extra
+    with pytest.raises(ValueError, match="unknown keys: nope"):
+        config.load(config.LabelConfig, {"nope": 1})
+    assert config.load(config.LabelConfig, {"nope": 1}, lenient=True)[1] == ["nope"]
+    for bad in ({"mode": "x"}, {"fraction": 0}, {"mode": "class_subset_k_shot"}, {"threshold": 2}, {"validation_mode": "x"}, {"k": 0}):
+        with pytest.raises(ValueError):
+            config.load(config.LabelConfig, bad)
+    assert config.canonical_name("cars 196", {"Cars-196": "Cars196"}) == "Cars196"
+    with pytest.raises(ValueError):
+        config.canonical_name("x", {"a": "A"})
+    config.fraction_protocol(0.5, 0.5)
+    with pytest.raises(ValueError):
+        config.fraction_protocol(0.6, 0.5)
+    assert config.space({"type": "int", "low": 1, "high": 3})
+    for bad in ({"type": "categorical"}, {"type": "float", "low": 2, "high": 1}, {"type": "float", "low": 0, "high": 1, "log": True}, {"type": "x"}):
+        with pytest.raises(ValueError):
+            config.space(bad)
+
+
+def test_ready(spark, sf_dir):
+    from shardloom.plans import config
+
+    assert config.ready(spark, sf_dir, ["nation", "nowhere"]) == ["nowhere"]
+
+
+def test_two_stream(spark):
+    from shardloom.operators import batches
+
+    df = frame(spark, [(i, i % 6) for i in range(90)], "s long, l long")
+    got = batches.two_stream(df.where("s < 60"), df.where("s >= 60"), "s", "l", 1, 3, 8, 4, 4).toPandas()
+    assert len(got) == 36 and (got.groupby("batch").slot.nunique() == 12).all()
+    assert (got[got.stream == "pseudo"].slot < 8).all() and (got[got.stream == "true"].slot >= 8).all()
+    assert (got[got.stream == "pseudo"].groupby(["batch", "l"]).size() == 4).all()
