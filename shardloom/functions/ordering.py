@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 4096
+
 
 def order_key(seed: int, column: Column | str, tag: str = "") -> Column:
     """``md5('seed:tag:value')``: sorting by it is a shuffle that any engine can repeat."""
     return F.md5(F.concat(F.lit(f"{seed}:{tag}"), F.col(column).cast("string") if isinstance(column, str) else column.cast("string")))
+
+
+def positioned(df: DataFrame, bucket: Column, order: list, name: str) -> DataFrame:
+    """Adds the position (from 0) in a total order without sorting all rows in one task.
+
+    ``bucket`` must not decrease along ``order`` and takes at most some thousand values: rows are ranked in their bucket,
+    whose offset comes from the table of bucket sizes.
+    """
+    marked = df.withColumn("_bucket", bucket)
+    sizes = marked.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
+    return marked.join(F.broadcast(offsets), "_bucket").withColumn(name, (rank + F.col("_offset")).cast("long")).drop("_bucket", "_offset")
+
+
+def hash_positioned(df: DataFrame, key: Column, ties: list, name: str) -> DataFrame:
+    """Position by an MD5 key, bucketed by its first three digits."""
+    return positioned(df.withColumn("_key", key), F.substring("_key", 1, 3), ["_key", *ties], name).drop("_key")
+
+
+def id_positioned(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Position by a whole-number id, bucketed by equal ranges of it."""
+    r = df.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
+    low, width = r["a"] or 0, max(1, -(-((r["b"] or 0) - (r["a"] or 0) + 1) // BUCKETS))
+    return positioned(df, F.floor((F.col(id_col) - low) / width), [id_col], name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_key
+from ..functions.ordering import hash_positioned, order_key
 from .views import ring_batches
 
 
@@ -19,8 +19,7 @@ def two_stream(pseudo: DataFrame, true: DataFrame, sample: str, label: str, seed
 def neighbour_batches(near: DataFrame, seed: int, queries: int) -> DataFrame:
     """Batches of ``queries`` shuffled query rows, each followed by its neighbours: (batch, query_id, member, place)."""
     ids = near.select("query_id").distinct()
-    n = F.row_number().over(Window.orderBy(order_key(seed, "query_id"), "query_id")) - 1
-    plan = ids.select("query_id", F.floor(n / queries).cast("long").alias("batch"))
+    plan = hash_positioned(ids, order_key(seed, "query_id"), ["query_id"], "_i").select("query_id", F.floor(F.col("_i") / queries).cast("long").alias("batch"))
     own = plan.select("batch", "query_id", F.col("query_id").alias("member"), F.lit(0).cast("long").alias("place"))
     return own.unionByName(near.join(plan, "query_id").select("batch", "query_id", F.col("ref_id").alias("member"), F.col("rank").alias("place")))
 
@@ -29,8 +28,8 @@ def edge_batches(edges: DataFrame, seed: int, size: int) -> DataFrame:
     """Undirected edges in shuffled order, ``size`` to a batch: (batch, position, src, dst)."""
     half = edges.where("src < dst")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("src").cast("string"), F.lit("-"), F.col("dst").cast("string")))
-    n = F.row_number().over(Window.orderBy(key, "src", "dst")) - 1
-    return half.select(F.floor(n / size).cast("long").alias("batch"), (n % size).cast("long").alias("position"), "src", "dst")
+    n = F.col("_i")
+    return hash_positioned(half, key, ["src", "dst"], "_i").select(F.floor(n / size).cast("long").alias("batch"), (n % size).cast("long").alias("position"), "src", "dst")
 
 
 def reference_batches(df: DataFrame, sample: str, label: str, seed: int, batches: int, draws: int) -> DataFrame:

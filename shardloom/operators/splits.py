@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_key
+from ..functions.ordering import hash_positioned, id_positioned, order_key
 from .sampling import class_order, ranked
 
 
@@ -43,12 +43,11 @@ def post_apportion(tagged: DataFrame, sample: str, label: str, seed: int, ratio:
 def kfold(df: DataFrame, sample: str, seed: int, k: int) -> DataFrame:
     """Contiguous blocks of the shuffled rows; the first ``rows mod k`` folds have one more."""
     n = df.count()
-    w = Window.orderBy(order_key(seed, sample), sample)
     base, more = divmod(n, k)
-    i = F.col("_i") - 1
+    i = F.col("_i")
     head = more * (base + 1)
     fold = F.when(i < head, F.floor(i / (base + 1))).otherwise(more + F.floor((i - head) / max(1, base)))
-    return df.withColumn("_i", F.row_number().over(w)).select(sample, fold.cast("long").alias("fold"))
+    return hash_positioned(df, order_key(seed, sample), [sample], "_i").select(sample, fold.cast("long").alias("fold"))
 
 
 def stratified_kfold(df: DataFrame, sample: str, label: str, seed: int, k: int) -> DataFrame:
@@ -129,7 +128,7 @@ def mapped_or(df: DataFrame, mapper: DataFrame, label: str, absent: int = -1) ->
 
 def remapped(df: DataFrame, kept: DataFrame, sample: str) -> DataFrame:
     """New positions (from 0) of the surviving rows among ``kept``."""
-    new = kept.select(sample, (F.row_number().over(Window.orderBy(sample)) - 1).cast("long").alias("position"))
+    new = id_positioned(kept.select(sample), sample, "position")
     return df.select(sample).join(new, sample)
 
 

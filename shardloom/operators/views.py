@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_key
+from ..functions.ordering import id_positioned, order_key
 
 
 def concatenated(parts: list[tuple[str, DataFrame]], id_col: str) -> DataFrame:
@@ -14,8 +14,7 @@ def concatenated(parts: list[tuple[str, DataFrame]], id_col: str) -> DataFrame:
     for name, df in parts:
         n = df.count()
         one = df.select(F.lit(name).alias("source"), F.col(id_col).cast("long").alias("local_id"))
-        w = Window.orderBy("local_id")
-        one = one.withColumn("global_id", (F.row_number().over(w) - 1 + offset).cast("long"))
+        one = id_positioned(one, "local_id", "global_id").withColumn("global_id", F.col("global_id") + offset)
         out, offset = one if out is None else out.unionByName(one), offset + n
     return out
 
@@ -40,8 +39,8 @@ def regrouped(views: DataFrame, sample: str, view: str, value: str, label: str)
 def joint_space(unlabeled: DataFrame, references: DataFrame, sample: str) -> DataFrame:
     """Unlabeled rows first, references offset by their number: (joint_id, sample, role)."""
     n = unlabeled.count()
-    rank = (F.row_number().over(Window.orderBy(sample)) - 1).cast("long")
-    return unlabeled.select(rank.alias("joint_id"), sample, F.lit(0).cast("long").alias("role")).unionByName(references.select((rank + n).alias("joint_id"), sample, F.lit(1).cast("long").alias("role")))
+    a, b = (id_positioned(d.select(sample), sample, "joint_id") for d in (unlabeled, references))
+    return a.select("joint_id", sample, F.lit(0).cast("long").alias("role")).unionByName(b.select((F.col("joint_id") + n).alias("joint_id"), sample, F.lit(1).cast("long").alias("role")))
 
 
 def ring_batches(df: DataFrame, sample: str, label: str, seed: int, batches: int, classes: int, m: int) -> DataFrame:
