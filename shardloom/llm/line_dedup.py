@@ -38,13 +38,14 @@ def line_dedup(
         .where(F.char_length("key") >= min_chars)
         .select("id", "same", "pos", F.unhex(F.md5("key")).alias("h"))
     )
+    lines = written(lines, "lines")  # read twice below; texts are split and normalised once
     # a table of its own, so that both sides of the join are shuffled and Spark can split a hot line
     common = written(
         lines.groupBy("h")
         .agg(F.count_distinct("id").alias("n"), F.max("id").alias("holder"))
         .where(F.col("n") >= min_docs)
         .select("h", "holder"),
-        "lines",
+        "common",
     )
     drops = (
         lines.join(common, "h")
