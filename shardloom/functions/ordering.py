@@ -37,3 +37,19 @@ def id_positioned(df: DataFrame, id_col: str, name: str) -> DataFrame:
     r = df.agg(F.min(id_col).alias("a"), F.max(id_col).alias("b")).first()
     low, width = r["a"] or 0, max(1, -(-((r["b"] or 0) - (r["a"] or 0) + 1) // BUCKETS))
     return positioned(df, F.floor((F.col(id_col) - low) / width), [id_col], name)
+
+
+def group_positioned(df: DataFrame, group: str, key: Column, ties: list, rank: str, size: str) -> DataFrame:
+    """Adds the rank (from 1) by an MD5 key within ``group`` and the group's size.
+
+    A group is ranked in 256 parts by the key's first two digits, with offsets from the table of part sizes, so that a
+    group with a third of all rows isn't one task's sort.
+    """
+    marked = df.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 2))
+    sizes = marked.groupBy(F.col(group).alias("_g"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_g", "_p", before.alias("_offset"), F.sum("_n").over(w).alias(size))
+    joined = marked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    inner = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_key", *ties))
+    return joined.withColumn(rank, (inner + F.col("_offset")).cast("long")).drop("_key", "_part", "_g", "_p", "_offset")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import hash_positioned, order_key
+from ..functions.ordering import group_positioned, hash_positioned, order_key
 from .views import ring_batches
 
 
@@ -34,8 +34,7 @@ def edge_batches(edges: DataFrame, seed: int, size: int) -> DataFrame:
 
 def reference_batches(df: DataFrame, sample: str, label: str, seed: int, batches: int, draws: int) -> DataFrame:
     """Every class in every batch, ``draws`` rows each, cycling through its shuffled rows: (batch, label, draw, sample)."""
-    w = Window.partitionBy(label)
-    rows = df.select(label, sample, (F.row_number().over(w.orderBy(order_key(seed, sample), sample)) - 1).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    rows = group_positioned(df.select(label, sample), label, order_key(seed, sample), [sample], "_r", "_n").withColumn("_r", F.col("_r") - 1)
     grid = rows.select(label, "_n").distinct().withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     need = grid.withColumn("_r", F.pmod(F.col("batch") * draws + F.col("draw"), F.col("_n")))
     return need.join(rows.drop("_n"), [label, "_r"]).select(F.col("batch").cast("long"), label, F.col("draw").cast("long"), sample)

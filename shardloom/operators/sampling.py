@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import order_key
+from ..functions.ordering import group_positioned, order_key
 
 
 def ranked(df: DataFrame, sample: str, label: str, seed: int) -> DataFrame:
     """Adds the row's shuffled rank in its class (from 1) and the class size."""
-    w = Window.partitionBy(label)
-    return df.withColumns({
-        "class_rank": F.row_number().over(w.orderBy(order_key(seed, sample), sample)).cast("long"),
-        "class_size": F.count(F.lit(1)).over(w),
-    })
+    return group_positioned(df, label, order_key(seed, sample), [sample], "class_rank", "class_size")
 
 
 def class_order(df: DataFrame, label: str, seed: int) -> DataFrame:

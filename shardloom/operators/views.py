@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import id_positioned, order_key
+from ..functions.ordering import group_positioned, id_positioned, order_key
 
 
 def concatenated(parts: list[tuple[str, DataFrame]], id_col: str) -> DataFrame:
@@ -45,8 +45,7 @@ def joint_space(unlabeled: DataFrame, references: DataFrame, sample: str) -> Dat
 
 def ring_batches(df: DataFrame, sample: str, label: str, seed: int, batches: int, classes: int, m: int) -> DataFrame:
     """Batches of ``classes`` shuffled classes with ``m`` rows each, cycling through a class: (batch, slot, label, sample)."""
-    w = Window.partitionBy(label)
-    rows = df.select(label, sample, (F.row_number().over(w.orderBy(order_key(seed, sample), sample)) - 1).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    rows = group_positioned(df.select(label, sample), label, order_key(seed, sample), [sample], "_r", "_n").withColumn("_r", F.col("_r") - 1)
     grid = df.select(label).distinct().withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
     key = F.md5(F.concat(F.lit(f"{seed}:batch:"), F.col("batch").cast("string"), F.lit(":"), F.col(label).cast("string")))
     chosen = grid.withColumn("_c", F.row_number().over(Window.partitionBy("batch").orderBy(key, label)) - 1).where(F.col("_c") < classes)
