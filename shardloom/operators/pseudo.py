@@ -60,9 +60,18 @@ def auc(df: DataFrame, value: str, correct: str) -> DataFrame:
 
 def calibration(df: DataFrame, value: str, correct: str, sample: str, buckets: int = 10) -> DataFrame:
     """Equal-count buckets ``[floor(b n / B), floor((b + 1) n / B))`` of the sorted rows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    i = F.row_number().over(Window.orderBy(value, sample)) - 1
-    ranked = df.select(value, correct, i.alias("_i"), n.alias("_n")).withColumn("_b", F.least(F.lit(buckets), F.col("_n")))
+    ids = df.agg(F.min(sample).alias("a"), F.max(sample).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    width = max(1, -(-((ids["b"] or 0) - (ids["a"] or 0) + 1) // 256))
+    marked = df.select(value, correct, sample, F.floor((F.col(sample) - (ids["a"] or 0)) / width).alias("_part"))
+    # offsets of values, and of ranges of ids within a value: a value that a third of the rows have is ranked in parts
+    sizes = marked.groupBy(F.col(value).alias("_v"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy("_v").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = sizes.groupBy("_v").agg(F.sum("_c").alias("_t")).select(F.col("_v").alias("_w"), F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_below"))
+    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).join(values, F.col("_v") == F.col("_w")).select("_v", "_p", (F.col("_o") + F.col("_below")).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy(value, "_part").orderBy(sample)) - 1
+    joined = marked.join(offsets, (F.col(value) == F.col("_v")) & (F.col("_part") == F.col("_p"))).withColumn("_i", rank + F.col("_offset"))
+    ranked = joined.select(value, correct, "_i", F.lit(ids["n"]).alias("_n")).withColumn("_b", F.least(F.lit(buckets), F.col("_n")))
     bucket = F.floor(((F.col("_i") + 1) * F.col("_b") - 1) / F.col("_n")).cast("long")
     return ranked.groupBy(bucket.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.min(value), 6).alias("min_conf"), F.round(F.max(value), 6).alias("max_conf"),
