@@ -159,7 +159,7 @@ def _(read):
 @query("calibration_buckets", f"""WITH {_A}, i AS (SELECT *, row_number() OVER (ORDER BY confidence, query_id) - 1 AS i, count(*) OVER () AS n FROM t), b AS (SELECT *, ((i + 1) * 10 - 1) // n AS bucket FROM i)
 SELECT bucket, count(*) AS n, min(confidence) AS min_conf, max(confidence) AS max_conf, round(avg(confidence), 6) AS mean_conf, round(avg(CAST(ok AS INTEGER)), 6) AS accuracy FROM b GROUP BY 1""")
 def _(read):
-    return P.calibration(_judged(read), "confidence", "ok", "query_id")
+    return P.calibration(G._cut(_judged(read)), "confidence", "ok", "query_id")
 
 
 @query("confidence_summary", f"WITH {_V} SELECT count(*) AS n, min(confidence) AS min, quantile_cont(confidence, 0.25) AS p25, median(confidence) AS median, quantile_cont(confidence, 0.75) AS p75, max(confidence) AS max, round(avg(confidence), 6) AS mean, round(stddev_pop(confidence), 6) AS std FROM p")
