@@ -33,6 +33,7 @@ from .components import components
 T = 64
 TREES = 9
 SMALL_NODE = 512
+MATRIX_NODE = 2048
 HEAVY_NODE = 20_000
 MAX_DEPTH = 6
 REPEATS = 4
@@ -97,9 +98,20 @@ def _onehot(n: np.ndarray) -> np.ndarray:
 
 
 def clusters(n: np.ndarray, least: int) -> np.ndarray:
-    """Single-linkage labels by equal nibbles: frontiers are compared with what has not been reached yet."""
+    """Single-linkage labels by equal nibbles: one product for up to ``MATRIX_NODE`` rows, beyond that frontiers are
+    compared with what has not been reached yet."""
     label = np.full(len(n), -1)
     hot, left = _onehot(n), np.arange(len(n))
+    if len(n) <= MATRIX_NODE:
+        near = (hot @ hot.T) >= least
+        for seed in range(len(n)):
+            if label[seed] < 0:
+                label[seed], frontier = seed, near[seed] & (label < 0)
+                frontier[seed] = False
+                while frontier.any():
+                    label[frontier] = seed
+                    frontier = near[frontier].any(axis=0) & (label < 0)
+        return label
     while len(left):
         seed, left = left[0], left[1:]
         label[seed], frontier = seed, np.array([seed])

@@ -111,6 +111,11 @@ def test_near_node_functions():
     n = near_dedup.nibbles(sig)
     assert (near_dedup.unpack(near_dedup.pack(n)) == n).all()
     label = near_dedup.clusters(n, near_dedup.least_agreement(0.8))
+    was, near_dedup.MATRIX_NODE = near_dedup.MATRIX_NODE, 10
+    try:
+        assert near_dedup.clusters(n, near_dedup.least_agreement(0.8)).tolist() == label.tolist()
+    finally:
+        near_dedup.MATRIX_NODE = was
     assert len(set(label)) == 40 and all(len(set(label[k * 30 : k * 30 + 30])) == 1 for k in range(40))
     node = np.zeros(len(n), dtype=np.uint64)
     was, near_dedup.SMALL_NODE = near_dedup.SMALL_NODE, 64
