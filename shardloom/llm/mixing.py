@@ -23,8 +23,8 @@ from .common import WS, WS_CHARS, text_of
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 16
-SHARD_WORDS = 500_000
-MAX_SHARDS = 4096
+SHARD_WORDS = 100_000
+MAX_SHARDS = 65_536
 MAX_SOURCES = 100_000
 
 
@@ -98,8 +98,8 @@ def _dealt(df: DataFrame, source_col: str, id_col: str, text_col: str, seed: int
     seats = sainte_lague(round(sum(sizes) / block), np.array(want), np.array([epochs * n // block for n in sizes]))
     shards = [min(MAX_SHARDS, max(1, -(-n // SHARD_WORDS))) for n in sizes]
     plan = spark.createDataFrame(
-        [(s, n, float(t), int(q), k) for (s, n), t, q, k in zip(found, want, seats, shards, strict=True)],
-        "s string, source_size long, target double, seats long, shards int",
+        [(s, n, float(t), int(q), k, i) for i, ((s, n), t, q, k) in enumerate(zip(found, want, seats, shards, strict=True))],
+        "s string, source_size long, target double, seats long, shards int, no int",
     )
     rows = rows.join(F.broadcast(plan), F.col("src").eqNullSafe(F.col("s"))).withColumn(
         "shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.col("shards")).cast("int")
@@ -109,20 +109,19 @@ def _dealt(df: DataFrame, source_col: str, id_col: str, text_col: str, seed: int
         part = part.sort_values("shard")
         words = part["words"].to_numpy()
         part["quota"] = block * sainte_lague(int(part["seats"].iloc[0]), words, epochs * words // block)
-        return part[["src", "shard", "words", "quota"]]
+        return part[["no", "shard", "words", "quota"]]
 
     quota = (
-        rows.groupBy("src", "shard", "seats")
+        rows.groupBy("no", "shard", "seats")
         .agg(F.sum("size").alias("words"))
-        .groupBy("src")
-        .applyInPandas(quotas, "src string, shard int, words long, quota long")
-        .select(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "words", "quota")
+        .groupBy("no")
+        .applyInPandas(quotas, "no int, shard int, words long, quota long")
     )
-    at = Window.partitionBy("src", "shard").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum("size").over(at))
-    rows = rows.join(quota, F.col("src").eqNullSafe(F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
+    # the join's partitioning serves the window too: one shuffle of the rows
+    at = Window.partitionBy("no", "shard").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(quota, ["no", "shard"]).withColumn("end", F.sum("size").over(at))
     rest = F.when(F.col("words") > 0, F.col("quota") % F.col("words")).otherwise(0)
-    start = F.lit(block) * F.pmod(F.xxhash64(F.lit(seed + 2), "src", "shard"), F.greatest(F.floor(F.col("words") / block), F.lit(1)))
+    start = F.lit(block) * F.pmod(F.xxhash64(F.lit(seed + 2), "no", "shard"), F.greatest(F.floor(F.col("words") / block), F.lit(1)))
     rows = rows.withColumns({
         "passes": F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("long"),
         "rest": rest.cast("long"), "start": start.cast("long"), "begin": F.col("end") - F.col("size"),
