@@ -8,7 +8,7 @@ all segments' lattices, which are sorted by end position and relaxed, all segmen
 For a BPE vocabulary the relaxation keeps, at each position, the one edge that byte-pair merging of the prefix would end
 with: an edge is compatible with the best edge before it if merging the two pieces' texts gives just these two. Pieces
 that merging never yields (unreachable ones) make no edges. Characters without a piece become byte pieces.
-The ids equal those of the reference encoder of the same model file.
+The ids equal those of the sentencepiece library for the same model file.
 
 The model is read on the driver and shipped (its size is fixed). Defined cases: null or empty text has no ids; U+2581 in
 a text decodes to a space, as the format has it; unpaired surrogates are replaced; runs of spaces, whose pieces tie in
