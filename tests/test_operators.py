@@ -236,3 +236,25 @@ def test_two_stream(spark):
     assert len(got) == 36 and (got.groupby("batch").slot.nunique() == 12).all()
     assert (got[got.stream == "pseudo"].slot < 8).all() and (got[got.stream == "true"].slot >= 8).all()
     assert (got[got.stream == "pseudo"].groupby(["batch", "l"]).size() == 4).all()
+
+
+def test_positions(spark):
+    from shardloom.functions import ordering
+
+    rows = [(i * 7 % 500, i % 3 if i % 11 else None) for i in range(500)]
+    df = frame(spark, rows, "s long, l long").repartition(4)
+    got = ordering.id_positioned(df, "s", "p").toPandas()
+    assert (got.sort_values("s").p.to_numpy() == np.arange(500)).all()
+    key = ordering.order_key(5, "s")
+    got = ordering.hash_positioned(df, key, ["s"], "p").toPandas()
+    import hashlib
+
+    want = sorted(range(500), key=lambda s: (hashlib.md5(f"5:{s}".encode()).hexdigest(), s))
+    assert got.sort_values("p").s.tolist() == want
+    got = ordering.group_positioned(df, "l", key, ["s"], "r", "n").toPandas()
+    assert len(got) == 500
+    for label in (0, 1, 2, None):
+        part = got[got.l.isna()] if label is None else got[got.l == label]
+        assert sorted(part.r) == list(range(1, len(part) + 1)) and (part.n == len(part)).all()
+        assert part.sort_values("r").s.tolist() == [s for s in want if s in set(part.s)]
+    assert ordering.id_positioned(df.limit(0), "s", "p").count() == 0
