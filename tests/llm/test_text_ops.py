@@ -180,6 +180,37 @@ def test_belief_propagation_is_exact_on_trees():
     assert np.allclose(p, [joint.sum((1, 2)), joint.sum((0, 2)), joint.sum((0, 1))], atol=2e-3)
 
 
+def test_belief_crosses_long_skip_chains():
+    m = pii.SkipChainCRF()
+    m.skip, m.trained = np.where(np.eye(pii.LABELS) > 0, 2.0, -2.0), True
+    short, long = "1a word 2b", " word ".join(["abc1"] * 25)
+    g = pii.Graph([short, long])
+    first = len(g.x) - 25
+    assert len(g.skip) == 24 and len(g.chain) == 0
+    free = min(set(range(1 << pii.BITS)) - set(g.x.ravel().tolist()))
+    g.x[first] = free
+    m.w[free, 1] = 1
+    p = m.posteriors(g)
+    u, f, b = np.exp(m.w[g.x[first:]].sum(axis=1)), [np.ones(pii.LABELS)], [np.ones(pii.LABELS)]
+    for k in range(24):
+        f.append((f[-1] * u[k]) @ np.exp(m.skip))
+        b.append(np.exp(m.skip) @ (b[-1] * u[24 - k]))
+        f[-1], b[-1] = f[-1] / f[-1].sum(), b[-1] / b[-1].sum()
+    want = np.array(f) * u * np.array(b[::-1])
+    want /= want.sum(axis=1, keepdims=True)
+    assert want[-1, 1] > 0.28 and np.allclose(p[first:], want, atol=5e-3)
+    alone = pii.Graph([long])
+    alone.x[0] = free
+    assert (m.posteriors(alone) == p[first:]).all()
+
+
+def test_training_reads_whole_documents(spark):
+    assert pii._shape("x" * 100 + "-19") == "a-dd" and pii._shape("5" * 100) == "d" * 100
+    rows = [(i, "item 12 of some other words " * 400 + f"and call +1 (286) 555-{1000 + i} now.") for i in range(20)]
+    assert all(pii.base_spans(t) for _, t in rows)
+    assert pii.train(spark.createDataFrame(rows, "doc_id long, text string")).trained
+
+
 def test_pii_edges(docs, none, clashing):
     model = pii.train(none)
     assert not model.trained
