@@ -350,7 +350,7 @@ def _(read):
 
 @query("relaxed_contrastive")
 def _(read):
-    e = _e(read).where("vec_id % 5 = 0")
+    e = _e(read)
     own = e.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("ref_id"), F.lit(1).cast("long").alias("rank"))
     ctx = L.contextual_similarity(own.unionByName(knn(e, e, "embedding", 5).select("query_id", "ref_id", (F.col("rank") + 1).alias("rank"))), 6)
     return L.relaxed_contrastive(L.pair_distances(e, "embedding"), ctx)

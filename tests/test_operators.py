@@ -258,3 +258,27 @@ def test_positions(spark):
         assert sorted(part.r) == list(range(1, len(part) + 1)) and (part.n == len(part)).all()
         assert part.sort_values("r").s.tolist() == [s for s in want if s in set(part.s)]
     assert ordering.id_positioned(df.limit(0), "s", "p").count() == 0
+
+
+def test_relaxed_contrastive_takes_all_rows(spark, sf_dir):
+    from shardloom.plans import catalogue
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").select("embedding").collect()
+    x = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n, d = len(x), 2 - 2 * x @ x.T
+    s = x @ x.T
+    np.fill_diagonal(s, 9)
+    near = np.argsort(-s, axis=1, kind="stable")[:, :6]
+    lists = np.zeros((n, n))
+    np.put_along_axis(lists, near, 1, axis=1)
+    v = lists * lists.T
+    c = v * (v @ v.T) / v.sum(axis=1, keepdims=True)
+    ctx = c[near[:, :3]].sum(axis=1) / 3
+    ctx = (ctx + ctx.T) / 2
+    off = ~np.eye(n, dtype=bool)
+    root = np.sqrt(np.maximum(d, 0))
+    r = root / (root.sum(axis=1, where=off) / (n - 1))[:, None]
+    w = (np.exp(-d) + ctx) / 2
+    want = (w * r**2 + (1 - w) * np.maximum(1 - r, 0) ** 2)[off].mean()
+    assert abs(catalogue.queries()["relaxed_contrastive"](spark, sf_dir).first()["loss"] - want) < 2e-6
