@@ -129,10 +129,20 @@ def _(labeled: DataFrame, unlabeled: DataFrame, config: LabelConfig) -> DataFram
     return out.join(unlabeled.select(F.col("vec_id").alias("node")), "node", "left_semi").select(F.col("node").alias("query_id"), "pred_label", F.least("confidence", F.lit(1.0)).alias("confidence"))
 
 
-def build_training_set(df: DataFrame, config: LabelConfig, sample: str = "vec_id", label: str = "label") -> DataFrame:
-    """The whole build: budget, cap, pseudo-labels by the configured method, filter and rescue, relabelled union."""
-    from ..operators import pseudo, sampling
+def build_sets(df: DataFrame, config: LabelConfig, sample: str = "vec_id", label: str = "label", valid: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The training set and its validation rows (sample, label). The training set is the whole build: budget, holdout
+    after it if configured, cap, pseudo-labels by the configured method, filter and rescue, relabelled union.
 
+    ``all`` keeps the validation rows given; ``match_train`` takes a balanced subset of them, of as many rows and classes
+    as are labelled; ``split_after_apportion`` holds labelled classes out of ``df`` instead and drops their unlabelled rows.
+    """
+    from pyspark.sql import functions as F
+
+    from ..operators import pseudo, sampling, splits
+
+    mode = config.validation_mode
+    if mode == "match_train" and valid is None or mode == "split_after_apportion" and valid is not None:
+        raise ValueError(f"validation rows {'missing' if valid is None else 'given'}: {mode}")
     make = {
         "per_class_min": lambda: sampling.per_class_min(df, sample, label, config.seed, config.fraction, config.k),
         "per_class_imbalanced": lambda: sampling.per_class_imbalanced(df, sample, label, config.seed, config.fraction),
@@ -141,10 +151,24 @@ def build_training_set(df: DataFrame, config: LabelConfig, sample: str = "vec_id
         "class_subset_k_shot": lambda: sampling.class_subset_k_shot(df, sample, label, config.seed, config.fraction, config.k),
     }
     pools = make[config.mode]()
+    if mode == "split_after_apportion":
+        parts = splits.post_apportion(pools, sample, label, config.seed)
+        valid = parts.where("part = 'valid'").select(sample, label)
+        pools = parts.where("part in ('labeled', 'unlabeled')").select(sample, label, F.col("part").alias("pool"))
+    elif mode == "match_train":
+        size = pools.where("pool = 'labeled'").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("classes")).first()
+        valid = sampling.match_train(valid, sample, label, config.seed, size["n"], size["classes"])
+    elif valid is not None:
+        valid = valid.select(sample, label)
     if config.unlabeled_cap is not None:
         pools = sampling.unlabeled_cap(pools, sample, config.seed, config.unlabeled_cap)
     rows = df.join(pools.select(sample, "pool"), sample)
     labeled, unlabeled = rows.where("pool = 'labeled'"), rows.where("pool = 'unlabeled'").drop(label)
     preds = METHODS[config.method](labeled, unlabeled, config)
     kept = pseudo.filter_labels(preds, labeled.select(label).distinct(), config.threshold, config.rescue_classes)
-    return pseudo.relabeled(labeled, kept, sample, label)
+    return pseudo.relabeled(labeled, kept, sample, label), valid
+
+
+def build_training_set(df: DataFrame, config: LabelConfig, sample: str = "vec_id", label: str = "label", valid: DataFrame | None = None) -> DataFrame:
+    """The training set of ``build_sets``."""
+    return build_sets(df, config, sample, label, valid)[0]

@@ -282,3 +282,27 @@ def test_relaxed_contrastive_takes_all_rows(spark, sf_dir):
     w = (np.exp(-d) + ctx) / 2
     want = (w * r**2 + (1 - w) * np.maximum(1 - r, 0) ** 2)[off].mean()
     assert abs(catalogue.queries()["relaxed_contrastive"](spark, sf_dir).first()["loss"] - want) < 2e-6
+
+
+def test_validation_modes(spark):
+    from shardloom.plans import config
+
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 5, (np.eye(8)[i % 5] + rng.normal(scale=0.05, size=8)).tolist()) for i in range(100)]
+    df = frame(spark, rows, "vec_id long, label long, embedding array<double>")
+    more = frame(spark, [(1000 + i, i % 10) for i in range(200)], "vec_id long, label long")
+    build = lambda mode, valid: config.build_sets(df, config.LabelConfig(k=4, seed=7, validation_mode=mode), valid=valid)
+    plain, given = (x.toPandas() for x in build("all", more))
+    assert len(plain) == 100 and len(given) == 200
+    train, valid = (x.toPandas() for x in build("match_train", more))
+    assert len(train) == 100 and len(valid) == 20 and (valid.groupby("label").size() == 4).all() and valid.label.nunique() == 5
+    train, valid = (x.toPandas() for x in build("split_after_apportion", None))
+    assert len(valid) == 4 and valid.label.nunique() == 1  # the labelled rows of one class of five
+    held = valid.label.iloc[0]
+    assert (train.provenance == "true").sum() == 16 and held not in set(train.label)
+    assert set(train.sample_id) == {i for i in range(100) if i % 5 != held}
+    small = config.build_training_set(df, config.LabelConfig(k=4, seed=7, validation_mode="split_after_apportion"))
+    assert small.count() == 80
+    for mode, rows in (("match_train", None), ("split_after_apportion", more)):
+        with pytest.raises(ValueError, match="validation rows"):
+            build(mode, rows)
