@@ -99,6 +99,23 @@ def test_streams_round_trip():
         assert flac.read_samples(y, len(x) - 16, 16) == x[-16:] and flac.read_samples(y, 100, 20) == x[100:120]
 
 
+def test_tails_by_seek():
+    p = payloads()
+    m = flac.encode(p)
+    assert flac.tails(m, 16) == [x[-16:] for x in p] and flac.tails(m, 192) == [x[-192:] for x in p]
+    assert all(flac.tails([y], 16) == [x[-16:]] for x, y in zip(p, m))
+    rng = np.random.default_rng(6)
+    long = rng.integers(0, 256, 192 * 100, dtype=np.uint8).tobytes()
+    data = bytearray(flac.encode([long])[0])
+    data[flac.Stream(bytes(data)).frames + 60] ^= 4  # a frame before the last seek point is not read
+    assert flac.tails([bytes(data), m[1]], 16) == [long[-16:], p[1][-16:]]
+    with pytest.raises(ValueError):
+        flac.decode([bytes(data)])
+    data[-20] ^= 4
+    with pytest.raises(ValueError):
+        flac.tails([bytes(data)], 16)
+
+
 def test_corruption_is_found():
     m = flac.encode([payloads()[4]])[0]
     at = flac.Stream(m).frames
@@ -179,6 +196,15 @@ def test_other_subframes(kind):
     assert flac.decode([data, flac.encode([payload])[0]]) == [payload, payload]
 
 
+def test_tails_of_another_make():
+    s = (np.arange(192) % 7).tolist()
+    pcm = s * 3
+    frames = [lpc_frame(s, [14, -7], 3, k, parts=2 * (k == 2)) for k in range(3)]
+    payload = bytes(x + 128 for x in pcm)
+    data = flac._header(payload, np.array([len(f) for f in frames])) + b"".join(frames)
+    assert flac.tails([data, flac.encode([payload])[0]], 16) == [payload[-16:]] * 2
+
+
 def test_columns(spark, docs, docs_rows, none, clashing):
     want = Counter()
     for i, t, *_ in docs_rows:
