@@ -20,34 +20,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode a temporary one where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="shardloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors."""
+    """``df`` as a Parquet table in the shared folder, read back: cuts the lineage, survives lost executors. The shuffle
+    files of the write go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     out = df.write.option("compression", "zstd")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    was = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (out.partitionBy(partition_by) if partition_by else out).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes a table of :func:`written` once all that read it is itself written."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes what :func:`written` made in this application and is left. Results that were not written yet read from
+    it, so call this once they are."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now rather than at some later collection."""
-    spark.sparkContext._jvm.System.gc()
+def row_key(id_col: str, text_col: str) -> Column:
+    """SHA-256 of a row's id and text: rows that share it are repeated rows, null ids included."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")), F.lit(":"), text_of(text_col)), 256))
 
 
 def unused(df: DataFrame, name: str) -> str:

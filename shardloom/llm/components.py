@@ -9,18 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``edges(a long, b long)`` to ``(node, component)``, component the smallest id reachable; without lone nodes."""
+    """``edges(a long, b long)`` to ``(node, component)``, component the smallest id reachable; without lone nodes.
+
+    The rounds needed grow with the logarithm of the longest path; ``max_rounds`` without convergence is an error."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = written(edges, "edges"), None
     for _ in range(max_rounds):
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if sums == before or not sums[0]:
             break
-        before = sums
+        before, last = sums, edges
         # large star: of u's neighbours v > u, each is tied to the least of u and its neighbours
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -31,6 +33,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         tied = lower.join(least, F.col("a") == F.col("u"))
         small = tied.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
         edges = written(small.select("e.a", "e.b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        drop_written(last)
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     star = edges.groupBy("a").agg(F.min("b").alias("b"))
     return star.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         star.select("b", "b").distinct()

@@ -7,13 +7,16 @@
    pair at the threshold never meets below 0.04 %.
 3. Small nodes are compared exhaustively on 4-bit sketches, with a cut 4.5 deviations below the threshold; large ones
    branch further. What a node gives is linear in it: ties of each candidate cluster to its first member.
-4. Candidate clusters are merged over all nodes. Their full shingle sets meet in groups, large ones as pairs of blocks,
-   where links are confirmed exactly (one set against all those not reached yet), and components of the confirmed
-   links are the answer. No pair list is ever written, no candidate is capped.
-
-Defined cases: texts without words have an empty set and link with nothing; null ids rank after all others (their
-component_id is null when alone, and kept is then true); rows with equal ids are one document; extra columns are
-ignored by :func:`near_dedup` and carried by :func:`near_dedup_rows`.
+4. Candidate clusters are merged over all nodes. Their full shingle sets are made once and meet in groups, where links
+   are confirmed exactly (one set against all those not reached yet). Large groups are dealt to blocks that share a few
+   pivots; what these tie is contracted, and only blocks of different contracted components meet again. Components of
+   the confirmed links are the answer. No pair list of documents is ever written, no candidate is capped.
+
+A document is a row; its id only names it. Defined cases: texts without words have an empty set, link with nothing and
+are kept; null ids rank after all others (a group of null ids alone has a null component_id, and one row of it is kept);
+rows with equal ids and different texts are documents of their own that share a name (:func:`near_dedup` marks those
+whose id is their group's component_id, :func:`near_dedup_rows` keeps one row a group); extra columns are ignored by
+:func:`near_dedup` and carried by :func:`near_dedup_rows`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,23 +25,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_shingles, mix64, shuffle_partitions, text_of, written
+from .common import WS_CHARS, batch_shingles, mix64, row_key, shuffle_partitions, text_of, unused, written
 from .components import components
 
 T = 64
 TREES = 9
 SMALL_NODE = 512
 MATRIX_NODE = 2048
-HEAVY_NODE = 20_000
+HEAVY_NODE = 4096
+VAST_NODE = 32_768
 MAX_DEPTH = 6
 REPEATS = 4
 BLOCK = 512
-NO_ID = 2**63 - 1
+BLOCK_BYTES = 16 << 20
+PIVOTS = 32
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,16 +191,20 @@ def _bytes_matrix(column: pa.Array, width: int, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
 
 
-def linked(sets: list[np.ndarray], threshold_pct: int) -> np.ndarray:
-    """Labels of the components of ``100 * intersection >= pct * union`` among full sets, exactly."""
+def linked(sets: list[np.ndarray], threshold_pct: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Labels of the components of ``100 * intersection >= pct * union`` among full sets, exactly. Sets with equal
+    ``known`` are taken as one component from the start, and not compared with each other."""
     m, label = len(sets), np.full(len(sets), -1)
+    known = np.arange(m) if known is None else known
     sizes = np.array([len(s) for s in sets])
     code = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.cumsum(sizes) - sizes
     mark, left = np.zeros(int(code.max()) + 1, dtype=np.int32), np.arange(m)
     while len(left):
-        seed, left = left[0], left[1:]
-        label[seed], frontier = seed, [seed]
+        seed = left[0]
+        label[seed], near = seed, known[left] == known[seed]
+        frontier, left = left[near].tolist(), left[~near]
+        label[frontier] = seed
         while frontier and len(left):
             i = frontier.pop()
             own = code[starts[i] : starts[i] + sizes[i]]
@@ -210,29 +218,101 @@ def linked(sets: list[np.ndarray], threshold_pct: int) -> np.ndarray:
                 both = np.array([mark[code[starts[j] : starts[j] + sizes[j]]].sum() for j in fit])
             mark[own] = 0
             near = fit[100 * both >= threshold_pct * (sizes[i] + sizes[fit] - both)]
-            label[near] = seed
-            frontier += near.tolist()
-            left = np.setdiff1d(left, near, assume_unique=True)
+            if len(near):
+                reached = np.isin(known[left], known[near])
+                label[left[reached]] = seed
+                frontier += left[reached].tolist()
+                left = left[~reached]
     return label
 
 
-def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold_pct: int = 80,
-) -> DataFrame:
-    """Per row: ``id_col``, n_shingles, component_id (smallest id reachable by links) and kept."""
+def _links(groups: DataFrame, keys: list[str], threshold_pct: int) -> DataFrame:
+    """Ties (node, first node of its component) of all groups of full sets, rows (keys, node, known, hashes)."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, known, sets = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            label, ids = linked(sets, threshold_pct, np.unique(known, return_inverse=True)[1]), np.array(nodes)
+            tied = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in keys]
+            rest = (batch.column(c).to_pylist() for c in ("node", "known", "hashes"))
+            for key, node, sub, hashes in zip(zip(*columns, strict=True), *rest, strict=True):
+                if key != now:
+                    if len(sets) > 1:
+                        yield done()
+                    now, nodes, known, sets = key, [], [], []
+                nodes.append(node)
+                known.append(sub)
+                sets.append(np.frombuffer(hashes, dtype="<u8"))
+        if len(sets) > 1:
+            yield done()
+
+    rows = groups.select(*keys, "node", "known", "hashes").repartition(shuffle_partitions(groups.sparkSession), *keys)
+    return rows.sortWithinPartitions(*keys).mapInArrow(confirm, "a long, b long")
+
+
+def _confirmed(sets: DataFrame, threshold_pct: int) -> DataFrame:
+    """Exact links within candidate groups, from ``sets(component, blocks, members, node, hashes)``.
+
+    Groups of one block are compared whole. In larger ones each block is first compared with itself and a few pivots
+    that all blocks of the group share; what that links is contracted. Blocks are then made anew, of one contracted
+    component each where it fills them, and only pairs of blocks that may still link different components meet."""
+    whole = sets.where("blocks = 1").select("component", F.lit(0).alias("s"), "node", F.col("node").alias("known"), "hashes")
+    large = sets.where("blocks > 1")
+    pivot = F.pmod(F.xxhash64("node", F.lit(3)), "members") < PIVOTS
+    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    dealt = large.withColumn("s", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    first = written(_links(whole.union(dealt.select("component", "s", "node", F.col("node").alias("known"), "hashes")), ["component", "s"], threshold_pct), "links")
+    light = large.select("component", "node", F.octet_length("hashes").alias("bytes"))
+    if light.isEmpty():
+        return first
+    joined = components(first)
+    light = light.join(joined.select("node", F.col("component").alias("found")), "node", "left").withColumn("known", F.coalesce("found", "node"))
+    parts = written(light.groupBy("component", "known").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")), "parts")
+    fills = (F.col("n") >= BLOCK) | (F.col("b") >= BLOCK_BYTES)
+    parts = parts.withColumn("big", F.when(fills, F.col("known")))
+    size = lambda n, b: F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(F.sum(b) / BLOCK_BYTES)).cast("int")
+    many = parts.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component")
+    bins = written(parts.join(many, "component").groupBy("component", "big").agg(size("n", "b").alias("bins")), "bins")
+    if bins.isEmpty():
+        return first
+    placed = light.join(parts.select("component", "known", "big"), ["component", "known"]).join(bins.withColumnRenamed("big", "of"), (F.col("of").eqNullSafe(F.col("big"))) & (bins["component"] == light["component"])).drop(bins["component"])
+    placed = placed.select("component", "node", "known", "big", F.pmod(F.xxhash64("known", "node"), "bins").cast("int").alias("bin"))
+    blocks = bins.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1))).select("component", "big", "bin", F.xxhash64("big", "bin").alias("block"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    apart = F.col("x.big").isNull() | F.col("y.big").isNull() | (F.col("x.big") != F.col("y.big"))
+    pairs = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.block") <= F.col("y.block")) & apart)
+    pairs = pairs.where("x.block < y.block or x.big is null").select(F.col("x.component").alias("component"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    sides = pairs.select("component", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    met = placed.withColumn("block", F.xxhash64("big", "bin")).join(sides, ["component", "block"]).select("component", "i", "j", "node", "known")
+    second = _links(met.join(large.select("node", "hashes"), "node"), ["component", "i", "j"], threshold_pct)
+    return first.union(second)
+
+
+def _found(df: DataFrame, id_col: str, text_col: str, words: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
+    """The written rows (id, rk, key, n, digest) and, per set digest, its component's first row ``best`` (no, id, rk, key)."""
     spark, threshold = df.sparkSession, threshold_pct / 100
     parts = shuffle_partitions(spark)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_of(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("rk"), text_of(text_col).alias("text"))
+
+    def sliced(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < 4 << 20:
+                size += len(texts[end])
+                end += 1
+            yield at, end
+            at = end
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("id").to_numpy(), batch.column("text").cast(pa.binary()).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < 4 << 20:
-                    size += len(texts[end])
-                    end += 1
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for at, end in sliced(texts):
                 h, off = batch_shingles(texts[at:end], words)
                 n = np.diff(off)
                 full = np.flatnonzero(n)
@@ -242,15 +322,18 @@ def near_dedup(
                     for k, i in enumerate(full):
                         sig[i] = values[k].tobytes()
                         digest[i] = hashlib.blake2b(h[off[i] : off[i + 1]].tobytes(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:end]), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "digest", "sig"])
-                at = end
+                some = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("rk"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["id", "rk", "n", "digest", "sig"])
 
-    sig = written(docs.mapInArrow(signatures, "id long, n long, digest binary, sig binary"), "signatures")
-    classes = written(sig.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    rows = docs.mapInArrow(signatures, "id long, rk binary, n long, digest binary, sig binary").withColumn("key", F.monotonically_increasing_id())
+    rows = written(rows, "signatures")
+    best = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "rk", "key")).alias("best")
+    classes = rows.where("n > 0").groupBy("digest").agg(best, F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, ids = _bytes_matrix(batch.column("sig"), T, "<u4"), batch.column("rep").to_numpy()
+            values, ids = _bytes_matrix(batch.column("sig"), T, "<u4"), batch.column("node").to_numpy()
             if not len(ids):
                 continue
             packed = pack(nibbles(values))
@@ -259,7 +342,7 @@ def near_dedup(
                 row, child = branch(path, values, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[row]), pa.array([x.tobytes() for x in packed[row]], pa.binary())], names=["node", "id", "sketch"])
 
-    nodes = classes.select("rep", "sig").mapInArrow(roots, "node long, id long, sketch binary")
+    nodes = classes.select("node", "sig").mapInArrow(roots, "node long, id long, sketch binary")
     nodes = _split_heavy(nodes, threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,44 +367,45 @@ def near_dedup(
             yield done(held)
 
     ties = nodes.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(compare, "a long, b long")
-    groups = components(ties)
-    sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")).select(F.col("component").alias("c"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    members = written(groups.join(sized, F.col("component") == F.col("c")).select("node", "component", "blocks"), "members")
-    reps = classes.select("rep", "digest")
-    wanted = members.join(reps, F.col("node") == F.col("rep")).select("node", "component", "blocks", "digest")
-    texts = docs.join(wanted, F.col("id") == F.col("node")).select("component", "blocks", "node", "digest", "text")
-    salt = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), "blocks")).otherwise(0).cast("int")
-    texts = texts.withColumn("s", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = texts.select("component", F.least("s", "other").alias("i"), F.greatest("s", "other").alias("j"), "node", "digest", "text")
-
-    def confirm(part: pd.DataFrame) -> pd.DataFrame:
-        h, off = batch_shingles([t.encode("utf-8", "surrogatepass") for t in part["text"]], words)
-        sets, ids, seen = [], [], set()
-        for k, (node, digest) in enumerate(zip(part["node"], part["digest"], strict=True)):
-            s = h[off[k] : off[k + 1]]
-            if (node, bytes(digest)) in seen or hashlib.blake2b(s.tobytes(), digest_size=16).digest() != bytes(digest):
-                continue  # another text of a repeated id, or a repeated row
-            seen.add((node, bytes(digest)))
-            sets.append(s)
-            ids.append(node)
-        if len(ids) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        label, ids = linked(sets, threshold_pct), np.array(ids)
-        tied = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": ids[tied], "b": ids[label[tied]]})
-
-    links = texts.repartition(parts, "component", "i", "j").groupBy("component", "i", "j").applyInPandas(confirm, "a long, b long")
-    joined = components(links).select(F.col("node").alias("rep"), F.col("component").alias("found"))
-    of_class = classes.select("digest", "rep").join(joined, "rep", "left").select("digest", F.coalesce("found", "rep").alias("found"))
-    out = sig.select("id", "n", "digest").join(of_class, "digest", "left")
-    component = F.coalesce("found", "id")
-    shown = lambda c: F.when(c == NO_ID, F.lit(None)).otherwise(c)
-    return out.select(shown(F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), shown(component).alias("component_id"), (component == F.col("id")).alias("kept"))
+    groups = components(ties).join(classes.select("node", "n", F.col("best.rk").alias("rk")), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    groups = written(groups, "groups")
+    sized = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"), blocks.alias("blocks"))
+    wanted = written(groups.join(sized, "component").select("component", "blocks", "members", "node", "rk"), "members")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for at, end in sliced(texts):
+                h, off = batch_shingles(texts[at:end], words)
+                made = [h[a:b].astype("<u8").tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns[:4], pa.array(made, pa.binary())], names=["component", "blocks", "members", "node", "hashes"])
+
+    texts = docs.select("rk", "text").join(wanted, "rk").select("component", "blocks", "members", "node", "text")
+    sets = texts.mapInArrow(shingled, "component long, blocks int, members long, node long, hashes binary")
+    # repeated rows share a key: one of each
+    sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("component", "blocks", "members", "hashes")])
+    sets = written(sets, "sets")
+    joined = components(_confirmed(sets, threshold_pct))
+    own = classes.select("node", "digest", "best").join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    names = own.groupBy("c").agg(F.min("best").alias("best"))
+    return rows.select("id", "rk", "key", "n", "digest"), own.select("digest", "c").join(names, "c").select("digest", "best")
+
+
+def near_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold_pct: int = 80,
+) -> DataFrame:
+    """Per row: ``id_col``, n_shingles, component_id (smallest id reachable by links) and kept."""
+    rows, named = _found(df, id_col, text_col, words, threshold_pct)
+    out = rows.join(named, "digest", "left")
+    component = F.when(F.col("best").isNull(), F.col("id")).otherwise(F.col("best.id"))
+    kept = F.col("best").isNull() | F.when(F.col("best.id").isNull(), F.col("key") == F.col("best.key")).otherwise(F.col("id").eqNullSafe(F.col("best.id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _split_heavy(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Nodes beyond ``HEAVY_NODE`` rows branch further before any task reads them; what stays that large (documents
-    alike in most tokens) is dealt as all pairs of blocks."""
+    """Nodes beyond ``HEAVY_NODE`` rows are dealt as pairs of blocks, so that no task reads a whole one; those beyond
+    ``VAST_NODE`` branch further first, and what stays that large (documents alike in most tokens) is dealt alike."""
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,26 +417,38 @@ def _split_heavy(nodes: DataFrame, threshold: float) -> DataFrame:
                     row, child = branch(mix64(node + np.uint64(repeat + 1)), unpack(packed), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[row]), pa.array([x.tobytes() for x in packed[row]], pa.binary())], names=["node", "id", "sketch"])
 
+    def in_blocks(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+        g = F.ceil(F.col("count") / (HEAVY_NODE // 2)).cast("int")
+        rows = rows.join(heavy, "node").withColumn("g", g).withColumn("s", F.pmod(F.xxhash64("id"), "g").cast("int"))
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        return rows.select(F.xxhash64("node", F.least("s", "o"), F.greatest("s", "o")).alias("node"), "id", "sketch")
+
     out, depth = None, 0
     while True:
         heavy = written(nodes.groupBy("node").count().where(F.col("count") > HEAVY_NODE), "heavy")
         if heavy.isEmpty():
             return nodes if out is None else out.union(nodes)
+        nodes = written(nodes, "nodes")
         light = nodes.join(heavy, "node", "left_anti")
+        last = depth == MAX_DEPTH // 2
+        light = light.union(in_blocks(nodes, heavy if last else heavy.where(F.col("count") <= VAST_NODE)))
         out = light if out is None else out.union(light)
-        rest = nodes.join(heavy.select("node"), "node", "left_semi")
-        if depth == MAX_DEPTH // 2:
-            g = F.ceil(F.col("count") / (HEAVY_NODE // 2)).cast("int")
-            rest = nodes.join(heavy, "node").withColumn("g", g).withColumn("s", F.pmod(F.xxhash64("id"), "g").cast("int"))
-            rest = rest.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-            return out.union(rest.select(F.xxhash64("node", F.least("s", "o"), F.greatest("s", "o")).alias("node"), "id", "sketch"))
-        nodes, depth = written(rest.mapInArrow(deeper, "node long, id long, sketch binary"), "nodes"), depth + 1
+        vast = heavy.where(F.col("count") > VAST_NODE)
+        if last or vast.isEmpty():
+            return out
+        nodes, depth = nodes.join(vast.select("node"), "node", "left_semi").mapInArrow(deeper, "node long, id long, sketch binary"), depth + 1
 
 
 def near_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold_pct: int = 80) -> DataFrame:
-    """The rows of one document of each group (the smallest id), with all their columns."""
-    kept = near_dedup(df, id_col, text_col, words, threshold_pct).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of each group (the smallest id; null ids last), with all its columns, and every row without words."""
+    rows, named = _found(df, id_col, text_col, words, threshold_pct)
+    rk, blank = unused(df, "_rk"), F.btrim(text_of(text_col), F.lit(WS_CHARS)) == ""
+    kept = named.select(F.col("best.rk").alias(rk)).distinct()
+    many = written(rows.where("n > 0").groupBy("rk").count().where("count > 1").select(F.col("rk").alias(rk)), "repeated")
+    stay = df.where(~blank).withColumn(rk, row_key(id_col, text_col)).join(kept, rk, "left_semi")
+    if not many.isEmpty():  # rows that repeat id and text: one of them
+        stay = stay.join(many, rk, "left_anti").union(stay.join(many, rk, "left_semi").dropDuplicates([rk]))
+    return stay.drop(rk).union(df.where(blank))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,21 +1,23 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a cover sample.
-
-A corpus-wide suffix array would be several times the corpus, so suffixes are dealt to buckets that are sorted one at a
-time. The bucket of a suffix is the least hash among the ``K``-byte strings in its first ``LENGTH`` bytes (leftmost of
-equals): equal strings of ``LENGTH`` bytes have it in common, at the same place, and neighbouring suffixes mostly share it,
-so a bucket entry is a short segment of text that stands for the run of suffixes which chose its anchor.
-
-1. Anchors of all texts (about 1.3 % of positions); those whose hash occurs once anywhere can't repeat and go.
-2. Segments of the others, equal ones collapsed with their count where they are read.
-3. Per bucket, suffixes are sorted by their first ``LENGTH`` bytes. Long ties are resolved by ranks computed before, of a
-   cover sample: the positions at multiples of ``COVER`` from the anchor are ranked by their next ``LENGTH - COVER``
-   bytes; any two suffixes compare by ``COVER`` bytes around the sample position that both reach, and its rank. A suffix
-   equal to a neighbour repeats. Batches of whole buckets bound memory; a bucket of more than ``HEAVY`` different segments
-   is dealt suffix by suffix, by hashes, with partial aggregation instead.
-4. The bytes under repeating suffixes, merged per document, are removed.
-
-Defined cases: null text counts as empty; texts shorter than ``LENGTH`` lose nothing; equal rows (id and text too) are
-documents that repeat each other; a null id counts as an id; matches never cross documents; extra columns are ignored.
+"""Removal of repeated byte strings by difference-cover blockwise suffix sorting.
+
+A corpus-wide suffix array would be several times the corpus, so suffixes are dealt to buckets that are sorted one block
+of buckets at a time. The bucket of a suffix is the least hash among the ``K``-byte strings in its first ``LENGTH`` bytes
+(leftmost of equals): equal strings of ``LENGTH`` bytes have it in common, and neighbouring suffixes mostly share it, so a
+bucket entry is a short segment of text that stands for the run of suffixes which chose its anchor.
+
+1. Anchor hashes of every text; those that occur once anywhere can't repeat and go.
+2. Segments at the others, equal ones collapsed with their count, first within a text, then where they are read.
+3. A block of buckets is one text to its task. The positions in ``COVER`` (mod ``PERIOD``), a difference cover, are ranked
+   once by their next ``RANKED`` bytes. Any two suffixes reach positions of the cover after an equal number of bytes, so
+   bytes up to there, the ranks and the few bytes behind them decide every comparison, however long the tie. The
+   suffixes of each bucket are put in lexicographic order that way; one equal to a neighbour repeats.
+4. Buckets of more than ``HEAVY`` segments are dealt again by a second and third anchor; what stays that large is sorted by
+   Spark itself, suffix by suffix.
+5. The bytes under repeating suffixes, merged per document, are removed.
+
+Defined cases: null text counts as empty; texts shorter than ``LENGTH`` lose nothing; every row is a document of its own,
+whatever its id, so equal rows repeat each other; matches never cross documents; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, mix64, release, shuffle_partitions, text_of, written
+from .common import drop_written, mix64, shuffle_partitions, text_of, written
 
 LENGTH = 200
 K = 50
-COVER = 16
-HEAVY = 20_000
-NULL_ID = -(2**63)
+PERIOD, COVER = 3, (0, 1)  # the differences 0, 1 and 2 of its members are all there are mod 3
+RANKED = 197  # least suffix length that is ranked; LENGTH less the longest way to the cover, and one
+HEAVY = 4000
+LEVELS = 3
+BLOCK_BYTES = 96 << 10
 CHUNK = 1 << 20
 _POS = np.uint64(CHUNK * 2 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -51,11 +55,12 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _cache[name][:n]
 
 
-def rolling(a: np.ndarray, k: int) -> np.ndarray:
+def rolling(a: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """A mixed 64-bit hash of each ``k``-byte string of ``a``."""
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(a)))])
-        return mix64((sums[k:] - sums[:-k]) * _powers("down", _INV, len(a) - k + 1))
+        h = mix64((sums[k:] - sums[:-k]) * _powers("down", _INV, len(a) - k + 1))
+        return mix64(h + np.uint64(salt) * _BASE) if salt else h
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -67,7 +72,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 :])
 
 
-def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+def anchored_runs(texts: list[bytes], salt: int = 0) -> tuple[np.ndarray, ...]:
     """Runs of suffixes of at least ``LENGTH`` bytes with one anchor: text number, first and last start, anchor's
     position, hash. Positions are within the text. Long texts are read in overlapping pieces."""
     pieces: list[tuple[int, int, bytes]] = []
@@ -83,7 +88,7 @@ def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         a = np.frombuffer(b"".join(p[2] for p in group), dtype=np.uint8)
         size = np.array([len(p[2]) for p in group])
         base = np.cumsum(size) - size
-        h = rolling(a, K)
+        h = rolling(a, K, salt)
         tagged = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
         least = (sliding_min(tagged, LENGTH - K + 1) & _POS).astype(np.int64)
         of = np.repeat(np.arange(len(group)), size)[: len(least)]
@@ -112,35 +117,89 @@ def anchored_runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeating(bucket: np.ndarray, left: np.ndarray, count: np.ndarray, segments: list[bytes]) -> list[np.ndarray]:
-    """For each segment, which of its suffixes repeat, over whole buckets (``left``: bytes before the anchor)."""
+def _dense(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+
+
+def _ahead(rank: np.ndarray, n_bytes: int) -> np.ndarray:
+    """Ranks ``n_bytes`` (whole periods) further on."""
+    k = n_bytes // PERIOD * len(COVER)
+    return np.concatenate([rank[k:], np.zeros(k, dtype=rank.dtype)])
+
+
+def cover_ranks(flat: np.ndarray) -> np.ndarray:
+    """Ranks of the cover's positions in a text that ends in at least 8 spare bytes, by their next ``RANKED`` bytes; the
+    rank of position ``p`` is at ``p // 3 * 2 + p % 3``. Windows that overlap keep the order: 8 bytes, then four of them
+    make 26, four of those 98, and three of those 197."""
+    p = np.arange(len(flat) - 7)
+    p = p[p % PERIOD < len(COVER)]
+    rank = _dense(np.lib.stride_tricks.sliding_window_view(flat, 8)[p].view(">u8").ravel())
+    for ways in ((6, 12, 18), (24, 48, 72), (96, 99)):
+        bits = int(rank.max(initial=0)).bit_length()
+        wide, used, out = np.uint64(bits), bits, rank
+        for n_bytes in ways:
+            if used + bits > 64:
+                out = _dense(out)
+                used = int(out.max(initial=0)).bit_length()
+            out = out << wide | _ahead(rank, n_bytes)
+            used += bits
+        rank = _dense(out)
+    return rank
+
+
+def suffix_order(flat: np.ndarray, at: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``at`` in the order of (block, first ``LENGTH`` bytes), and which of them equal their predecessor.
+
+    The suffixes on the cover (classes 0 and 1) are ordered by their own ranks, those off it (class 2) by the ranks one
+    byte on; the two are merged by binary search, where class 2 meets class 0 one byte on and class 1 two bytes on.
+    """
+    rank = cover_ranks(flat)
+    of = (at % PERIOD).astype(np.int8)
+    bits = max(1, int(rank.max(initial=0)).bit_length())
+    if bits + 24 + int(block.max(initial=0)).bit_length() > 64:
+        raise ValueError("a block of buckets is too large")
+    lead = block.astype(np.uint64)
+
+    def key(rows: np.ndarray, way: int) -> np.ndarray:
+        p = at[rows]
+        out = lead[rows]
+        for k in range(way):
+            out = out << np.uint64(8) | flat[p + k]
+        q = p + way
+        out = out << np.uint64(bits) | rank[q // PERIOD * len(COVER) + q % PERIOD]
+        for k in range(way + RANKED, LENGTH):
+            out = out << np.uint64(8) | flat[p + k]
+        return out
+
+    keys = np.zeros((PERIOD, len(at)), dtype=np.uint64)
+    on, off = np.flatnonzero(of < 2), np.flatnonzero(of == 2)
+    for way, rows in ((0, on), (1, np.flatnonzero(of != 1)), (2, np.flatnonzero(of != 0))):
+        keys[way, rows] = key(rows, way)
+    on, off = on[np.argsort(keys[0, on])], off[np.argsort(keys[1, off])]
+    before = np.arange(len(off))
+    for way, kind in ((1, 0), (2, 1)):
+        before += np.searchsorted(keys[way, on[of[on] == kind]], keys[way, off])
+    order = np.empty(len(at), dtype=np.int64)
+    rest = np.ones(len(at), dtype=bool)
+    rest[before] = False
+    order[before], order[rest] = off, on
+    x, y = order[:-1], order[1:]
+    way = np.where((of[x] < 2) & (of[y] < 2), 0, np.where(of[x] + of[y] == 3, 2, 1))
+    return order, np.concatenate([[False], keys[way, x] == keys[way, y]])[: len(at)]
+
+
+def repeating(block: np.ndarray, count: np.ndarray, segments: list[bytes]) -> list[np.ndarray]:
+    """For each segment, which of its suffixes repeat, over whole buckets (``block``: numbers of the segments' buckets)."""
     size = np.array([len(s) for s in segments])
-    flat = np.frombuffer(b"".join(segments), dtype=np.uint8)
-    base = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(segments) + bytes(LENGTH + 8), dtype=np.uint8)
     n = size - LENGTH + 1
     seg = np.repeat(np.arange(len(segments)), n)
     first = np.cumsum(n) - n
-    start = np.arange(int(n.sum())) - np.repeat(first, n)
-    column = start - left[seg]
-    lead = -column % COVER
-    at = base[seg] + start
-    # ranks of the cover sample: bucket, column and the next LENGTH - COVER bytes of every sample position in use
-    sample, back = np.unique(at + lead, return_inverse=True)
-    of = np.searchsorted(base, sample, side="right") - 1
-    blocks = flat[sample[:, None] + np.arange(LENGTH - COVER)].view(f"S{LENGTH - COVER}").ravel()
-    by_block = np.unique(blocks, return_inverse=True)[1]
-    where = np.stack([bucket[of].astype(np.uint64), (sample - base[of] - left[of]).astype(np.uint64), by_block.astype(np.uint64)])
-    rank = np.unique(where, axis=1, return_inverse=True)[1].ravel()
-    around = np.empty((len(at), COVER), dtype=np.uint8)  # the bytes before the sample position, then those behind its block
-    for k in range(COVER):
-        around[:, k] = flat[at + np.where(k < lead, k, LENGTH - COVER + k)]
-    rest = around.view(np.uint64)
-    key = rank[back].astype(np.uint64) * np.uint64(COVER) + lead.astype(np.uint64)
-    order = np.lexsort((rest[:, 1], rest[:, 0], key))
-    same = (key[order][1:] == key[order][:-1]) & (rest[order][1:] == rest[order][:-1]).all(axis=1)
+    at = np.arange(int(n.sum())) - np.repeat(first, n) + (np.cumsum(size) - size)[seg]
+    order, same = suffix_order(flat, at, block[seg])
     hit = np.zeros(len(at), dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
+    hit[order[same]] = True
+    hit[order[:-1][same[1:]]] = True
     hit |= (count > 1)[seg]
     return np.split(hit, np.cumsum(n)[:-1])
 
@@ -168,144 +227,186 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_bytes, n_removed, n_spans and kept_sha256."""
-    spark = df.sparkSession
-    parts = shuffle_partitions(spark)
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(id_col).cast("long").alias("given"), text_of(text_col).cast("binary").alias("body"))
-    docs = docs.withColumn("same", F.hash("body").cast("long"))
+    parts = shuffle_partitions(df.sparkSession)
+    base = df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("body"))
+    base = written(base, "bodies")  # the keys are fixed from here on
+    long_ones = base.where(F.octet_length("body") >= LENGTH).select("key", "body")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, "body"):
-            of, _, _, at, h = anchored_runs(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), batch.column("same").take(pa.array(of)), pa.array(at, pa.int64()), pa.array(h.view(np.int64))], names=["id", "same", "at", "bucket"])
+            of, _, _, _, h = anchored_runs(texts)
+            order = np.lexsort((h, of))
+            of, h = of[order], h[order]
+            cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])]))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of[cut])), pa.array(h[cut].view(np.int64)), pa.array(np.diff(np.append(cut, len(h))), pa.int64())], names=["key", "bucket", "n"])
 
-    found = written(docs.where(F.octet_length("body") >= LENGTH).select("id", "same", "body").mapInArrow(anchors, "id long, same long, at long, bucket long"), "anchors")
+    found = written(long_ones.mapInArrow(anchors, "key long, bucket long, n long"), "anchors")
     # a table of its own, so that both sides of the join are shuffled and Spark can split a hot bucket
-    often = written(found.groupBy("bucket").count().where("count > 1").select("bucket"), "often")
-    release(spark)
-    places = written(found.join(often, "bucket").groupBy("id", "same").agg(F.collect_set("at").alias("places")), "places")
+    often = written(found.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket"), "often")
+    places = written(found.join(often, "bucket").groupBy("key").agg(F.collect_list("bucket").alias("buckets")), "places")
     drop_written(found)
-    release(spark)
-    wanted = docs.select("id", "same", "body").join(places, ["id", "same"])
-    schema = "id long, same long, start long, left int, bucket long, digest binary, segment binary"
+    drop_written(often)
+    schema = "key long, starts binary, n long, bucket long, digest binary, segment binary"
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         names = [x.split()[0] for x in schema.split(", ")]
         for batch, texts in _texts(batches, "body", 1 << 20):
-            ids, same, wished = (batch.column(c).to_pylist() for c in ("id", "same", "places"))
+            keys, wished = batch.column("key").to_pylist(), batch.column("buckets").to_pylist()
             of, lo, hi, at, h = anchored_runs(texts)
             cols: list[list] = [[] for _ in names]
             bound = np.searchsorted(of, np.arange(len(texts) + 1))
             for t, data in enumerate(texts):
                 rows = np.arange(bound[t], bound[t + 1])
-                rows = rows[np.isin(at[rows], np.array(wished[t]))]
-                made = [data[a : b + LENGTH] for a, b in zip(lo[rows].tolist(), hi[rows].tolist(), strict=True)]
-                left = (at[rows] - lo[rows]).tolist()
+                rows = rows[np.isin(h[rows].view(np.int64), np.array(wished[t]))]
+                own: dict[bytes, tuple[list[int], int, bytes]] = {}
+                for a, b, p, bucket in zip(lo[rows].tolist(), hi[rows].tolist(), at[rows].tolist(), h[rows].view(np.int64).tolist(), strict=True):
+                    segment = data[a : b + LENGTH]
+                    digest = hashlib.blake2b(segment, digest_size=16, salt=(p - a).to_bytes(4, "little")).digest()
+                    if digest in own:
+                        own[digest][0].append(a)
+                    else:
+                        own[digest] = ([a], bucket, segment)
+                made = own.values()
                 new = (
-                    [ids[t]] * (len(rows) + 1), [same[t]] * (len(rows) + 1), [-1, *lo[rows].tolist()], [0, *left], [0, *h[rows].view(np.int64).tolist()],
-                    [None, *(hashlib.blake2b(s, digest_size=16, salt=x.to_bytes(4, "little")).digest() for s, x in zip(made, left, strict=True))], [data, *made],
+                    [keys[t]] * len(own), [np.array(x[0], dtype="<i4").tobytes() for x in made], [len(x[0]) for x in made],
+                    [x[1] for x in made], list(own), [x[2] for x in made],
                 )
                 for c, v in zip(cols, new, strict=True):
                     c += v
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    occurrences = written(wanted.mapInArrow(segments, schema), "segments")
-    release(spark)
-    runs = occurrences.where("start >= 0")
-    different = written(runs.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("segment").alias("segment")), "buckets")
-    release(spark)
-    heavy = written(different.groupBy("bucket").count().where(F.col("count") > HEAVY).select("bucket"), "heavy")
-    any_heavy = not heavy.isEmpty()
-    light = different.join(heavy, "bucket", "left_anti") if any_heavy else different
-
-    def rows_of(buckets: np.ndarray, digests: list, hits: list[np.ndarray]) -> pa.RecordBatch:
-        keep = [i for i, x in enumerate(hits) if x.any()]
-        spans = [covered(np.flatnonzero(hits[i])).astype("<i4").tobytes() for i in keep]
-        return pa.RecordBatch.from_arrays([pa.array(buckets[keep], pa.int64()), pa.array([digests[i] for i in keep], pa.binary()), pa.array(spans, pa.binary())], names=["bucket", "digest", "spans"])
-
-    def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
-
-        def done(n: int) -> pa.RecordBatch:
-            bucket, digest, count, left, segment = (c[:n] for c in held)
-            for c in held:
-                del c[:n]
-            return rows_of(np.array(bucket), digest, repeating(np.array(bucket), np.array(left), np.array(count), segment))
-
-        for batch in batches:
-            for c, name in zip(held, ("bucket", "digest", "n", "left", "segment"), strict=True):
-                c += batch.column(name).to_pylist()
-            while len(held[0]) >= 4000:
-                n = 4000
-                while n < len(held[0]) and held[0][n] == held[0][n - 1]:
-                    n += 1
-                if n == len(held[0]):  # the last bucket may go on
-                    n = held[0].index(held[0][-1])
-                    if n < 2000:
-                        break
-                yield done(n)
-        if held[0]:
-            yield done(len(held[0]))
-
-    flagged = light.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, "bucket long, digest binary, spans binary")
-    if any_heavy:
-        flagged = flagged.union(_by_hashes(different.join(heavy, "bucket", "left_semi"), rows_of))
-    flagged = written(flagged.select("digest", "spans"), "flagged")
+    runs = written(long_ones.join(places, "key").mapInArrow(segments, schema), "segments")
+    different = runs.groupBy("bucket", "digest").agg(F.sum("n").alias("n"), F.first("segment").alias("segment"))
+    different = written(different.select("bucket", "digest", F.lit(0).alias("at"), "n", "segment"), "buckets")
+    light, todo = None, different
+    for level in range(1, LEVELS + 2):
+        heavy = written(todo.groupBy("bucket").count().where(F.col("count") > HEAVY).select("bucket"), "heavy")
+        if heavy.isEmpty():
+            light = todo if light is None else light.union(todo)
+            todo = None
+            break
+        rest = todo.join(heavy, "bucket", "left_anti")
+        light = rest if light is None else light.union(rest)
+        todo = todo.join(heavy, "bucket", "left_semi")
+        if level <= LEVELS:
+            todo = written(todo.mapInArrow(_dealt_again(level), todo.schema), "buckets")
+    flagged = light.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "digest binary, spans binary")
+    if todo is not None:
+        flagged = flagged.union(_by_ranges(todo))
+    flagged = written(flagged, "flagged")
     drop_written(different)
-    release(spark)
-    hits = runs.select("id", "same", "start", "digest").join(flagged, "digest")
-    per_doc = hits.groupBy("id", "same").agg(F.collect_set(F.struct("start", "spans")).alias("hits"))
-    bodies = occurrences.where("start = -1").select("id", "same", F.col("segment").alias("body"))
+    per_doc = runs.select("key", "starts", "digest").join(flagged, "digest").groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("spans").alias("spans"))
+    names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, digest = [], [], []
-            for body, hit in zip(batch.column("body").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                gone = np.zeros(len(body) + 1, dtype=np.int32)
-                for h in hit:
-                    x = np.frombuffer(h["spans"], dtype="<i4").reshape(-1, 2) + h["start"]
-                    np.add.at(gone, x[:, 0], 1)
-                    np.add.at(gone, x[:, 1], -1)
-                out = np.cumsum(gone)[:-1] > 0
+            size, removed, spans, digest = [], [], [], []
+            for body, starts, hits in zip(*(batch.column(c).to_pylist() for c in ("body", "starts", "spans")), strict=True):
+                size.append(len(body))
+                if not starts:
+                    removed.append(0)
+                    spans.append(0)
+                    digest.append(hashlib.sha256(body).hexdigest())
+                    continue
+                out = removed_bytes(len(body), starts, hits)
                 removed.append(int(out.sum()))
                 spans.append(int(np.count_nonzero(np.diff(out.astype(np.int8), prepend=0) == 1)))
                 digest.append(hashlib.sha256(np.frombuffer(body, dtype=np.uint8)[~out].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("same"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["id", "same", "removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(digest, pa.string())], names=names)
 
-    done = bodies.join(per_doc, ["id", "same"]).mapInArrow(cut, "id long, same long, removed long, spans long, kept string").dropDuplicates(["id", "same"])
-    base = docs.select("id", "same", "given", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
-    return base.join(done, ["id", "same"], "left").select(
-        F.col("given").alias(id_col), "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256")
-    )
+    return base.join(per_doc, "key", "left").select("id", "body", "starts", "spans").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _by_hashes(segments: DataFrame, rows_of) -> DataFrame:
-    """The suffixes of very large buckets by two independent hashes of their first ``LENGTH`` bytes, summed in part where
-    they are read, so that no task holds a bucket."""
+def removed_bytes(n: int, starts: list[bytes], hits: list[bytes]) -> np.ndarray:
+    """Which of ``n`` bytes lie under a segment's hits (ranges within it) at one of its starts."""
+    begin, end = [], []
+    many = [k for k, x in enumerate(starts) if len(x) > 4]
+    for k in many:
+        at, span = np.frombuffer(starts[k], dtype="<i4"), np.frombuffer(hits[k], dtype="<i4").reshape(-1, 2)
+        begin.append((at[:, None] + span[:, 0]).ravel())
+        end.append((at[:, None] + span[:, 1]).ravel())
+    if len(many) < len(starts):
+        one = [k for k, x in enumerate(starts) if len(x) == 4]
+        at = np.frombuffer(b"".join(starts[k] for k in one), dtype="<i4")
+        span = np.frombuffer(b"".join(hits[k] for k in one), dtype="<i4").reshape(-1, 2)
+        at = np.repeat(at, [len(hits[k]) // 8 for k in one])
+        begin.append(at + span[:, 0])
+        end.append(at + span[:, 1])
+    gone = np.bincount(np.concatenate(begin), minlength=n + 1) - np.bincount(np.concatenate(end), minlength=n + 1)
+    return np.cumsum(gone)[:n] > 0
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                a = np.frombuffer(row["segment"], dtype=np.uint8)
-                h, g = rolling(a, LENGTH), rolling(a[::-1], LENGTH)[::-1]
-                n = len(h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["bucket"]] * n, pa.int64()), pa.array([row["digest"]] * n, pa.binary()), pa.array(np.arange(n)), pa.array([row["n"]] * n, pa.int64()), pa.array((row["left"] - np.arange(n)).astype(np.int64)), pa.array(h.view(np.int64)), pa.array(g.copy().view(np.int64))],
-                    names=["bucket", "digest", "at", "n", "column", "h", "g"],
-                )
 
-    each = segments.mapInArrow(suffixes, "bucket long, digest binary, at long, n long, column long, h long, g long")
-    keys = ["bucket", "column", "h", "g"]
-    repeated = each.groupBy(*keys).agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(*keys)
-    per_segment = each.join(repeated, keys).groupBy("bucket", "digest").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+def _flagged(digests: list[bytes], ats: list[int], hits: list[np.ndarray]) -> pa.RecordBatch:
+    keep = [i for i, x in enumerate(hits) if x.any()]
+    spans = [(covered(np.flatnonzero(hits[i])) + ats[i]).astype("<i4").tobytes() for i in keep]
+    return pa.RecordBatch.from_arrays([pa.array([digests[i] for i in keep], pa.binary()), pa.array(spans, pa.binary())], names=["digest", "spans"])
+
+
+def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole buckets, of ``BLOCK_BYTES`` and what the last bucket has beyond."""
+    held: list[list] = [[], [], [], [], []]
+
+    def done(lo: int, hi: int) -> pa.RecordBatch:
+        bucket, digest, at, count, segment = (c[lo:hi] for c in held)
+        return _flagged(digest, at, repeating(np.unique(bucket, return_inverse=True)[1], np.array(count), segment))
+
+    for batch in batches:
+        for c, name in zip(held, ("bucket", "digest", "at", "n", "segment"), strict=True):
+            c += batch.column(name).to_pylist()
+        bucket, size = np.array(held[0]), np.cumsum([len(x) for x in held[4]])
+        ends = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1  # the last bucket may go on
+        lo = 0
+        while True:
+            hi = ends[np.searchsorted(size[ends - 1], (size[lo - 1] if lo else 0) + BLOCK_BYTES) :]
+            if not len(hi):
+                break
+            yield done(lo, int(hi[0]))
+            lo = int(hi[0])
+        for c in held:
+            del c[:lo]
+    if held[0]:
+        yield done(0, len(held[0]))
+
+
+def _dealt_again(level: int):
+    """Splits the segments of heavy buckets into shorter ones by another anchor: equal suffixes share that one too."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, segments in _texts(batches, "segment", 1 << 20):
+            bucket, at = batch.column("bucket").to_numpy().view(np.uint64), batch.column("at").to_numpy()
+            of, lo, hi, _, h = anchored_runs(segments, level)
+            with np.errstate(over="ignore"):
+                new = mix64(bucket[of] ^ mix64(h + np.uint64(level)))
+            made = [segments[t][a : b + LENGTH] for t, a, b in zip(of.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), batch.column("digest").take(take), pa.array((at[of] + lo).astype(np.int32)), batch.column("n").take(take), pa.array(made, pa.binary())], names=["bucket", "digest", "at", "n", "segment"])
+
+    return split
+
+
+def _by_ranges(segments: DataFrame) -> DataFrame:
+    """Buckets that no anchor splits, suffix by suffix with their bytes: Spark sorts them, over all tasks."""
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _texts(batches, "segment", 1 << 18):
+            n = np.array([len(x) - LENGTH + 1 for x in texts])
+            of = np.repeat(np.arange(len(texts)), n)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            made = [texts[t][a : a + LENGTH] for t, a in zip(of.tolist(), at.tolist(), strict=True)]
+            take = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column("bucket").take(take), batch.column("digest").take(take), pa.array((at + batch.column("at").to_numpy()[of]).astype(np.int32)), batch.column("n").take(take), pa.array(made, pa.binary())], names=["bucket", "digest", "at", "n", "suffix"])
+
+    each = written(segments.mapInArrow(suffixes, "bucket long, digest binary, at int, n long, suffix binary"), "suffixes")
+    repeated = written(each.groupBy("bucket", "suffix").agg(F.sum("n").alias("all")).where("all > 1").select("bucket", "suffix"), "repeated")
+    starts = each.join(repeated, ["bucket", "suffix"]).groupBy("digest").agg(F.array_sort(F.collect_set("at")).alias("ats"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [covered(np.array(x)).astype("<i4").tobytes() for x in batch.column("ats").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("digest"), pa.array(made, pa.binary())], names=["bucket", "digest", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(made, pa.binary())], names=["digest", "spans"])
 
-    return per_segment.mapInArrow(spans, "bucket long, digest binary, spans binary")
+    return starts.mapInArrow(spans, "digest binary, spans binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

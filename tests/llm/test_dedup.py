@@ -64,42 +64,59 @@ def test_hashes():
 
 
 def brute_components(rows, n, pct):
-    sets = {}
-    for i, t, *_ in rows:
+    """Of each row its set's size and its component: every row is a document, its id only names it."""
+    sets = []
+    for _, t, *_ in rows:
         w = words(t)
-        s = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
-        sets.setdefault((i, frozenset(s)), None)
-    ids = sorted({i for i, _ in sets}, key=rank)
-    up = {i: i for i in ids}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    up = list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    keys = list(sets)
-    for a in range(len(keys)):
+    for a in range(len(rows)):
         for b in range(a):
-            (i, s), (j, t) = keys[a], keys[b]
+            s, t = sets[a], sets[b]
             if s and t and 100 * len(s & t) >= pct * len(s | t):
-                x, y = sorted((root(i), root(j)), key=rank)
-                up[y] = x
-    return sets, root
+                up[root(a)] = root(b)
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[root(k)].append(k)
+    name = {k: min((rows[j][0] for j in g), key=rank) for g in groups.values() for k in g}
+    return [len(x) for x in sets], name, list(groups.values())
 
 
 def test_near(spark, docs, docs_rows, none, clashing):
     for n in (4, 5):
-        sets, root = brute_components(docs_rows, n, 80)
+        sizes, name, groups = brute_components(docs_rows, n, 80)
         got = near_dedup.near_dedup(docs, words=n).collect()
-        assert len(got) == len(docs_rows)
-        for r in got:
-            assert r["n_shingles"] in {len(s) for i, s in sets if i == r["doc_id"]}
-            if r["doc_id"] is not None:
-                assert r["component_id"] == root(r["doc_id"]), r
-                assert r["kept"] == (r["doc_id"] == r["component_id"])
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((docs_rows[k][0], sizes[k], name[k]) for k in name)
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
     assert near_dedup.near_dedup(none).count() == 0
     kept = near_dedup.near_dedup_rows(clashing)
-    assert kept.columns == clashing.columns and kept.count() > 0
+    assert kept.columns == clashing.columns and kept.count() == len(groups)
+    assert near_dedup.near_dedup_rows(none).count() == 0
+
+
+def test_near_null_ids(spark):
+    """Null ids are no common node: unrelated texts stay apart, copies lose all but one row."""
+    rng = np.random.default_rng(3)
+    a, b, c, d = (" ".join(f"w{x}" for x in rng.integers(0, 500, 60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " more"), (None, b), (None, c), (5, b + " x"), (6, d), (None, d), (None, ""), (None, None), (7, " "), (8, a[:20] + c[:100])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, name, groups = brute_components(rows, 5, 80)
+    got = near_dedup.near_dedup(df).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((rows[k][0], name[k]) for k in name)
+    assert sum(r["kept"] for r in got) == len(groups) == 8
+    assert Counter(r["doc_id"] for r in near_dedup.near_dedup_rows(df).collect()) == Counter(min((rows[k][0] for k in g), key=rank) for g in groups)
+
+
+def test_linked_contracts():
+    s = [np.arange(k, k + 50, dtype=np.uint64) for k in (0, 3, 100, 102, 103, 300)]
+    assert near_dedup.linked(s, 80).tolist() == [0, 0, 2, 2, 2, 5]
+    assert near_dedup.linked(s, 80, np.array([0, 1, 0, 2, 2, 3])).tolist() == [0, 0, 0, 0, 0, 5]
 
 
 def test_near_node_functions():
@@ -136,7 +153,8 @@ def test_near_node_functions():
     assert all(len({root(k * 30 + j) for j in range(30)}) == 1 for k in range(40))
 
 
-def test_near_heavy_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("vast", "pivots"), [(8, 1), (10**6, 4)])
+def test_near_heavy_and_blocks(spark, monkeypatch, vast, pivots):
     """Nodes and groups beyond their bounds are split, with the same result."""
     import random
 
@@ -145,14 +163,16 @@ def test_near_heavy_and_blocks(spark, monkeypatch):
     rows = []
     for i in range(90):
         w = list(base)
-        for _ in range(rng.randint(0, 6)):
+        for _ in range(rng.randint(0, 9)):
             w[rng.randrange(120)] = f"v{rng.randint(0, 10**6)}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(near_dedup, "HEAVY_NODE", 8)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    _, root = brute_components(rows, 5, 80)
+    monkeypatch.setattr(near_dedup, "VAST_NODE", vast)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    _, name, _ = brute_components(rows, 5, 80)
     got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == {i: root(i) for i, _ in rows}
+    assert {r["doc_id"]: r["component_id"] for r in got} == {rows[k][0]: name[k] for k in name}
 
 
 def test_components(spark):
@@ -212,9 +232,10 @@ def brute_substrings(rows):
     return out
 
 
-@pytest.mark.parametrize("heavy", [20_000, 1])
-def test_substrings(docs, docs_rows, none, clashing, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "levels"), [(4000, 3), (1, 1)])
+def test_substrings(docs, docs_rows, none, clashing, monkeypatch, heavy, levels):
     monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    monkeypatch.setattr(substring_dedup, "LEVELS", levels)
     want = brute_substrings(docs_rows)
     d = docs if heavy > 1 else clashing
     got = substring_dedup.substring_dedup(d).collect()
@@ -224,6 +245,44 @@ def test_substrings(docs, docs_rows, none, clashing, monkeypatch, heavy):
         assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substrings_periodic_and_null_ids(spark):
+    rng = np.random.default_rng(4)
+    line = rng.integers(97, 123, 24, dtype=np.uint8).tobytes().decode()
+    long_line = rng.integers(97, 123, 180, dtype=np.uint8).tobytes().decode()
+    rest = [rng.integers(97, 123, 400, dtype=np.uint8).tobytes().decode() for _ in range(60)]
+    rows = [(None, t) for t in rest] + [(None, "x" * 3000), (1, line * 90), (1, long_line * 9), (None, rest[0][:250] + rest[1]), (2, "a" * 199 + rest[2])]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(tuple(r) for r in got) == brute_substrings(rows)
+
+
+def test_suffix_order():
+    """Lexicographic by block, whatever the ties' length; the cover has every difference."""
+    m, cover = substring_dedup.PERIOD, substring_dedup.COVER
+    assert {(a - b) % m for a in cover for b in cover} == set(range(m))
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 99, 300, dtype=np.uint8).tobytes()
+    segments, block = [b"a" * 230, b"a" * 215], [0, 1]
+    for k in range(60):
+        a = int(rng.integers(0, 60))
+        s = bytearray(base[a : a + int(rng.integers(200, 240))])
+        if rng.random() < 0.4:
+            s[int(rng.integers(0, len(s)))] = 99
+        segments.append(bytes(s))
+        block.append(k % 3)
+    size = np.array([len(s) for s in segments])
+    flat = np.frombuffer(b"".join(segments) + bytes(208), dtype=np.uint8)
+    seg = np.repeat(np.arange(len(segments)), size - 199)
+    at = np.concatenate([np.arange(n - 199) for n in size]) + (np.cumsum(size) - size)[seg]
+    order, same = substring_dedup.suffix_order(flat, at, np.array(block)[seg])
+    text = flat.tobytes()
+    keys = [(block[seg[i]], text[at[i] : at[i] + 200]) for i in order]
+    assert keys == sorted(keys)
+    assert same.tolist() == [False] + [x == y for x, y in zip(keys, keys[1:])]
+    seen = Counter((b, s[i : i + 200]) for b, s in zip(block, segments) for i in range(len(s) - 199))
+    hits = substring_dedup.repeating(np.array(block), np.ones(len(segments), dtype=int), segments)
+    assert [h.tolist() for h in hits] == [[seen[b, s[i : i + 200]] > 1 for i in range(len(s) - 199)] for b, s in zip(block, segments)]
+
+
 def test_anchors_of_long_texts(monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.integers(97, 123, 6000, dtype=np.uint8).tobytes()
