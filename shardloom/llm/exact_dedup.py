@@ -3,8 +3,11 @@
 Two levels. Every input partition first removes its own copies in an open-addressing table that compares complete
 content, so that a group holding a third of all rows reaches the shuffle as a few rows per partition. What is left is
 partitioned by content hash (Spark's shuffle files are the first level of spill files and survive lost executors);
-a bucket that still exceeds the memory bound is partitioned again, recursively, by further bits of the hash to spill
-files of the task, until each fits an open-addressing table.
+a bucket whose different contents still exceed the memory bound is partitioned again, recursively, by further bits of the
+hash to spill files of the task, until each fits an open-addressing table. Rows enter the table as they are read and equal
+contents fold into one entry at once, so that memory holds a content once, however many rows have it.
+A content that many partitions hold (more than ``HOT`` of their winners with one hash) is folded by salted parts first,
+again and again until few are left, so that no task reads all of them.
 
 Defined cases: null text counts as empty; texts are compared after each run of ``[\\x20\\x09-\\x0D]`` becomes one space;
 of repeated rows (equal id and text) one arbitrary row stays; null ids rank after all others. Extra columns are
@@ -16,7 +19,7 @@ from __future__ import annotations
 import os
 import pickle
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +31,8 @@ from .common import WS, shuffle_partitions, text_of, written
 LOCAL_BYTES = 48 << 20
 BUCKET_BYTES = 64 << 20
 FANOUT = 16
+DEPTH = 12
+HOT = 64
 
 
 class ContentTable:
@@ -66,29 +71,27 @@ class ContentTable:
 
 
 def grace_groups(
-    rows: Iterable[tuple[int, bytes, object]], max_bytes: int = BUCKET_BYTES, depth: int = 0
-) -> Iterator[list[list]]:
-    """Groups of payloads with equal content, over ``(hash, content, payload)`` rows, in bounded memory.
-
-    Rows are held until ``max_bytes``; beyond that everything is dealt to ``FANOUT`` spill files by the next bits of
-    the hash, and each file is treated alike. Past the last bits (equal hashes only) the table holds a content once,
-    however many rows have it.
+    rows: Iterable[tuple[int, bytes, object]], max_bytes: int = BUCKET_BYTES, fold: Callable | None = None, depth: int = 0
+) -> Iterator[list[tuple[int, bytes, object]]]:
+    """Groups ``(hash, content, folded payloads)`` of equal content, over ``(hash, content, payload)`` rows, a list for
+    each bucket, in bounded memory. ``fold(a, b)`` of two payloads is one; without it, payloads are lists and join.
+
+    Rows go into the table until it exceeds ``max_bytes``; then its entries, and the rows still to come, are dealt to
+    ``FANOUT`` spill files by the next bits of the hash, and each file is treated alike. Past the last bits (different
+    contents of one hash) there is nothing more to divide by.
     """
-    held: list[tuple[int, bytes, object]] = []
-    size, rows = 0, iter(rows)
-    for row in rows:
-        held.append(row)
-        size += len(row[1]) + 200
-        if size > max_bytes and depth < 12:
-            break
+    fold = fold or (lambda a, b: a + b)
+    table, folded, rows = ContentTable(), [], iter(rows)
+    for h, content, payload in rows:
+        e, new = table.find_or_add(h, content)
+        if new:
+            folded.append(payload)
+            if table.bytes > max_bytes and depth < DEPTH:
+                break
+        else:
+            folded[e] = fold(folded[e], payload)
     else:
-        table, groups = ContentTable(), []
-        for h, content, payload in held:
-            e, new = table.find_or_add(h, content)
-            if new:
-                groups.append([])
-            groups[e].append(payload)
-        yield groups
+        yield list(zip(table.hashes, table.contents, folded, strict=True))
         return
     with tempfile.TemporaryDirectory(prefix="grace-") as folder:
         files = [open(os.path.join(folder, str(i)), "w+b") for i in range(FANOUT)]  # noqa: SIM115
@@ -100,14 +103,14 @@ def grace_groups(
                 pickle.dump(row, files[i], protocol=5)
                 counts[i] += 1
 
-            for row in held:
+            for row in zip(table.hashes, table.contents, folded, strict=True):
                 deal(row)
-            held.clear()
+            del table, folded
             for row in rows:
                 deal(row)
             for i, f in enumerate(files):
                 f.seek(0)
-                yield from grace_groups((pickle.load(f) for _ in range(counts[i])), max_bytes, depth + 1)
+                yield from grace_groups((pickle.load(f) for _ in range(counts[i])), max_bytes, fold, depth + 1)
                 f.close()
         finally:
             for f in files:
@@ -181,29 +184,50 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if state["reps"]:
             yield flush()
 
-    spark = df.sparkSession
     first = written(_prepared(df.select(id_col, text_col), id_col, text_col).select("key", "id", "h", "norm").mapInArrow(local, out), "exact-local")
-    classes = T.StructType().add("rep", "long").add("keep_key", "long").add("keep_id", "long").add("group_size", "long").add("text_sha256", "string")
+    classes = T.StructType().add("rep", "long").add("top", "long").add("h", "long").add("best_id", "long").add("best_key", "long").add("n", "long").add("norm", "string")
     class_fields = _arrow(classes)
 
-    def globally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(a: tuple, b: tuple) -> tuple:
+        return (a[0] + b[0], min(a[1], b[1], key=lambda x: _rank(*x)), a[2] + b[2])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each representative with the one it goes to, which is also a row with the content."""
+
         def rows() -> Iterator[tuple]:
             for b in batches:
-                cols = [b.column(c).to_pylist() for c in ("h", "rep", "best_id", "best_key", "n", "sha")]
-                for h, content, *rest in zip(cols[0], b.column("norm").cast(pa.binary()).to_pylist(), *cols[1:], strict=True):
-                    yield h, content, rest
-
-        for groups in grace_groups(rows()):
-            made = []
-            for g in groups:
-                best = min((x[1:3] for x in g), key=lambda x: _rank(*x))
-                n = sum(x[3] for x in g)
-                made += [(x[0], best[1], best[0], n, x[4]) for x in g]
+                hs, reps, ids, keys, ns = (b.column(c).to_pylist() for c in ("h", "rep", "best_id", "best_key", "n"))
+                for h, content, rep, i, key, n in zip(hs, b.column("norm").cast(pa.binary()).to_pylist(), reps, ids, keys, ns, strict=True):
+                    yield h, content, ([rep], (i, key), n)
+
+        for groups in grace_groups(rows(), fold=fold):
+            made, size = [], 0
+            for h, content, (reps, best, n) in groups:
+                made += [(rep, reps[0], h, *best, n, content.decode("utf-8", "surrogatepass") if rep == reps[0] else None) for rep in reps]
+                size += len(content)
+                if size > LOCAL_BYTES // 4:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), class_fields, strict=True)], schema=class_fields)
+                    made, size = [], 0
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), class_fields, strict=True)], schema=class_fields)
 
+    parts = shuffle_partitions(df.sparkSession)
     reps = first.where("n is not null").select("h", "rep", "best_id", "best_key", "n", "norm")
-    found = reps.repartition(shuffle_partitions(spark), "h").withColumn("sha", F.sha2(F.col("norm"), 256)).mapInArrow(globally, classes)
+    links: list[DataFrame] = []
+    while (salted := _salted(reps)) is not None:
+        hot, reps = salted
+        again = written(hot.repartition(parts, "h", "salt").drop("salt").mapInArrow(merged, classes), "exact-merged")
+        links.append(again.select("rep", "top"))
+        reps = reps.unionByName(again.where("rep = top").select("h", "rep", "best_id", "best_key", "n", "norm"))
+    done = reps.repartition(parts, "h").mapInArrow(merged, classes)
+    # a content's rows all come from one task's table, its first row with the text
+    found = done.select("rep", F.struct(F.col("best_key").alias("keep_key"), F.col("best_id").alias("keep_id"), F.col("n").alias("group_size"), F.sha2("norm", 256).alias("sha"), "top").alias("class"))
+    found = written(found, "exact-classes")
+    shas = found.where("class.sha is not null").select(F.col("class.top").alias("top"), F.col("class.sha").alias("text_sha256"))
+    found = found.select("rep", "class.keep_key", "class.keep_id", "class.group_size", "class.top").join(shas, "top").drop("top")
+    for link in reversed(links):
+        up = link.join(found.withColumnRenamed("rep", "top"), "top").drop("top")
+        found = found.join(link, found["rep"] == link["top"], "left_anti").unionByName(up)
     members = first.where("n is null").select("key", "rep", "id")
     return members.join(found, "rep").select(
         F.col("id").alias(id_col),
@@ -214,6 +238,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+def _salted(reps: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Rows of hashes that more than ``HOT`` rows have, with a salt that leaves about so many to a part, and the others;
+    None where there are none of the former."""
+    hot = written(reps.groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HOT), "exact-hot")
+    if hot.isEmpty():
+        return None
+    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("_rows") / (HOT + 1)))
+    return reps.join(hot, "h").withColumn("salt", salt).drop("_rows"), reps.join(hot, "h", "left_anti")
+
+
 def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: one shuffle, of each partition's own winners."""
     schema = T.StructType().add("row", df.schema).add("id", "long").add("norm", "string").add("h", "long").add("key", "long")
@@ -243,19 +277,26 @@ def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if best:
             yield winners(t, best)
 
-    row_fields = pa.schema(fields.field("row").type)
-
     def globally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for groups in grace_groups((h, c, (i, k, r)) for h, c, i, k, r in read(batches)):
-            rows = [min(g, key=lambda x: _rank(x[0], x[1]))[2] for g in groups]
-            for at in range(0, len(rows), 1000):
-                s = pa.array(rows[at : at + 1000], fields.field("row").type)
-                yield pa.RecordBatch.from_arrays(s.flatten(), schema=row_fields)
-
-    near = _prepared(df, id_col, text_col).select("row", "id", "norm", "h", "key").mapInArrow(local, schema)
-    return near.drop("norm").repartition(shuffle_partitions(df.sparkSession), "h").select(
-        "row", "id", F.regexp_replace(text_of(f"row.{text_col}"), f"[{WS}]+", " ").alias("norm"), "h", "key"
-    ).mapInArrow(globally, df.schema)
+        for groups in grace_groups(((h, c, ((i, k), r)) for h, c, i, k, r in read(batches)), fold=lambda a, b: min(a, b, key=lambda x: _rank(*x[0]))):
+            for at in range(0, len(groups), 1000):
+                rows, ids, keys, hs = zip(*[(r, i, k, h) for h, _, ((i, k), r) in groups[at : at + 1000]], strict=True)
+                cols = [list(rows), list(ids), [None] * len(rows), list(hs), list(keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=fields)
+
+    norm = F.regexp_replace(text_of(f"row.{text_col}"), f"[{WS}]+", " ").alias("norm")
+    parts = shuffle_partitions(df.sparkSession)
+
+    def folded(winners: DataFrame, *by: str) -> DataFrame:
+        rows = winners.repartition(parts, *by).select("row", "id", norm, "h", "key")
+        return rows.mapInArrow(globally, schema).drop("norm")
+
+    near = written(_prepared(df, id_col, text_col).select("row", "id", "norm", "h", "key").mapInArrow(local, schema).drop("norm"), "exact-rows")
+    rest = near.withColumnRenamed("key", "rep")
+    while (salted := _salted(rest)) is not None:
+        hot, rest = (x.withColumnRenamed("rep", "key") for x in salted)
+        rest = rest.unionByName(written(folded(hot, "h", "salt"), "exact-rows")).withColumnRenamed("key", "rep")
+    return folded(rest.withColumnRenamed("rep", "key"), "h").select("row.*")
 
 
 ORACLE = """

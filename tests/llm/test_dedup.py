@@ -28,15 +28,30 @@ def test_content_table_grows_and_compares():
 
 @pytest.mark.parametrize("most", [1, 500, 10**6])
 def test_grace_spills(most):
-    rows = [(hash(i % 37) * 2654435761 % 2**63, b"c%d" % (i % 37) * 20, i) for i in range(300)] + [(5, b"x%d" % (i % 3), 1000 + i) for i in range(9)]
-    got = sorted(sorted(g) for gs in exact_dedup.grace_groups(rows, most) for g in gs)
+    rows = [(hash(i % 37) * 2654435761 % 2**63, b"c%d" % (i % 37) * 20, [i]) for i in range(300)] + [(5, b"x%d" % (i % 3), [1000 + i]) for i in range(9)]
+    got = sorted((c, sorted(g)) for gs in exact_dedup.grace_groups(rows, most) for _, c, g in gs)
     want = defaultdict(list)
-    for h, c, p in rows:
-        want[c].append(p)
-    assert got == sorted(map(sorted, want.values()))
+    for _, c, p in rows:
+        want[c] += p
+    assert got == sorted((c, sorted(g)) for c, g in want.items())
 
 
-def test_exact(docs, docs_rows, none, clashing):
+def test_grace_holds_a_content_once():
+    import tracemalloc
+
+    rows = ((7, bytes(20_000), 1) for _ in range(5000))  # 100 MB of one content
+    tracemalloc.start()
+    try:
+        got = [g for gs in exact_dedup.grace_groups(rows, 10_000, fold=lambda a, b: a + b) for g in gs]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(h, len(c), n) for h, c, n in got] == [(7, 20_000, 5000)] and peak < 2 << 20
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_exact(docs, docs_rows, none, clashing, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)  # with 1, all copies are folded in salted parts first
     want = defaultdict(list)
     for i, t, *_ in docs_rows:
         want[WS.sub(" ", t or "")].append(i)
@@ -54,6 +69,16 @@ def test_exact(docs, docs_rows, none, clashing):
     assert exact_dedup.exact_dedup_rows(none).count() == 0
 
 
+def test_exact_hot_content(spark, monkeypatch):
+    """A content in every partition: several rounds of salted folding."""
+    monkeypatch.setattr(exact_dedup, "HOT", 2)
+    rows = [(i, "the same text" if i % 3 else f"text {i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(df).collect()}
+    assert len(got) == 120 and all(r["keep_id"] == (1 if i % 3 else i) and r["group_size"] == (80 if i % 3 else 1) for i, r in got.items())
+    assert sorted(r["doc_id"] for r in exact_dedup.exact_dedup_rows(df).collect()) == sorted([1, *range(0, 120, 3)])
+
+
 def test_hashes():
     a = word_hashes(b"One two  one\tTWO")
     assert a[0] == a[2] and a[1] == a[3] and a[0] != a[1]
