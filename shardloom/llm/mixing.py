@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Equal-token blocks are allocated to sources by highest quotients ``target / (2 q + 1)`` and, within a source, to its
-shards alike (by their words), never beyond ``max_epochs`` times what is there. A shard's documents lie in seeded order
-end to end as one stream of words; its quota is a seeded cyclic run of blocks of that stream, after whole passes.
-Documents are thus taken whole, but for the two at a run's ends.
+shards alike (by their words; shards beyond ``SHARDS`` come in parts, which are dealt to first), never beyond
+``max_epochs`` times what is there. A block has ``BLOCK`` words, or fewer where the smallest target would be less than
+``LEAST_BLOCKS`` blocks, so that small sources come near theirs too. A shard's documents lie in seeded order end to end as
+one stream of words; its quota is a seeded cyclic run of blocks of that stream, after whole passes. Documents are thus
+taken whole, but for the two at a run's ends.
 
 The tables that meet on the driver have a row per source, of which there may be ``MAX_SOURCES`` (more is an error).
 A hot source only has more shards. Defined cases: null source is a source of its own, sorted last; null or empty text
-has size 0 and nothing is taken; equal rows are dealt alike by their hash, ties in any order; null ids hash as null.
+has size 0 and nothing is taken; equal rows are dealt alike by their hash, ties in any order; null ids hash as null; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from .common import WS, WS_CHARS, text_of
 WEIGHTS = (5, 2, 1)
 BLOCK = 16
 SHARD_WORDS = 100_000
-MAX_SHARDS = 65_536
+SHARDS = 65_536
+LEAST_BLOCKS = 32
 MAX_SOURCES = 100_000
 
 
@@ -95,8 +99,9 @@ def _dealt(df: DataFrame, source_col: str, id_col: str, text_col: str, seed: int
     found = sorted(((r["src"], int(r["n"])) for r in by_source), key=lambda x: (x[0] is None, x[0] or ""))
     sizes = [n for _, n in found]
     want = targets(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(found))], epochs)
-    seats = sainte_lague(round(sum(sizes) / block), np.array(want), np.array([epochs * n // block for n in sizes]))
-    shards = [min(MAX_SHARDS, max(1, -(-n // SHARD_WORDS))) for n in sizes]
+    block = max(1, min([block, *(int(t) // LEAST_BLOCKS for t in want if t > 0)]))
+    seats = sainte_lague(round(sum(sizes) / block), np.array(want), np.array([-(-epochs * n // block) for n in sizes]))
+    shards = [max(1, -(-n // SHARD_WORDS)) for n in sizes]
     plan = spark.createDataFrame(
         [(s, n, float(t), int(q), k, i) for i, ((s, n), t, q, k) in enumerate(zip(found, want, seats, shards, strict=True))],
         "s string, source_size long, target double, seats long, shards int, no int",
@@ -105,18 +110,20 @@ def _dealt(df: DataFrame, source_col: str, id_col: str, text_col: str, seed: int
         "shard", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.col("shards")).cast("int")
     )
 
-    def quotas(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("shard")
-        words = part["words"].to_numpy()
-        part["quota"] = block * sainte_lague(int(part["seats"].iloc[0]), words, epochs * words // block)
-        return part[["no", "shard", "words", "quota"]]
-
-    quota = (
-        rows.groupBy("no", "shard", "seats")
-        .agg(F.sum("size").alias("words"))
-        .groupBy("no")
-        .applyInPandas(quotas, "no int, shard int, words long, quota long")
-    )
+    def dealt(party: str):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(party)
+            rows["got"] = sainte_lague(int(rows["seats"].iloc[0]), rows["words"].to_numpy(), rows["cap"].to_numpy())
+            return rows[["no", "part", party, "words", "got"]] if party != "part" else rows[["no", "part", "got"]]
+
+        return run
+
+    sharded = rows.groupBy("no", "shard", "seats").agg(F.sum("size").alias("words"))
+    sharded = sharded.withColumns({"part": F.floor(F.col("shard") / SHARDS).cast("int"), "cap": F.ceil(F.col("words") * epochs / block).cast("long")})
+    parts = sharded.groupBy("no", "part", "seats").agg(F.sum("words").alias("words"), F.sum("cap").alias("cap"))
+    parts = parts.groupBy("no").applyInPandas(dealt("part"), "no int, part int, got long").withColumnRenamed("got", "seats")
+    quota = sharded.drop("seats").join(parts, ["no", "part"]).groupBy("no", "part").applyInPandas(dealt("shard"), "no int, part int, shard int, words long, got long")
+    quota = quota.select("no", "shard", "words", F.least(F.col("got") * block, F.col("words") * epochs).alias("quota"))  # the last block may be partial
     # the join's partitioning serves the window too: one shuffle of the rows
     at = Window.partitionBy("no", "shard").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(quota, ["no", "shard"]).withColumn("end", F.sum("size").over(at))

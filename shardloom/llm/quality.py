@@ -8,7 +8,8 @@ Training takes at most ``MAX_TRAIN`` labelled rows (those of smallest id hash),
 the driver; the model has a fixed size. Scoring is one pass without a shuffle over every whole text.
 Labels, language, source and id are never inputs of a score. Defined cases: null text counts as empty; an empty text is
 scored by its statistics; without labels of both kinds every score is the share of label 1 (0.5 without labels);
-repeated rows get equal scores; rows of a null id are in the held-out fold.
+repeated rows get equal scores; rows of a null id are in the held-out fold; of labels with one id the highest counts, of
+documents with one id the one of least text hash trains; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,11 +140,14 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         labels.select(F.col(id_col).cast("long").alias("label_id"), F.col("quality").cast("double").alias("label"))
         .where(F.col("label").isNotNull() & F.col("label_id").isNotNull())
         .where(fold("label_id") != 0)
-        .orderBy(F.xxhash64("label_id"), "label_id", "label")
+        .groupBy("label_id")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(MAX_TRAIN)
     )
     metadata = F.col("n_chars").cast("double") if "n_chars" in df.columns else F.lit(None).cast("double")
     docs = df.select(F.col(id_col).cast("long").alias("label_id"), text_of(text_col).alias("text"), metadata.alias("n_chars"))
+    one = F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), "text", "n_chars")).alias("doc")
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -153,8 +157,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 "idx": [m[0].astype("<i4").tobytes() for m in made], "stats": [m[2].tobytes() for m in made],
             })
 
-    got = docs.join(F.broadcast(chosen), "label_id").mapInPandas(rows, "label_id long, label double, idx binary, stats binary").limit(2 * MAX_TRAIN).collect()
-    got.sort(key=lambda r: (r["label_id"], r["label"], bytes(r["idx"])))
+    matched = docs.join(F.broadcast(chosen), "label_id").groupBy("label_id", "label").agg(one).select("label_id", "label", "doc.*")
+    got = matched.mapInPandas(rows, "label_id long, label double, idx binary, stats binary").collect()
+    got.sort(key=lambda r: r["label_id"])
     made = []
     for r in got:
         idx = np.frombuffer(r["idx"], dtype="<i4").astype(np.int64)

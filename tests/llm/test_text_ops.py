@@ -13,12 +13,48 @@ DIR = "/root/testdata/sf0.01"
 
 
 def test_machine_learns_pairs():
-    """The sum-of-squares identity equals the pair sum, and interactions are learned."""
+    """A label that only a pair of words decides, by words that single weights can't separate."""
+    import random
+
+    rng, rows = random.Random(1), []
+    for i in range(600):
+        a, b = i % 2, i // 2 % 2
+        filler = " ".join(rng.choice(("one", "two", "three")) for _ in range(3))
+        rows.append((f"{('red', 'tan')[a]} {filler} {('cat', 'dog')[b]}", a ^ b))
     m = quality.FactorisationMachine()
-    idx, x = np.array([3, 9, 20]), np.array([0.5, -1.0, 2.0])
-    vx = m.v[idx] * x[:, None]
-    pair = sum(float(vx[i] @ vx[j]) for i in range(3) for j in range(i))
-    assert abs(pair - 0.5 * float((vx.sum(0) ** 2 - (vx**2).sum(0)).sum())) < 1e-12
+    m.fit([quality.features(t) for t, _ in rows], np.array([y for _, y in rows], dtype=float), steps=3000)
+    assert np.mean([(m.score(t) > 0.5) == y for t, y in rows]) > 0.95
+    m.v[:] = 0
+    assert np.mean([(m.score(t) > 0.5) == y for t, y in rows]) < 0.8
+
+
+def test_score_by_pairs(spark, docs, small_dir):
+    """Scores of the column operator equal the sum over all pairs of features; source, language and id are no inputs."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{small_dir}/labels.parquet")
+    m = quality.train(docs, labels)
+    got = quality.score(docs, m).select("row.text", "row.n_chars", "score").collect()
+    for r in got[:25]:
+        idx, x = m.row(*quality.features(r["text"] or "", r["n_chars"]))
+        if len(idx) > 200:
+            continue
+        y = m.w0 + sum(m.w[i] * v for i, v in zip(idx, x))
+        vecs = [m.v[i] * v for i, v in zip(idx, x)]
+        y += sum(float(vecs[i] @ vecs[j]) for i in range(len(vecs)) for j in range(i))
+        assert abs(1 / (1 + np.exp(-y)) - r["score"]) < 1e-9
+    other = docs.withColumns({"source": F.lit("z"), "lang": F.lit("xx"), "doc_id": F.col("doc_id") + 1000})
+    a, b = (Counter(r["score"] for r in quality.score(d, m).select("score").collect()) for d in (docs, other))
+    assert a == b
+
+
+def test_quality_training_with_repeats(spark):
+    """Repeated ids and labels: two runs over other partitions learn the same."""
+    docs = [(i % 40, f"word{i % 7} and other text number {i}", i) for i in range(200)]
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(60)], "doc_id long, quality int")
+    d = spark.createDataFrame(docs, "doc_id long, text string, n_chars long")
+    a, b = (quality.train(x, labels) for x in (d.repartition(1), d.repartition(7)))
+    assert (a.w == b.w).all() and (a.v == b.v).all() and a.w.any()
 
 
 def test_quality_held_out(spark):
@@ -73,7 +109,7 @@ def test_mixing(spark, docs, docs_rows, none, clashing, monkeypatch):
         assert Counter(zip(got.doc_id.fillna(-1), got["size"])) == Counter((-1 if i is None else i, size(t)) for i, t, *_ in docs_rows)
         assert (got.taken <= 3 * got["size"]).all() and (got.taken >= 0).all()
         by = got.groupby("source_size").agg(t=("target", "first"), k=("taken", "sum"))
-        assert ((by.t - by.k).abs() <= 2 * mixing.BLOCK * 10).all()
+        assert ((by.t - by.k).abs() <= mixing.BLOCK).all(), by
     again = mixing.mix(docs.repartition(3)).toPandas()
     assert Counter(map(tuple, again.fillna(-1).to_numpy())) == Counter(map(tuple, got.fillna(-1).to_numpy()))
     rows = mixing.mix_rows(clashing)
@@ -88,6 +124,27 @@ def test_mixing(spark, docs, docs_rows, none, clashing, monkeypatch):
     assert mixing.mix(none).count() == 0 and mixing.mix_rows(none).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """Sources of a few words come within one of their targets, alone and beside large ones."""
+    tiny = [(i, "a b c", f"s{i}") for i in range(6)]
+    large = [(100 + i, "w " * 500, "large") for i in range(80)]
+    for rows in (tiny, tiny + large):
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+        assert (got.taken <= 3 * got["size"]).all()
+        small = got[got.doc_id < 6]
+        assert ((small.taken - small.target).abs() <= 1).all(), small
+        assert abs(got.taken.sum() - got["size"].sum()) <= 6
+
+
+def test_mixing_parts_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 200)
+    monkeypatch.setattr(mixing, "SHARDS", 3)
+    rows = [(i, "w " * 100, "ab"[i % 2]) for i in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    by = got.groupby(got.doc_id % 2).agg(t=("target", "first"), k=("taken", "sum"))
+    assert (got.taken <= 3 * got["size"]).all() and ((by.t - by.k).abs() / by.t < 0.01).all()
+
+
 def test_mixing_near_targets(spark):
     got = mixing.query(spark, DIR).toPandas()
     src = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "source").toPandas().merge(got, on="doc_id")
@@ -167,6 +224,57 @@ def test_skip_chain_adds_and_keeps(spark):
         assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == j for x in b) for j in range(4)]
 
 
+def _repeats():
+    """Item codes look like the last token of a phone number; numbers repeat, whole and in part."""
+    rng, rows = np.random.default_rng(8), []
+    for i in range(300):
+        a, b, c, x, y = rng.integers(100, 999), rng.integers(200, 999), rng.integers(1000, 9999), rng.integers(100, 999), rng.integers(1000, 9999)
+        who = ("he", "she", "we", "they")[i % 4]
+        rows.append(f"Then {who} rang +1 ({a}) {b}-{c} today and again +1 ({a}) {b}-{c} then; {who} took {x}-{y} on Monday, or {b}-{c} on Sunday, from box {i}.")
+    return rows
+
+
+def test_skip_edges_carry_evidence():
+    """A bare repeat of a known number is found because of its skip edge, and only because of it."""
+    m = pii.SkipChainCRF()
+    m.fit(_repeats())
+    text = "We rang +1 (286) 555-5136 once. Is 555-5136 right, or is 777-1234 it?"
+    base = pii.base_spans(text)
+    assert [text[s:e] for s, _, e in base] == ["+1 (286) 555-5136"]
+    with_skip = [text[s:e] for s, _, e in m.added([text], [base])[0]]
+    m.skip[:] = 0
+    without = [text[s:e] for s, _, e in m.added([text], [base])[0]]
+    assert with_skip == ["555-5136"] and without == []
+
+
+def test_field_decides_what_patterns_nearly_match():
+    """Card numbers with a wrong check digit have no label in training, and are told from the right ones."""
+    rng, texts = np.random.default_rng(2), []
+    for i in range(300):
+        n = "".join(map(str, rng.integers(0, 10, 16)))
+        texts.append(f"word {i % 90} paid with {n} on {2000 + i % 20} and so on")
+    assert 10 < sum(bool(pii.base_spans(t)) for t in texts) < 60
+    m = pii.SkipChainCRF()
+    m.fit(texts)
+    new = ["they paid with 1234567890123456 on 2011 and 45 more", "in 2004 there were 12 of 90"]
+    assert [pii.base_spans(t) for t in new] == [[], []]
+    assert [[t[s:e] for s, _, e in x] for t, x in zip(new, m.added(new, [[], []]))] == [["1234567890123456"], []]
+
+
+def test_likelihood_gradient_of_a_tree():
+    """Beliefs of edges are the joint's marginals, so the gradient is the likelihood's."""
+    m = pii.SkipChainCRF()
+    rng = np.random.default_rng(0)
+    m.w, m.chain = rng.normal(size=m.w.shape) * 0.3, rng.normal(size=m.chain.shape) * 0.5
+    g = pii.Graph(["1a 22b 3@c"])
+    g.skip = g.skip[:0]
+    u = pii.fixed(m.unary(g), np.array([-1, -1, 2]))
+    joint = np.exp(u[0][:, None, None] + u[1][None, :, None] + u[2][None, None, :] + m.chain[:, :, None] + m.chain[None, :, :])
+    joint /= joint.sum()
+    _, chain, _ = m._beliefs(g, u)
+    assert np.allclose(chain, [joint.sum(2), joint.sum(0)], atol=2e-3)
+
+
 def test_belief_propagation_is_exact_on_trees():
     m = pii.SkipChainCRF()
     rng = np.random.default_rng(0)
