@@ -35,7 +35,7 @@ from .components import components
 T = 64
 TREES = 9
 SMALL_NODE = 512
-MATRIX_NODE = 2048
+MATRIX_NODE = 4096
 HEAVY_NODE = 4096
 VAST_NODE = 32_768
 MAX_DEPTH = 6
@@ -107,7 +107,9 @@ def clusters(n: np.ndarray, least: int) -> np.ndarray:
     label = np.full(len(n), -1)
     hot, left = _onehot(n), np.arange(len(n))
     if len(n) <= MATRIX_NODE:
-        near = (hot @ hot.T) >= least
+        near = np.empty((len(n), len(n)), dtype=bool)
+        for lo in range(0, len(n), 512):
+            near[lo : lo + 512] = (hot[lo : lo + 512] @ hot.T) >= least
         for seed in range(len(n)):
             if label[seed] < 0:
                 label[seed], frontier = seed, near[seed] & (label < 0)
@@ -381,7 +383,8 @@ def _found(df: DataFrame, id_col: str, text_col: str, words: int, threshold_pct:
                 made = [h[a:b].astype("<u8").tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns[:4], pa.array(made, pa.binary())], names=["component", "blocks", "members", "node", "hashes"])
 
-    texts = docs.select("rk", "text").join(wanted, "rk").select("component", "blocks", "members", "node", "text")
+    texts = docs.select("rk", "text").join(wanted.hint("merge"), "rk")  # the same plan at every size
+    texts = texts.select("component", "blocks", "members", "node", "text")
     sets = texts.mapInArrow(shingled, "component long, blocks int, members long, node long, hashes binary")
     # repeated rows share a key: one of each
     sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("component", "blocks", "members", "hashes")])
