@@ -53,3 +53,18 @@ def group_positioned(df: DataFrame, group: str, key: Column, ties: list, rank: s
     joined = marked.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
     inner = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_key", *ties))
     return joined.withColumn(rank, (inner + F.col("_offset")).cast("long")).drop("_key", "_part", "_g", "_p", "_offset")
+
+
+def smaller_counts(counts: DataFrame, value: str, n: str, name: str) -> DataFrame:
+    """Adds to a table of distinct numbers how many rows (the sum of ``n``) have a smaller one. Values are summed in at
+    most ``BUCKETS`` equal ranges, whose totals alone meet in one task; NaN is the largest, null the least."""
+    r = counts.where(~F.isnan(F.col(value).cast("double"))).agg(F.min(value).cast("double").alias("a"), F.max(value).cast("double").alias("b")).first()
+    low, high = r["a"] or 0.0, r["b"] or 0.0
+    at = F.floor((F.col(value).cast("double") - low) / (max(high - low, 1e-300) / (BUCKETS - 1)))
+    bucket = F.when(F.col(value).isNull(), -1).when(F.isnan(F.col(value).cast("double")), BUCKETS).otherwise(F.least(F.greatest(at, F.lit(0)), F.lit(BUCKETS - 1))).cast("long")
+    marked = counts.withColumn("_bucket", bucket)
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = marked.groupBy("_bucket").agg(F.sum(n).alias("_t")).select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    inner = F.coalesce(F.sum(n).over(Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = marked.join(totals, F.col("_bucket") == F.col("_b"))
+    return joined.withColumn(name, (inner + F.col("_offset")).cast("long")).drop("_bucket", "_b", "_offset")

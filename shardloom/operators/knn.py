@@ -1,8 +1,9 @@
 """Exact nearest neighbours by blocks.
 
-Queries and references are dealt to blocks by the hash of their ids; every pair of blocks is one task's matrix product,
-which keeps ``k`` per query; the best of all blocks follow by a window. Top-k decomposes, so the result is exact, no
-task holds more than two blocks, and ties go to the lower id.
+Queries and references are dealt to large blocks by the hash of their ids; every pair of blocks is one task, which walks
+through both in small matrix products, keeps a running top-k per query, and gives only that. The best of all blocks follow
+by a window. Top-k decomposes, so the result is exact; ties go to the lower id. A vector is shipped once per block of the
+other side: with 64 dimensions a hundred million vectors make some 760 blocks.
 """
 
 from __future__ import annotations
@@ -16,12 +17,45 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
 
-BLOCK = 4096
+BLOCK = 131_072
+STEP_QUERIES, STEP_REFS = 512, 8192
+
+
+def top_k(x: np.ndarray, y: np.ndarray, qi: np.ndarray, ri: np.ndarray, k: int, metric: str, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the best ``k`` references (ids ``ri`` ascending) of each query, ties to the lower id."""
+    scores, ids = [], []
+    for a in range(0, len(x), STEP_QUERIES):
+        xs, q = x[a : a + STEP_QUERIES], qi[a : a + STEP_QUERIES]
+        best, who = np.empty((len(xs), 0)), np.empty((len(xs), 0), dtype=np.int64)
+        for b in range(0, len(y), STEP_REFS):
+            ys, r = y[b : b + STEP_REFS], ri[b : b + STEP_REFS]
+            s = xs @ ys.T
+            if metric == "l2":
+                s = 2 * s - (xs**2).sum(1)[:, None] - (ys**2).sum(1)[None, :]
+            if skip_self:
+                s[q[:, None] == r[None, :]] = -np.inf
+            m = min(k, s.shape[1])
+            if m < s.shape[1]:
+                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                least = np.take_along_axis(s, at, 1).min(axis=1)
+                for i in np.flatnonzero((s >= least[:, None]).sum(axis=1) > m):  # ties across the cut
+                    at[i] = np.argsort(-s[i], kind="stable")[:m]
+                at.sort(axis=1)
+                s, near = np.take_along_axis(s, at, 1), r[at]
+            else:
+                near = np.broadcast_to(r, s.shape)
+            best, who = np.concatenate([best, s], axis=1), np.concatenate([who, near], axis=1)
+            top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+            best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
+        scores.append(best)
+        ids.append(who)
+    return np.concatenate(scores), np.concatenate(ids)
 
 
 def knn(queries: DataFrame, refs: DataFrame, vec: str, k: int, id_col: str = "vec_id", metric: str = "cosine", skip_self: bool = True) -> DataFrame:
     """(query_id, ref_id, score, rank): largest cosine or dot product, or least squared distance (as its negative)."""
-    nq, nr = (-(-x.count() // BLOCK) or 1 for x in (queries, refs))
+    nr = -(-refs.count() // BLOCK) or 1
+    nq = max(-(-queries.count() // BLOCK), -(-queries.sparkSession.sparkContext.defaultParallelism // nr))  # a task for each core
     side = lambda d, n: d.select(F.col(id_col).cast("long").alias("id"), doubles(vec).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
     q = side(queries, nq).withColumnsRenamed({"own": "qb"}).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
     r = side(refs, nr).withColumnsRenamed({"own": "rb"}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -33,15 +67,9 @@ def knn(queries: DataFrame, refs: DataFrame, vec: str, k: int, id_col: str = "ve
         x, y = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["v"].to_numpy()).astype(np.float64)
         if metric == "cosine":
             x, y = (z / np.where((n := np.linalg.norm(z, axis=1, keepdims=True)) == 0, 1, n) for z in (x, y))
-        s = x @ y.T
-        if metric == "l2":
-            s = 2 * s - (x**2).sum(1)[:, None] - (y**2).sum(1)[None, :]
-        qi, ri = a["id"].to_numpy(), b["id"].to_numpy()
-        if skip_self:
-            s[qi[:, None] == ri[None, :]] = -np.inf
-        m = min(k, s.shape[1])
-        top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-        out = pd.DataFrame({"query_id": np.repeat(qi, m), "ref_id": ri[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+        qi = a["id"].to_numpy()
+        score, near = top_k(x, y, qi, b["id"].to_numpy(), k, metric, skip_self)
+        out = pd.DataFrame({"query_id": np.repeat(qi, near.shape[1]), "ref_id": near.ravel(), "score": score.ravel()})
         return out[np.isfinite(out["score"])]
 
     near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, "query_id long, ref_id long, score double")

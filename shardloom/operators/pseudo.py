@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import smaller_counts
+
 
 def _keeps(known: Column, threshold: float) -> Column:
     return known & (F.col("confidence").isNull() | (F.col("confidence") >= threshold))
@@ -15,21 +17,21 @@ def filter_labels(
 ) -> DataFrame:
     """(query_id, pred_label, confidence, reason): rows of known classes at the threshold; if fewer than ``required``
     classes are left, the best rows of missing classes above ``floor``, classes by their best confidence."""
-    marked = preds.join(F.broadcast(known.select(F.col("label").alias("pred_label"), F.lit(True).alias("_known"))), "pred_label", "left")
+    marked = preds.join(known.select(F.col("label").alias("pred_label"), F.lit(True).alias("_known")), "pred_label", "left")
     keep = _keeps(F.col("_known").isNotNull(), threshold)
     cols = ["query_id", "pred_label", "confidence"]
     kept = marked.where(keep).select(*cols, F.lit("threshold").alias("reason"))
     if required is None:
         return kept
     have = kept.select("pred_label").distinct()
-    rest = marked.where(F.col("_known").isNotNull() & ~keep & (F.col("confidence") >= floor)).join(F.broadcast(have), "pred_label", "left_anti")
+    rest = marked.where(F.col("_known").isNotNull() & ~keep & (F.col("confidence") >= floor)).join(have, "pred_label", "left_anti")
     w = Window.partitionBy("pred_label").orderBy(F.desc("confidence"), "query_id")
     best = rest.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top_k)
     classes = rest.groupBy("pred_label").agg(F.max("confidence").alias("_best"))
     order = classes.withColumn("_c", F.row_number().over(Window.orderBy(F.desc("_best"), "pred_label")))
     n = have.agg(F.count(F.lit(1)).alias("_have"))
     admitted = order.crossJoin(F.broadcast(n)).where(F.col("_c") <= F.lit(required) - F.col("_have")).select("pred_label")  # n: one row
-    return kept.unionByName(best.join(F.broadcast(admitted), "pred_label").select(*cols, F.lit("rescue").alias("reason")))
+    return kept.unionByName(best.join(admitted, "pred_label").select(*cols, F.lit("rescue").alias("reason")))
 
 
 def audit(preds: DataFrame, truth: DataFrame, id_col: str = "vec_id", label: str = "label") -> DataFrame:
@@ -42,10 +44,9 @@ def audit(preds: DataFrame, truth: DataFrame, id_col: str = "vec_id", label: str
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Adds the average rank of ties, through counts per value: one sort over distinct values, not rows."""
+    """Adds the average rank of ties, through counts per value, summed in ranges of values."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    below = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(value, (below + (F.col("_c") + 1) / 2).alias("avg_rank"))
+    ranks = smaller_counts(counts, value, "_c", "_below").select(value, (F.col("_below") + (F.col("_c") + 1) / 2).alias("avg_rank"))
     return df.join(ranks, value)
 
 
@@ -66,8 +67,7 @@ def calibration(df: DataFrame, value: str, correct: str, sample: str, buckets: i
     # offsets of values, and of ranges of ids within a value: a value that a third of the rows have is ranked in parts
     sizes = marked.groupBy(F.col(value).alias("_v"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy("_v").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    below = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    values = sizes.groupBy("_v").agg(F.sum("_c").alias("_t")).select(F.col("_v").alias("_w"), F.coalesce(F.sum("_t").over(below), F.lit(0)).alias("_below"))
+    values = smaller_counts(sizes.groupBy("_v").agg(F.sum("_c").alias("_t")), "_v", "_t", "_below").select(F.col("_v").alias("_w"), "_below")
     offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).join(values, F.col("_v") == F.col("_w")).select("_v", "_p", (F.col("_o") + F.col("_below")).alias("_offset"))
     rank = F.row_number().over(Window.partitionBy(value, "_part").orderBy(sample)) - 1
     joined = marked.join(offsets, (F.col(value) == F.col("_v")) & (F.col("_part") == F.col("_p"))).withColumn("_i", rank + F.col("_offset"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import group_positioned, order_key
+from ..functions.ordering import group_positioned, hash_positioned, order_key
 
 
 def ranked(df: DataFrame, sample: str, label: str, seed: int) -> DataFrame:
@@ -36,14 +36,37 @@ def per_class_min(df: DataFrame, sample: str, label: str, seed: int, fraction: f
     return _tagged(r, sample, label, F.col("class_rank") <= per_class_count(fraction, k, F.col("class_size")))
 
 
+def full_rounds(sizes: DataFrame, size: str, budget: int) -> tuple[int, int]:
+    """Round robin over classes of the given sizes: the rounds that fit the budget whole, and the rows they take. The
+    round is sought among 64 candidates at a time, each step one sum over the class table."""
+    low, high = 0, (sizes.agg(F.max(size)).first()[0] or 0) + 1
+    taken = 0
+    while high - low > 1:
+        tries = sorted({low + max(1, (high - low) * k // 65) for k in range(1, 65)} - {low, high}) or [low + 1]
+        sums = sizes.agg(*[F.sum(F.least(F.col(size), F.lit(t))).alias(f"s{t}") for t in tries]).first()
+        fit = [(t, s) for t, s in zip(tries, sums, strict=True) if s <= budget]
+        over = [t for t, s in zip(tries, sums, strict=True) if s > budget]
+        low, taken = fit[-1] if fit else (low, taken)
+        high = over[0] if over else high
+    return low, int(taken)
+
+
+def _round_robin(r: DataFrame, label: str, order: list, budget: int) -> DataFrame:
+    """``r`` (class_rank, class_size) with ``_in``: whole rounds, and of the next one the first classes in ``order``."""
+    whole, taken = full_rounds(r.select(label, "class_size").distinct(), "class_size", budget)
+    last = r.where(F.col("class_rank") == whole + 1)  # a row per class at most
+    last = last.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") <= budget - taken)
+    last = last.select(F.col(label).alias("_l"), F.lit(True).alias("_last"))
+    joined = r.join(last, F.col(label).eqNullSafe(F.col("_l")), "left")
+    inside = (F.col("class_rank") <= whole) | ((F.col("class_rank") == whole + 1) & F.col("_last").isNotNull())
+    return joined.withColumn("_in", inside).drop("_l", "_last")
+
+
 def global_budget(df: DataFrame, sample: str, label: str, seed: int, fraction: float) -> DataFrame:
     """Round robin over classes, freshly shuffled each round, up to ``max(1, floor(rows * fraction))`` rows."""
     budget = max(1, int(df.count() * fraction))
-    r = ranked(df, sample, label, seed)
     turn = F.md5(F.concat(F.lit(f"{seed}:"), F.col("class_rank").cast("string"), F.lit(":class:"), F.col(label).cast("string")))
-    chosen = r.orderBy("class_rank", turn, label).limit(budget).select(F.col(sample).alias("_s"), F.lit(True).alias("_in"))
-    joined = df.join(chosen, df[sample] == F.col("_s"), "left")
-    return _tagged(joined, sample, label, F.col("_in").isNotNull())
+    return _tagged(_round_robin(ranked(df, sample, label, seed), label, [turn, label], budget), sample, label, F.col("_in"))
 
 
 def _chosen_classes(df: DataFrame, label: str, seed: int, fraction: float) -> DataFrame:
@@ -61,31 +84,47 @@ def class_subset_k_shot(df: DataFrame, sample: str, label: str, seed: int, fract
     return _tagged(r, sample, label, F.col("_in").isNotNull() & (F.col("class_rank") <= k))
 
 
+def imbalanced_counts(df: DataFrame, label: str, seed: int, fraction: float) -> DataFrame:
+    """(label, available, take): the total of :func:`per_class_min` spread unevenly, within ``max(1, floor(b / 2))`` and
+    ``min(size, 2 b)`` of a class's even share ``b``.
+
+    Above its lower bound a class has a seeded weight, ``b`` times a number from 0.25 to 2. What is left of the total
+    fills the classes in proportion to their weights, up to their upper bounds (a common level, from sums over the
+    classes by how soon they are full); running totals are rounded down, so that the sum is exact. All of it is windows
+    over the class table.
+    """
+    u = F.conv(F.substring(order_key(seed, label, "weight:"), 1, 8), 16, 10).cast("double") / 4294967296.0
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("available"))
+    c = c.withColumn("_b", per_class_count(fraction, None, F.col("available")))
+    c = c.withColumn("_low", F.greatest(F.lit(1), F.floor(F.col("_b") / 2)))
+    c = c.withColumns({"_room": (F.least("available", F.col("_b") * 2) - F.col("_low")).cast("double"), "_w": F.col("_b") * (F.lit(0.25) + F.lit(1.75) * u)})
+    everything, full = Window.partitionBy(), Window.orderBy(F.col("_room") / F.col("_w"), label)
+    c = c.withColumns({
+        "_extra": F.sum(F.col("_b") - F.col("_low")).over(everything).cast("double"), "_all": F.sum("_room").over(everything),
+        "_before": F.coalesce(F.sum("_room").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "_open": F.sum("_w").over(full.rowsBetween(0, Window.unboundedFollowing)),
+    })
+    level = (F.col("_extra") - F.col("_before")) / F.col("_open")
+    fits = F.col("_before") + F.col("_room") / F.col("_w") * F.col("_open") >= F.col("_extra")
+    c = c.withColumn("_level", F.max(F.when(fits, level)).over(everything))
+    share = F.least("_room", F.coalesce(F.col("_level") * F.col("_w"), F.col("_room")))
+    upto = F.floor(F.sum(share).over(Window.orderBy(label)) + 1e-6)
+    c = c.withColumn("_upto", upto)
+    take = F.col("_low") + F.col("_upto") - F.coalesce(F.lag("_upto").over(Window.orderBy(label)), F.lit(0))
+    return c.select(label, "available", take.cast("long").alias("take"))
+
+
 def per_class_imbalanced(df: DataFrame, sample: str, label: str, seed: int, fraction: float) -> DataFrame:
-    """The total of ``per_class_min`` unevenly spread: from ``max(1, b/2)`` up to ``min(size, 2b)`` rows a class, single
-    rows drawn by weights. The draw runs over the class table on the driver, which has a row per class."""
-    import numpy as np
-
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
-    n = np.array([r["n"] for r in sizes])
-    b = np.maximum(1, np.rint(n * fraction).astype(int))
-    low, high = np.maximum(1, b // 2), np.minimum(n, 2 * b)
-    rng = np.random.default_rng(seed)
-    weight, take = b * rng.lognormal(0.0, 0.6, len(b)), low.copy()
-    for _ in range(int(b.sum() - low.sum())):
-        open_ = np.flatnonzero(take < high)
-        if not len(open_):
-            break
-        take[rng.choice(open_, p=weight[open_] / weight[open_].sum())] += 1
-    plan = df.sparkSession.createDataFrame([(r[label], int(t)) for r, t in zip(sizes, take, strict=True)], f"{label} {dict(df.dtypes)[label]}, take long")
-    return _tagged(ranked(df, sample, label, seed).join(F.broadcast(plan), label), sample, label, F.col("class_rank") <= F.col("take"))
+    plan = imbalanced_counts(df, label, seed, fraction).select(label, "take")
+    return _tagged(ranked(df, sample, label, seed).join(plan, label), sample, label, F.col("class_rank") <= F.col("take"))
 
 
 def unlabeled_cap(tagged: DataFrame, sample: str, seed: int, cap: int) -> DataFrame:
     """At most ``cap`` unlabeled rows stay in their pool; the others are unused."""
-    stay = tagged.where("pool = 'unlabeled'").orderBy(order_key(seed, sample, "cap:"), sample).limit(cap).select(F.col(sample).alias("_s"), F.lit(True).alias("_in"))
-    pool = F.when((F.col("pool") == "unlabeled") & F.col("_in").isNull(), "unused").otherwise(F.col("pool"))
-    return tagged.join(stay, tagged[sample] == F.col("_s"), "left").select(*[c for c in tagged.columns if c != "pool"], pool.alias("pool"))
+    others = [c for c in tagged.columns if c != "pool"]
+    free = hash_positioned(tagged.where("pool = 'unlabeled'"), order_key(seed, sample, "cap:"), [sample], "_i")
+    free = free.select(*others, F.when(F.col("_i") < cap, "unlabeled").otherwise("unused").alias("pool"))
+    return tagged.where("pool is null or pool <> 'unlabeled'").select(*others, "pool").union(free)
 
 
 def long_tail_counts(df: DataFrame, label: str, factor: float) -> DataFrame:
@@ -118,8 +157,9 @@ def match_train(df: DataFrame, sample: str, label: str, seed: int, rows: int, cl
     order = class_order(r, label, seed)
     m = F.least(F.lit(classes).cast("long"), F.col("classes"), F.lit(max(1, t // 2)).cast("long"))
     picked = r.join(order.where(F.col("class_no") <= m).select(label, "class_no"), label)
-    return picked.orderBy("class_rank", "class_no").limit(t).select(sample, label)
+    return _round_robin(picked, label, ["class_no"], t).where("_in").select(sample, label)
 
 
 def uniform_sample(df: DataFrame, sample: str, seed: int, n: int) -> DataFrame:
-    return df.orderBy(order_key(seed, sample), sample).limit(n)
+    """The first ``n`` rows of the seeded order."""
+    return hash_positioned(df, order_key(seed, sample), [sample], "_i").where(F.col("_i") < n).drop("_i")

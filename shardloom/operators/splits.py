@@ -10,7 +10,7 @@ from .sampling import class_order, ranked
 
 
 def _with_parts(df: DataFrame, label: str, parts: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(parts), label)
+    return df.join(parts, label)
 
 
 def holdout_by_class(df: DataFrame, sample: str, label: str, seed: int, ratio: float = 0.8) -> DataFrame:
@@ -27,7 +27,7 @@ def holdout_superclass_balanced(df: DataFrame, sample: str, label: str, supercla
     inner = order.withColumns({"_r": F.row_number().over(w.orderBy("class_no")), "_s": F.count(F.lit(1)).over(w)})
     free = inner.where("_r <= _s - 1").withColumn("_k", F.row_number().over(Window.orderBy("class_no")))
     valid = free.where(F.col("_k") <= F.col("classes") - F.floor(F.col("classes") * F.lit(ratio))).select(label, F.lit("valid").alias("part"))
-    return df.join(F.broadcast(valid), label, "left").select(sample, label, superclass, F.coalesce("part", F.lit("train")).alias("part"))
+    return df.join(valid, label, "left").select(sample, label, superclass, F.coalesce("part", F.lit("train")).alias("part"))
 
 
 def post_apportion(tagged: DataFrame, sample: str, label: str, seed: int, ratio: float = 0.2) -> DataFrame:
@@ -37,7 +37,7 @@ def post_apportion(tagged: DataFrame, sample: str, label: str, seed: int, ratio:
     n = F.least(F.greatest(F.floor(F.col("classes") * F.lit(1 - ratio)), F.lit(1)), F.col("classes") - 1)
     held = order.where(F.col("class_no") > n).select(label, F.lit(True).alias("_held"))
     part = F.when(F.col("_held").isNull(), F.col("pool")).when(F.col("pool") == "labeled", "valid").otherwise("excluded")
-    return tagged.join(F.broadcast(held), label, "left").select(sample, label, part.alias("part"))
+    return tagged.join(held, label, "left").select(sample, label, part.alias("part"))
 
 
 def kfold(df: DataFrame, sample: str, seed: int, k: int) -> DataFrame:
@@ -70,36 +70,22 @@ def group_kfold(df: DataFrame, sample: str, label: str, k: int) -> DataFrame:
     if len(sizes) < k:
         raise ValueError("more folds than classes")
     plan = df.sparkSession.createDataFrame(sorted(group_folds(sizes, k).items()), f"{label} {dict(df.dtypes)[label]}, fold long")
-    return df.join(F.broadcast(plan), label).select(sample, label, "fold")
+    return df.join(plan, label).select(sample, label, "fold")
 
 
-def superclass_group_folds(df: DataFrame, sample: str, label: str, superclass: str, seed: int, k: int, attempts: int = 1000) -> DataFrame:
-    """Classes to folds under quotas; a fold leaves every superclass a class outside it. Retries with other orders."""
-    import random
+def superclass_group_folds(df: DataFrame, sample: str, label: str, superclass: str, seed: int, k: int) -> DataFrame:
+    """Whole classes to folds; folds differ by one class at most, and each leaves every superclass a class outside it.
 
-    rows = df.groupBy(label, superclass).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
-    c, size = len(rows), {}
-    for r in rows:
-        size[r[superclass]] = size.get(r[superclass], 0) + 1
-    if min(size.values()) < 2 or k > c:
+    Superclasses in seeded order, within them the largest class first, are dealt in turn: the classes of one superclass
+    lie next to each other, so a fold gets one of every ``k`` of them, which is all of them for none that has two.
+    """
+    classes = df.groupBy(label, superclass).agg(F.count(F.lit(1)).alias("_n"))
+    fewest = classes.groupBy(superclass).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"), F.sum("c").alias("all")).first()
+    if k < 2 or (fewest["least"] or 0) < 2 or k > fewest["all"]:
         raise ValueError("too few classes")
-    for attempt in range(attempts):
-        rng = random.Random(seed + attempt)
-        order = rng.sample(rows, c)
-        quota, load, held, plan = [c // k + (i < c % k) for i in range(k)], [0] * k, [{} for _ in range(k)], {}
-        count = [0] * k
-        for r in order:
-            fit = [f for f in range(k) if count[f] < quota[f] and held[f].get(r[superclass], 0) < size[r[superclass]] - 1]
-            if not fit:
-                break
-            f = min(fit, key=lambda f: (load[f], count[f], rng.random()))
-            plan[r[label]], load[f] = f, load[f] + r["n"]
-            count[f] += 1
-            held[f][r[superclass]] = held[f].get(r[superclass], 0) + 1
-        if len(plan) == c:
-            made = df.sparkSession.createDataFrame(sorted(plan.items()), f"{label} {dict(df.dtypes)[label]}, fold long")
-            return df.join(F.broadcast(made), label).select(sample, label, superclass, "fold")
-    raise ValueError("no assignment found")
+    turn = Window.orderBy(order_key(seed, superclass, "super:"), superclass, F.desc("_n"), label)
+    plan = classes.select(label, F.pmod(F.row_number().over(turn) - 1, F.lit(k)).cast("long").alias("fold"))
+    return df.join(plan, label).select(sample, label, superclass, "fold")
 
 
 def leakage_excluded(tagged: DataFrame, folds: DataFrame, sample: str, label: str, grouped: bool) -> DataFrame:
@@ -111,14 +97,14 @@ def leakage_excluded(tagged: DataFrame, folds: DataFrame, sample: str, label: st
     out = rows.join(valid, (rows["fold"] == valid["fold"]) & (rows[sample] == valid["_s"]), "left_anti")
     if grouped:
         classes = valid.select("fold", "_l").distinct()
-        out = out.join(F.broadcast(classes), (out["fold"] == classes["fold"]) & (out[label] == classes["_l"]), "left_anti")
+        out = out.join(classes, (out["fold"] == classes["fold"]) & (out[label] == classes["_l"]), "left_anti")
     return out.select("fold", sample, label, "pool")
 
 
 def dense_relabel(df: DataFrame, sample: str, label: str) -> DataFrame:
     """Classes numbered from 0 by label, through the class table."""
     classes = df.select(label).distinct().withColumn("mapped", (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
-    return df.join(F.broadcast(classes), label).select(sample, label, "mapped")
+    return df.join(classes, label).select(sample, label, "mapped")
 
 
 def mapped_or(df: DataFrame, mapper: DataFrame, label: str, absent: int = -1) -> DataFrame:

@@ -64,9 +64,9 @@ def _(read):
     return wide.unpivot(["step"], ["total", "cust"], "name", "value")
 
 
-@query("metrics_wide", "SELECT o_custkey AS run, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1")
+@query("metrics_wide", "SELECT o_custkey AS run, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f, sum(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY 1")
 def _(read):
-    p = read("orders").where("o_custkey % 5 = 0").groupBy(F.col("o_custkey").alias("run")).pivot("o_orderstatus", ["F", "O"]).agg(F.sum("o_totalprice"))
+    p = read("orders").groupBy(F.col("o_custkey").alias("run")).pivot("o_orderstatus", ["F", "O"]).agg(F.sum("o_totalprice"))
     return p.withColumnsRenamed({"F": "f", "O": "o"})
 
 
@@ -119,9 +119,9 @@ def _(read):
     return read("customer").join(known, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", fine.alias("superclass"))
 
 
-@query("set_summary", "SELECT count(*) AS samples, count(DISTINCT label) AS classes FROM embeddings WHERE vec_id % 4 = 0")
+@query("set_summary", "SELECT count(*) AS samples, count(DISTINCT label) AS classes FROM embeddings")
 def _(read):
-    return _e(read).where("vec_id % 4 = 0").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("label").alias("classes"))
+    return _e(read).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("label").alias("classes"))
 
 
 @query("index_validation", "SELECT count(*) AS n, min(vec_id) >= 0 AS low_ok, max(vec_id) < (SELECT count(*) FROM embeddings) AS high_ok, count(DISTINCT vec_id) = count(*) AS unique_ok FROM embeddings WHERE vec_id % 4 = 0")
@@ -172,15 +172,15 @@ def _(read):
     return _e(read).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")).select("label", F.to_json(F.struct("n", "least")).alias("record"))
 
 
-@query("position_label_map", "SELECT label, string_agg(CAST(vec_id AS VARCHAR) || '=' || CAST(label AS VARCHAR), ';' ORDER BY vec_id) AS entries FROM embeddings WHERE vec_id % 5 = 0 GROUP BY 1")
+@query("position_label_map", "SELECT label, string_agg(CAST(vec_id AS VARCHAR) || '=' || CAST(label AS VARCHAR), ';' ORDER BY vec_id) AS entries FROM embeddings GROUP BY 1")
 def _(read):
-    e = _e(read).where("vec_id % 5 = 0").groupBy("label").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("vec_id", F.col("label").alias("l"))))).alias("m"))
+    e = _e(read).groupBy("label").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("vec_id", F.col("label").alias("l"))))).alias("m"))
     return e.select("label", F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat(x["key"].cast("string"), F.lit("="), x["value"].cast("string"))), ";").alias("entries"))
 
 
-@query("labels_at_positions", "SELECT p.k AS position, coalesce(label, -1) AS label, label IS NOT NULL AS inside FROM (SELECT c_custkey * 7 AS k FROM customer WHERE c_custkey < 120) p LEFT JOIN embeddings ON vec_id = p.k")
+@query("labels_at_positions", "SELECT p.k AS position, coalesce(label, -1) AS label, label IS NOT NULL AS inside FROM (SELECT c_custkey * 7 AS k FROM customer) p LEFT JOIN embeddings ON vec_id = p.k")
 def _(read):
-    p = read("customer").where("c_custkey < 120").select((F.col("c_custkey") * 7).alias("position"))
+    p = read("customer").select((F.col("c_custkey") * 7).alias("position"))
     return p.join(_e(read), F.col("position") == F.col("vec_id"), "left").select("position", F.coalesce("label", F.lit(-1)).alias("label"), F.col("label").isNotNull().alias("inside"))
 
 
@@ -190,10 +190,10 @@ def _(read):
     return read("customer").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("c_nationkey").alias("classes"))
 
 
-@query("miner_counts", "SELECT l_orderkey, least(count(*) FILTER (WHERE l_returnflag = 'A'), count(*) FILTER (WHERE l_returnflag = 'R')) AS pairs, count(*) AS rows FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1")
+@query("miner_counts", "SELECT l_orderkey, least(count(*) FILTER (WHERE l_returnflag = 'A'), count(*) FILTER (WHERE l_returnflag = 'R')) AS pairs, count(*) AS rows FROM lineitem GROUP BY 1")
 def _(read):
     a, r = F.count_if(F.col("l_returnflag") == "A"), F.count_if(F.col("l_returnflag") == "R")
-    return read("lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.least(a, r).alias("pairs"), F.count(F.lit(1)).alias("rows"))
+    return read("lineitem").groupBy("l_orderkey").agg(F.least(a, r).alias("pairs"), F.count(F.lit(1)).alias("rows"))
 
 
 @query("grid_summary_row", """WITH g AS (SELECT l_linestatus AS s, l_returnflag AS m, avg(l_discount) AS v FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1, 2)
@@ -215,10 +215,10 @@ def _(read):
     return read("orders").where(ok).groupBy((F.col("o_custkey") % 50).alias("trial")).agg(F.round(F.avg("o_totalprice"), 2).alias("mean_value"), F.count(F.lit(1)).alias("replays"))
 
 
-@query("random_view_pick", "SELECT l_orderkey, arg_min(l_partkey, md5(concat('3:', CAST(l_orderkey AS VARCHAR), ':', CAST(l_partkey AS VARCHAR)))) AS picked FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1")
+@query("random_view_pick", "SELECT l_orderkey, arg_min(l_partkey, md5(concat('3:', CAST(l_orderkey AS VARCHAR), ':', CAST(l_partkey AS VARCHAR)))) AS picked FROM lineitem GROUP BY 1")
 def _(read):
     key = F.md5(F.concat(F.lit("3:"), F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_partkey").cast("string")))
-    return read("lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.min_by("l_partkey", key).alias("picked"))
+    return read("lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", key).alias("picked"))
 
 
 @query("training_set_build", f"""WITH {_K}, r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('7:', CAST(vec_id AS VARCHAR))), vec_id) AS n FROM embeddings), l AS (SELECT vec_id, label FROM r WHERE n <= 8),

@@ -62,18 +62,18 @@ def _(read):
 
 
 @query("class_overlap", """
-WITH s AS (SELECT DISTINCT p_brand AS split, p_size AS label FROM part WHERE p_partkey % 7 = 0), n AS (SELECT split, count(*) AS n FROM s GROUP BY 1),
+WITH s AS (SELECT DISTINCT p_brand AS split, p_size AS label FROM part), n AS (SELECT split, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.split AS split_a, b.split AS split_b, a.n AS num_classes_a, b.n AS num_classes_b FROM n a JOIN n b ON a.split < b.split),
 i AS (SELECT a.split AS split_a, b.split AS split_b, count(*) AS k, string_agg(CAST(label AS VARCHAR), ';' ORDER BY label) AS names FROM s a JOIN s b USING (label) WHERE a.split < b.split GROUP BY ALL)
 SELECT split_a, split_b, num_classes_a, num_classes_b, coalesce(k, 0) AS num_intersection, num_classes_a + num_classes_b - coalesce(k, 0) AS num_union,
   round(coalesce(k, 0) / (num_classes_a + num_classes_b - coalesce(k, 0)), 6) AS jaccard, coalesce(names, '') AS intersection_classes FROM p LEFT JOIN i USING (split_a, split_b)
 """)
 def _(read):
-    return D.class_overlap(read("part").where("p_partkey % 7 = 0").select(F.col("p_brand").alias("split"), F.col("p_size").alias("label")), "split", "label")
+    return D.class_overlap(read("part").select(F.col("p_brand").alias("split"), F.col("p_size").alias("label")), "split", "label")
 
 
 @query("pairwise_class_sets", """
-WITH s AS (SELECT DISTINCT p_brand AS k, p_size AS l FROM part WHERE p_partkey % 11 = 0), b AS (SELECT DISTINCT k FROM s),
+WITH s AS (SELECT DISTINCT p_brand AS k, p_size AS l FROM part), b AS (SELECT DISTINCT k FROM s),
 p AS (SELECT x.k AS a, y.k AS b FROM b x JOIN b y ON x.k < y.k),
 m AS (SELECT p.a, p.b, l, bool_or(s.k = p.a) AS in_a, bool_or(s.k = p.b) AS in_b FROM p JOIN s ON s.k IN (p.a, p.b) GROUP BY ALL)
 SELECT a AS left_key, b AS right_key, bool_and(in_a AND in_b) AS same_classes, bool_and(in_b OR NOT in_a) AS left_subset, bool_and(in_a OR NOT in_b) AS right_subset,
@@ -82,7 +82,7 @@ SELECT a AS left_key, b AS right_key, bool_and(in_a AND in_b) AS same_classes, b
 FROM m GROUP BY a, b
 """)
 def _(read):
-    return D.pairwise_class_sets(read("part").where("p_partkey % 11 = 0").select(F.col("p_brand").alias("k"), F.col("p_size").alias("l")), "k", "l")
+    return D.pairwise_class_sets(read("part").select(F.col("p_brand").alias("k"), F.col("p_size").alias("l")), "k", "l")
 
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -210,11 +210,11 @@ def _(read):
 
 
 @query("class_set_algebra", """
-WITH a AS (SELECT DISTINCT p_size AS l FROM part WHERE p_partkey % 31 = 0), b AS (SELECT DISTINCT p_size AS l FROM part WHERE p_partkey % 37 = 0)
+WITH a AS (SELECT DISTINCT p_retailprice AS l FROM part WHERE p_type = 'ECONOMY'), b AS (SELECT DISTINCT p_retailprice AS l FROM part WHERE p_size <= 25)
 SELECT 'both' AS kind, l FROM (SELECT l FROM a INTERSECT SELECT l FROM b) UNION ALL SELECT 'left' AS kind, l FROM (SELECT l FROM a EXCEPT SELECT l FROM b) UNION ALL SELECT 'either' AS kind, l FROM (SELECT l FROM a UNION SELECT l FROM b)
 """)
 def _(read):
-    a, b = (read("part").where(f"p_partkey % {m} = 0").select(F.col("p_size").alias("l")).distinct() for m in (31, 37))
+    a, b = (read("part").where(x).select(F.col("p_retailprice").alias("l")).distinct() for x in ("p_type = 'ECONOMY'", "p_size <= 25"))
     tag = lambda d, k: d.select(F.lit(k).alias("kind"), "l")
     return tag(a.intersect(b), "both").unionByName(tag(a.exceptAll(b), "left")).unionByName(tag(a.union(b).distinct(), "either"))
 
@@ -250,9 +250,9 @@ def _(read):
     return V.hidden_views(read("embeddings"), "vec_id", 3)
 
 
-@query("regrouped_views", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ';' ORDER BY l_linenumber, l_partkey) AS views, count(DISTINCT l_returnflag) AS labels FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1")
+@query("regrouped_views", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ';' ORDER BY l_linenumber, l_partkey) AS views, count(DISTINCT l_returnflag) AS labels FROM lineitem GROUP BY 1")
 def _(read):
-    v = V.regrouped(read("lineitem").where("l_orderkey % 10 = 0"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    v = V.regrouped(read("lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     return v.select("l_orderkey", F.array_join(F.col("views").cast("array<string>"), ";").alias("views"), "labels")
 
 

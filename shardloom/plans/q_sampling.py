@@ -46,7 +46,20 @@ def _(read):
     return A.class_subset_k_shot(_rows(read), "s", "l", SEED, 0.3, 4)
 
 
-@query("budget_imbalanced")
+_IMB = f"""{_T}, i0 AS (SELECT DISTINCT l, class_size AS available, CAST(greatest(1, round_even(class_size * CAST(0.1 AS DOUBLE), 0)) AS BIGINT) AS b, CAST('0x' || substr(md5(concat('{SEED}:weight:', CAST(l AS VARCHAR))), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM r),
+i1 AS (SELECT *, greatest(1, b // 2) AS low, CAST(least(available, 2 * b) - greatest(1, b // 2) AS DOUBLE) AS room, b * (0.25 + CAST(1.75 AS DOUBLE) * u) AS w FROM i0),
+i2 AS (SELECT *, CAST(sum(b - low) OVER () AS DOUBLE) AS extra, coalesce(sum(room) OVER (ORDER BY room / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY room / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM i1),
+i3 AS (SELECT *, max(CASE WHEN before + room / w * open >= extra THEN (extra - before) / open END) OVER () AS level FROM i2),
+i4 AS (SELECT *, floor(sum(least(room, coalesce(level * w, room))) OVER (ORDER BY l) + 1e-6) AS upto FROM i3),
+i5 AS (SELECT l, available, CAST(low + upto - coalesce(lag(upto) OVER (ORDER BY l), 0) AS BIGINT) AS take FROM i4)"""
+
+
+@query("imbalanced_counts", f"WITH {_IMB} SELECT * FROM i5")
+def _(read):
+    return A.imbalanced_counts(_rows(read), "l", SEED, 0.1)
+
+
+@query("budget_imbalanced", f"WITH {_IMB} SELECT s, l, {_POOL.format('class_rank <= take')} FROM r JOIN i5 USING (l)")
 def _(read):
     return A.per_class_imbalanced(_rows(read), "s", "l", SEED, 0.1)
 
@@ -122,12 +135,16 @@ def _(read):
     return S.stratified_kfold(_rows(read), "s", "l", SEED, 5)
 
 
-@query("group_kfold")
+@query("group_kfold", f"""WITH RECURSIVE {_T}, g AS (SELECT l, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l) AS i FROM t GROUP BY l),
+w AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS fold, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load
+UNION ALL SELECT g.i, g.l, list_position(load, list_min(load)) - 1, list_transform(load, lambda x, k: CASE WHEN k = list_position(load, list_min(load)) THEN x + g.n ELSE x END) FROM w JOIN g ON g.i = w.i + 1)
+SELECT s, t.l, fold FROM t JOIN w ON w.l = t.l""")
 def _(read):
     return S.group_kfold(_rows(read), "s", "l", 5)
 
 
-@query("superclass_group_kfold")
+@query("superclass_group_kfold", f"""WITH {_T}, c AS (SELECT l, n_regionkey AS g, count(*) AS n FROM t JOIN nation ON n_nationkey = l GROUP BY 1, 2),
+f AS (SELECT l, g, (row_number() OVER (ORDER BY md5(concat('{SEED}:super:', CAST(g AS VARCHAR))), g, n DESC, l) - 1) % 3 AS fold FROM c) SELECT s, l, g, fold FROM t JOIN f USING (l)""")
 def _(read):
     g = _rows(read).join(F.broadcast(read("nation").select(F.col("n_nationkey").alias("l"), F.col("n_regionkey").alias("g"))), "l")
     return S.superclass_group_folds(g, "s", "l", "g", SEED, 3)

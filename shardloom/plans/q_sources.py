@@ -18,12 +18,12 @@ def _(read):
 
 
 @query("split_list_tokens", """
-WITH l AS (SELECT doc_id, string_split_regex(trim(split_part(text, chr(10), 1)), '[ \t]+') AS a FROM documents), t AS (SELECT doc_id, list_filter(a, lambda x: regexp_full_match(lower(x), '.*\\.(jpg|the|a)'))[1] AS token FROM l)
-SELECT token, min(doc_id) AS doc_id FROM t WHERE token IS NOT NULL GROUP BY 1
+WITH l AS (SELECT p_partkey, string_split_regex(p_name || '.jpg ' || p_brand || '.PNG ' || CAST(p_size AS VARCHAR), '[ ]+') AS a FROM part), t AS (SELECT p_partkey, list_filter(a, lambda x: regexp_full_match(lower(x), '.*\\.(jpg|png)'))[1] AS token FROM l)
+SELECT token, min(p_partkey) AS p_partkey FROM t WHERE token IS NOT NULL GROUP BY 1
 """)
 def _(read):
-    lines = read("documents").select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("value"))
-    return R.split_list(lines, [".jpg", ".the", ".a"], order="doc_id")
+    line = F.concat("p_name", F.lit(".jpg "), "p_brand", F.lit(".PNG "), F.col("p_size").cast("string"))
+    return R.split_list(read("part").select("p_partkey", line.alias("value")), [".jpg", ".png"], order="p_partkey")
 
 
 @query("indexed_text", "SELECT CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS id, c_mktsegment AS rest, count(*) OVER (PARTITION BY CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT)) AS copies FROM customer")

@@ -29,6 +29,49 @@ def test_imbalanced_bounds(spark):
     df = frame(spark, [(i, i % 4) for i in range(200)], "s long, l long")
     n = [r["n"] for r in sampling.per_class_imbalanced(df, "s", "l", 3, 0.2).where("pool = 'labeled'").groupBy("l").agg(F.count("*").alias("n")).collect()]
     assert sum(n) == 40 and all(5 <= x <= 20 for x in n)
+    sizes = {0: 3, 1: 40, 2: 200, 3: 11, 4: 90, 5: 1}
+    df = frame(spark, [(l * 1000 + i, l) for l, k in sizes.items() for i in range(k)], "s long, l long")
+    for seed in range(4):
+        takes = {r["l"]: r["take"] for r in sampling.imbalanced_counts(df, "l", seed, 0.2).collect()}
+        even = {l: max(1, round(k * 0.2)) for l, k in sizes.items()}
+        assert sum(takes.values()) == sum(even.values()) and len(set(takes.values())) > 2
+        assert all(max(1, b // 2) <= takes[l] <= min(sizes[l], 2 * b) for l, b in even.items()), takes
+
+
+def test_full_rounds(spark):
+    sizes = [1, 4, 4, 9, 300]
+    df = frame(spark, [(k, n) for k, n in enumerate(sizes)], "l long, n long")
+    for budget in (0, 1, 4, 5, 6, 17, 18, 200, 318, 400):
+        whole, taken = sampling.full_rounds(df, "n", budget)
+        want = max(r for r in range(301) if sum(min(n, r) for n in sizes) <= budget)
+        assert (whole, taken) == (want, sum(min(n, want) for n in sizes))
+
+
+def test_smaller_counts(spark):
+    from shardloom.functions.ordering import smaller_counts
+
+    rng = np.random.default_rng(0)
+    values = np.unique(np.concatenate([rng.normal(size=300) ** 5, [0.0, 1.0]])).tolist()
+    df = frame(spark, [(v, k % 4 + 1) for k, v in enumerate(values)] + [(None, 2), (float("nan"), 3)], "v double, n long")
+    got = {r["v"]: r["below"] for r in smaller_counts(df, "v", "n", "below").collect() if r["v"] == r["v"]}
+    assert [got[v] for v in values] == [2 + sum(j % 4 + 1 for j in range(k)) for k in range(len(values))] and got[None] == 0
+    assert smaller_counts(df.where("false"), "v", "n", "below").count() == 0
+
+
+def test_top_k_with_ties():
+    from shardloom.operators import knn as m
+
+    rng = np.random.default_rng(1)
+    y = rng.integers(-2, 3, (500, 3)).astype(float)
+    ids = np.arange(500) * 3
+    was, m.STEP_REFS, m.STEP_QUERIES = (m.STEP_REFS, m.STEP_QUERIES), 64, 50
+    try:
+        score, near = m.top_k(y, y, ids, ids, 7, "dot", True)
+    finally:
+        m.STEP_REFS, m.STEP_QUERIES = was
+    s = y @ y.T
+    np.fill_diagonal(s, -np.inf)
+    assert (near == ids[np.argsort(-s, axis=1, kind="stable")[:, :7]]).all() and (score == -np.sort(-s, axis=1)[:, :7]).all()
 
 
 def test_long_tail(spark):
