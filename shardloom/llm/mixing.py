@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, WS_CHARS, text_of
+from .common import WS, WS_CHARS, text_of, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 16
@@ -120,6 +120,7 @@ def _dealt(df: DataFrame, source_col: str, id_col: str, text_col: str, seed: int
 
     sharded = rows.groupBy("no", "shard", "seats").agg(F.sum("size").alias("words"))
     sharded = sharded.withColumns({"part": F.floor(F.col("shard") / SHARDS).cast("int"), "cap": F.ceil(F.col("words") * epochs / block).cast("long")})
+    sharded = written(sharded, "shards")  # read twice
     parts = sharded.groupBy("no", "part", "seats").agg(F.sum("words").alias("words"), F.sum("cap").alias("cap"))
     parts = parts.groupBy("no").applyInPandas(dealt("part"), "no int, part int, got long").withColumnRenamed("got", "seats")
     quota = sharded.drop("seats").join(parts, ["no", "part"]).groupBy("no", "part").applyInPandas(dealt("shard"), "no int, part int, shard int, words long, got long")
