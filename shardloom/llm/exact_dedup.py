@@ -271,7 +271,7 @@ def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 best.append(((i, key), row))
             elif _rank(i, key) < _rank(*best[e][0]):
                 best[e] = ((i, key), row)
-            if t.bytes > LOCAL_BYTES // 2:
+            if t.bytes > LOCAL_BYTES // 4:  # a row holds its text besides
                 yield winners(t, best)
                 t, best = ContentTable(), []
         if best:

@@ -33,7 +33,7 @@ from .common import text_of, unused
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CHUNK_CHARS = 3 << 19
+CHUNK_CHARS = 3 << 18
 MEMO = 200_000
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
