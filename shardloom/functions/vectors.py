@@ -27,6 +27,12 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def l1_unit(v: Column) -> Column:
+    """``v`` over the sum of its absolute values; the zero vector is an error."""
+    size = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + F.abs(y))
+    return let(size(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(F.raise_error(F.lit("vector without mass")))))
+
+
 def unit(v: Column) -> Column:
     """``v`` scaled to length 1; the zero vector stays."""
     return let(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))

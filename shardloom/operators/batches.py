@@ -69,3 +69,11 @@ def edge_report(edges: DataFrame, nodes: DataFrame, id_col: str, label: str) ->
         side = n.select(F.col("_n").alias(end), F.col("_l").alias(f"{name}_label"))
         out = out.join(side, end).withColumn(f"{name}_kind", F.when(F.col(f"{name}_label") >= 0, "labeled").otherwise("unlabeled"))
     return out
+
+
+def k_shot_choices(choices: DataFrame, k: int) -> DataFrame:
+    """Choices (choice, batch, m) that repeat no row of a class with ``k`` labelled ones; none left is an error."""
+    kept = choices.where(F.col("m") <= k)
+    if kept.isEmpty():
+        raise ValueError(f"no choice has m <= {k}")
+    return kept

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, entropy_confidence, softmax
@@ -41,6 +41,17 @@ def decided(scores: DataFrame) -> DataFrame:
     return w.where("_m > 0").select("node", "pred_label", (F.col("_b") / F.col("_m")).alias("confidence"))
 
 
+def class_shares(scores: DataFrame, slack: float = 1e-12) -> DataFrame:
+    """(node, class, share): scores over their node's sum. Negative scores within ``slack`` are zeros; scores below it,
+    null or not finite, and nodes without mass are errors."""
+    s = F.col("score").cast("double")
+    bad = lambda why: F.raise_error(F.concat(F.lit(f"{why}: node "), F.coalesce(F.col("node").cast("string"), F.lit("null"))))
+    fit = s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")) & (s >= -slack)
+    clean = scores.select("node", "class", F.when(fit, F.greatest(s, F.lit(0.0))).otherwise(bad("score below zero or not finite")).alias("_s"))
+    mass = clean.withColumn("_m", F.sum("_s").over(Window.partitionBy("node")))
+    return mass.select("node", "class", F.when(F.col("_m") > 0, F.col("_s") / F.col("_m")).otherwise(bad("no mass")).alias("share"))
+
+
 def conjugate_gradient(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, diagonal: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, rounds: int = 1000, tol: float = 1e-8, strict: bool = True) -> np.ndarray:
     """Solves ``(diag(diagonal) + sum of w at (src, dst)) x = b`` for a symmetric positive definite matrix."""
     size = np.linalg.norm(b)

@@ -112,6 +112,14 @@ def mapped_or(df: DataFrame, mapper: DataFrame, label: str, absent: int = -1) ->
     return df.join(F.broadcast(mapper), label, "left").withColumn("mapped", F.coalesce("mapped", F.lit(absent)).cast("long"))
 
 
+def inverse_mapped(preds: DataFrame, mapper: DataFrame, pred: str, label: str) -> DataFrame:
+    """Predicted dense classes back to labels by a mapper (label, mapped); a class it does not have is an error."""
+    unknown = F.raise_error(F.concat(F.lit("unknown class "), F.coalesce(F.col(pred).cast("string"), F.lit("null"))))
+    back = mapper.select(F.col("mapped").alias("_mapped"), F.col(label).alias("_label"), F.lit(True).alias("_known"))
+    out = preds.drop(label) if label != pred else preds
+    return out.join(back, F.col(pred) == F.col("_mapped"), "left").withColumn(label, F.when(F.col("_known"), F.col("_label")).otherwise(unknown)).drop("_mapped", "_label", "_known")
+
+
 def remapped(df: DataFrame, kept: DataFrame, sample: str) -> DataFrame:
     """New positions (from 0) of the surviving rows among ``kept``."""
     new = id_positioned(kept.select(sample), sample, "position")
@@ -121,3 +129,26 @@ def remapped(df: DataFrame, kept: DataFrame, sample: str) -> DataFrame:
 def disjoint_violations(df: DataFrame, part: str, label: str) -> DataFrame:
     """Classes that more than one part has; must be empty."""
     return df.groupBy(label).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
+
+
+def small_classes(df: DataFrame, label: str, k: int) -> DataFrame:
+    """Classes with fewer rows than folds; must be empty for stratified folds."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < k)
+
+
+def validate_stratified(df: DataFrame, label: str, k: int) -> None:
+    """Raises unless k is at least 2 and every class has a row for each fold."""
+    if k < 2:
+        raise ValueError(f"{k} folds")
+    worst = small_classes(df, label, k).orderBy("n", label).first()
+    if worst is not None:
+        raise ValueError(f"class {worst[label]} has {worst['n']} rows for {k} folds")
+
+
+def classes_by_superclass(df: DataFrame, label: str, superclass: str) -> DataFrame:
+    """(label, superclass, n) per class; a class of two superclasses, or of none, is an error."""
+    low, high = F.min(superclass), F.max(superclass)
+    sure = F.when((F.col("_low") == F.col("_high")) & (F.col("_set") == F.col("n")), F.col("_low"))
+    bad = F.raise_error(F.concat(F.lit("not one superclass: class "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))
+    table = df.groupBy(label).agg(low.alias("_low"), high.alias("_high"), F.count(superclass).alias("_set"), F.count(F.lit(1)).alias("n"))
+    return table.select(label, F.coalesce(sure, bad).alias(superclass), "n")

@@ -63,6 +63,22 @@ def cv_summary(folds: DataFrame, keys: list[str], fold: str, metrics: list[str],
     )
 
 
+def running_fold_mean(folds: DataFrame, keys: list[str], fold: str, metric: str) -> DataFrame:
+    """Mean of the folds up to each one, nulls skipped; folds before the first value are left out."""
+    so_far = Window.partitionBy(*keys).orderBy(fold).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return folds.withColumn("running_mean", F.round(F.avg(metric).over(so_far), 6)).where("running_mean is not null").select(*keys, fold, "running_mean")
+
+
+def trial_times(trials: DataFrame, start: str, end: str) -> DataFrame:
+    """Adds ISO strings of both times, the seconds between them and the start's stamp for a folder; open trials have nulls."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    return trials.select(
+        *[F.col(c) for c in trials.columns if c not in (start, end)],
+        F.date_format(start, iso).alias("datetime_start"), F.date_format(end, iso).alias("datetime_complete"),
+        (F.timestamp_diff("MICROSECOND", F.col(start), F.col(end)) / 1e6).alias("duration_seconds"), F.date_format(start, "yyyyMMdd-HHmmss").alias("stamp"),
+    )
+
+
 def epoch_plan(trials: DataFrame, key: str, selected: str, last: str) -> DataFrame:
     """Mean of ``epoch + 1`` (the selected one unless any is null), half up."""
     use = F.when(F.count(F.when(F.col(selected).isNull(), 1)) == 0, F.avg(F.greatest(F.col(selected) + 1, F.lit(0)))).otherwise(F.avg(F.greatest(F.col(last) + 1, F.lit(0))))

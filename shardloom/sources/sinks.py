@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import cell
 
@@ -15,9 +16,22 @@ def csv(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None
     (w.partitionBy(*partition_by) if partition_by else w).csv(path)
 
 
+def _keys_sorted(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_keys_sorted(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _keys_sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _keys_sorted(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return value
+
+
 def jsonl(df: DataFrame, path: str) -> None:
-    """One object per line, keys in sorted order."""
-    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+    """One object per line, keys in sorted order at every depth (structs, maps and arrays of them)."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    df.select(*[_keys_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]).write.mode("overwrite").json(path)
 
 
 def manifest(df: DataFrame, path: str, split: str) -> None:
@@ -25,6 +39,16 @@ def manifest(df: DataFrame, path: str, split: str) -> None:
     df.write.mode("overwrite").partitionBy(split).parquet(path)
 
 
+def manifest_summary(df: DataFrame, split: str, sample: str, label: str) -> DataFrame:
+    """Per split: rows, least and largest id, and a JSON object of label counts with sorted keys."""
+    counts = df.groupBy(split, label).agg(F.count(F.lit(1)).alias("_n"), F.min(sample).alias("_low"), F.max(sample).alias("_high"))
+    entry = F.struct(F.coalesce(F.col(label).cast("string"), F.lit("null")).alias("key"), F.col("_n").alias("value"))
+    return counts.groupBy(split).agg(
+        F.sum("_n").alias("n"), F.min("_low").alias("first_id"), F.max("_high").alias("last_id"),
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("label_counts"),
+    )
+
+
 def markdown_rows(df: DataFrame) -> DataFrame:
     """(line) for each row: cells between pipes, fractions with four decimals."""
     cells = [cell(F.col(f"`{n}`"), t) for n, t in df.dtypes]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from shardloom.functions import text, vectors
-from shardloom.operators import distribution, graph, propagation, pseudo, sampling, splits, trials, views
+from shardloom.operators import batches, distribution, graph, propagation, pseudo, sampling, splits, trials, views
 from shardloom.operators.knn import knn, majority_vote
 from shardloom.sources import parsers, sinks
 from shardloom.streaming import metrics
@@ -349,3 +349,71 @@ def test_validation_modes(spark):
     for mode, rows in (("match_train", None), ("split_after_apportion", more)):
         with pytest.raises(ValueError, match="validation rows"):
             build(mode, rows)
+
+
+def test_running_fold_mean_skips_missing_values(spark):
+    df = frame(spark, [("a", 0, None), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 4.0), ("b", 0, None)], "run string, fold long, m double")
+    got = {(r["run"], r["fold"]): r["running_mean"] for r in trials.running_fold_mean(df, ["run"], "fold", "m").collect()}
+    assert got == {("a", 1): 2.0, ("a", 2): 2.0, ("a", 3): 3.0}
+
+
+def test_times_of_open_trials_are_null(spark):
+    df = spark.sql("select 1 as n, timestamp_ntz'2024-01-01 00:00:00.25' as a, timestamp_ntz'2024-01-01 00:01:00.5' as b union all select 2, timestamp_ntz'2024-01-01 00:00:00', null")
+    got = {r["n"]: r for r in trials.trial_times(df, "a", "b").collect()}
+    assert got[1]["datetime_start"] == "2024-01-01T00:00:00.250000" and got[1]["duration_seconds"] == 60.25 and got[1]["stamp"] == "20240101-000000"
+    assert got[2]["datetime_complete"] is None and got[2]["duration_seconds"] is None
+
+
+def test_fold_and_superclass_checks_raise(spark):
+    df = frame(spark, [(0, 1, 7), (1, 1, 7), (2, 2, 8), (3, None, None)], "s long, l long, p long")
+    assert {(r["l"], r["n"]) for r in splits.small_classes(df, "l", 2).collect()} == {(2, 1), (None, 1)}
+    splits.validate_stratified(df.where("l = 1"), "l", 2)
+    splits.validate_stratified(df.limit(0), "l", 2)
+    for bad, k in ((df, 2), (df.where("l = 1"), 1)):
+        with pytest.raises(ValueError):
+            splits.validate_stratified(bad, "l", k)
+    assert [tuple(r) for r in splits.classes_by_superclass(df.where("l = 1"), "l", "p").collect()] == [(1, 7, 2)]
+    for rows in ([(1, 7), (1, 8)], [(1, 7), (1, None)], [(None, None)]):
+        with pytest.raises(Exception, match="not one superclass"):
+            splits.classes_by_superclass(frame(spark, rows, "l long, p long"), "l", "p").collect()
+
+
+def test_inverse_map_knows_every_prediction(spark):
+    mapper = frame(spark, [(10, 0), (None, 1)], "label long, mapped long")
+    preds = frame(spark, [(1, 0), (2, 1)], "s long, pred long")
+    assert {(r["s"], r["label"]) for r in splits.inverse_mapped(preds, mapper, "pred", "label").collect()} == {(1, 10), (2, None)}
+    for unknown in (2, None):
+        with pytest.raises(Exception, match="unknown class"):
+            splits.inverse_mapped(frame(spark, [(1, unknown)], "s long, pred long"), mapper, "pred", "label").collect()
+
+
+def test_shares_need_mass(spark):
+    schema = "node long, class long, score double"
+    got = {(r["node"], r["class"]): r["share"] for r in propagation.class_shares(frame(spark, [(1, 0, 3.0), (1, 1, 1.0), (1, 2, -1e-13)], schema)).collect()}
+    assert got == {(1, 0): 0.75, (1, 1): 0.25, (1, 2): 0.0}
+    for rows in ([(1, 0, 0.0)], [(1, 0, -1.0)], [(1, 0, None)], [(1, 0, float("nan"))], [(1, 0, float("inf"))]):
+        with pytest.raises(Exception, match="node 1"):
+            propagation.class_shares(frame(spark, rows, schema)).collect()
+    v = frame(spark, [([3.0, -1.0],)], "v array<double>")
+    assert v.select(vectors.l1_unit(F.col("v"))).first()[0] == [0.75, -0.25]
+    with pytest.raises(Exception, match="without mass"):
+        frame(spark, [([0.0],)], "v array<double>").select(vectors.l1_unit(F.col("v"))).collect()
+
+
+def test_k_shot_choices_must_leave_one(spark):
+    df = frame(spark, [("8:2", 8, 2), ("8:4", 8, 4)], "choice string, batch long, m long")
+    assert [r["choice"] for r in batches.k_shot_choices(df, 3).collect()] == ["8:2"]
+    with pytest.raises(ValueError):
+        batches.k_shot_choices(df, 1)
+
+
+def test_json_keys_are_sorted_at_every_depth(spark, tmp_path):
+    df = spark.sql("select 1 as z, named_struct('d', 1, 'c', array(named_struct('y', 2, 'x', 3))) as a, map('q', 1, 'b', 2) as m, cast(null as struct<b: int, a: int>) as n")
+    sinks.jsonl(df, str(tmp_path / "j"))
+    assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"a":{"c":[{"x":3,"y":2}],"d":1},"m":{"b":2,"q":1},"z":1}'
+
+
+def test_manifest_summary_counts_labels(spark):
+    df = frame(spark, [("a", 1, 0), ("a", 2, 0), ("a", 3, None), ("b", 4, 1)], "split string, s long, l long")
+    got = {r["split"]: tuple(r)[1:] for r in sinks.manifest_summary(df, "split", "s", "l").collect()}
+    assert got == {"a": (3, 1, 3, '{"0":2,"null":1}'), "b": (1, 4, 4, '{"1":1}')}
