@@ -36,6 +36,7 @@ T = 64
 TREES = 9
 SMALL_NODE = 512
 MATRIX_NODE = 4096
+FRONTIER_SEEDS = 4
 HEAVY_NODE = 4096
 VAST_NODE = 32_768
 MAX_DEPTH = 6
@@ -101,25 +102,31 @@ def _onehot(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _product_clusters(hot: np.ndarray, least: int) -> np.ndarray:
+    label = np.full(len(hot), -1)
+    near = np.empty((len(hot), len(hot)), dtype=bool)
+    for lo in range(0, len(hot), 512):
+        near[lo : lo + 512] = (hot[lo : lo + 512] @ hot.T) >= least
+    for seed in range(len(hot)):
+        if label[seed] < 0:
+            label[seed], frontier = seed, near[seed] & (label < 0)
+            frontier[seed] = False
+            while frontier.any():
+                label[frontier] = seed
+                frontier = near[frontier].any(axis=0) & (label < 0)
+    return label
+
+
 def clusters(n: np.ndarray, least: int) -> np.ndarray:
-    """Single-linkage labels by equal nibbles: one product for up to ``MATRIX_NODE`` rows, beyond that frontiers are
-    compared with what has not been reached yet."""
+    """Single-linkage labels (the first row of each component) by equal nibbles: frontiers are compared with what has
+    not been reached yet. Once ``FRONTIER_SEEDS`` components are known, up to ``MATRIX_NODE`` rows left take one product."""
     label = np.full(len(n), -1)
-    hot, left = _onehot(n), np.arange(len(n))
-    if len(n) <= MATRIX_NODE:
-        near = np.empty((len(n), len(n)), dtype=bool)
-        for lo in range(0, len(n), 512):
-            near[lo : lo + 512] = (hot[lo : lo + 512] @ hot.T) >= least
-        for seed in range(len(n)):
-            if label[seed] < 0:
-                label[seed], frontier = seed, near[seed] & (label < 0)
-                frontier[seed] = False
-                while frontier.any():
-                    label[frontier] = seed
-                    frontier = near[frontier].any(axis=0) & (label < 0)
-        return label
+    hot, left, seeds = _onehot(n), np.arange(len(n)), 0
     while len(left):
-        seed, left = left[0], left[1:]
+        if seeds >= FRONTIER_SEEDS and len(left) <= MATRIX_NODE:
+            label[left] = left[_product_clusters(hot[left], least)]
+            break
+        seed, left, seeds = left[0], left[1:], seeds + 1
         label[seed], frontier = seed, np.array([seed])
         while len(frontier) and len(left):
             near = np.zeros(len(left), dtype=bool)
