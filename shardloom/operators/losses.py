@@ -12,10 +12,12 @@ def _units(df: DataFrame, vec: str, id_col: str, label: str, names: tuple[str, s
     return df.select(F.col(id_col).alias(names[0]), F.col(label).alias(names[1]), unit(doubles(vec)).alias(names[2]))
 
 
-def pair_distances(df: DataFrame, vec: str, id_col: str = "vec_id", label: str = "label") -> DataFrame:
-    """(i, j, li, lj, d): ``d = 2 - 2 cos`` for ``i < j``."""
+def pair_distances(df: DataFrame, vec: str, batch: int, id_col: str = "vec_id", label: str = "label") -> DataFrame:
+    """(i, j, li, lj, d): ``d = 2 - 2 cos`` for ``i < j`` of one batch. A batch is a run of ``batch`` consecutive ids, so
+    the batches take every row, none has more than ``batch`` where ids are unique, and pairs grow in line with the rows."""
     a, b = _units(df, vec, id_col, label, ("i", "li", "x")), _units(df, vec, id_col, label, ("j", "lj", "y"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", "li", "lj", (2 - 2 * dot(F.col("x"), F.col("y"))).alias("d"))
+    a, b = a.withColumn("g", F.floor(F.col("i") / batch)), b.withColumn("h", F.floor(F.col("j") / batch))
+    return a.join(b, (F.col("g") == F.col("h")) & (F.col("i") < F.col("j"))).select("i", "j", "li", "lj", (2 - 2 * dot(F.col("x"), F.col("y"))).alias("d"))
 
 
 def softplus(x: Column) -> Column:

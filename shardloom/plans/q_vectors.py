@@ -260,14 +260,14 @@ def _seeds(read):
 _SPREAD = f"""{_G}, g AS (SELECT src AS i, sum(w) AS d FROM a GROUP BY 1), sm AS (SELECT src, dst, w / sqrt(p.d * q.d) AS s FROM a JOIN g p ON p.i = src JOIN g q ON q.i = dst),
 f0 AS (SELECT vec_id AS node, label AS class, 0.8 AS y FROM embeddings WHERE vec_id % 5 = 0)"""
 _ROUNDS = "".join(
-    f", f{i} AS (SELECT node, class, sum(y) AS y FROM (SELECT src AS node, class, 0.2 * s * y AS y FROM sm JOIN f{i - 1} ON dst = node UNION ALL SELECT * FROM f0) GROUP BY 1, 2)" for i in range(1, 9)
+    f", f{i} AS (SELECT node, class, sum(y) AS y FROM (SELECT src AS node, class, 0.2 * s * y AS y FROM sm JOIN f{i - 1} ON dst = node UNION ALL SELECT * FROM f0) GROUP BY 1, 2)" for i in range(1, 21)
 )
 
 
-@query("label_spreading", f"""WITH {_SPREAD}{_ROUNDS}, z AS (SELECT node, class, y, sum(y) OVER (PARTITION BY node) AS m FROM f8 QUALIFY row_number() OVER (PARTITION BY node ORDER BY y DESC, class) = 1)
+@query("label_spreading", f"""WITH {_SPREAD}{_ROUNDS}, z AS (SELECT node, class, y, sum(y) OVER (PARTITION BY node) AS m FROM f20 QUALIFY row_number() OVER (PARTITION BY node ORDER BY y DESC, class) = 1)
 SELECT node, class AS pred_label, round(y / m, 6) AS confidence FROM z""")
 def _(read):
-    f = S.spread(G.mixed_affinity(_near(read, 10)), _seeds(read).withColumn("y", F.lit(1.0)), 0.2, 8, 4)
+    f = S.spread(G.mixed_affinity(_near(read, 10)), _seeds(read).withColumn("y", F.lit(1.0)), 0.2, 20, 5)
     return S.decided(f).select("node", "pred_label", F.round("confidence", 6).alias("confidence"))
 
 
@@ -299,18 +299,20 @@ def _(read):
     return G.local_index(e, "b", "p")
 
 
-_P = _N + ", d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, 2 - 2 * list_inner_product(a.v, b.v) / (a.l * b.l) AS d FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0)"
+_P = _N + ", d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, 2 - 2 * list_inner_product(a.v, b.v) / (a.l * b.l) AS d FROM n a JOIN n b ON a.vec_id // 256 = b.vec_id // 256 AND a.vec_id < b.vec_id)"
+#: Pairwise objectives are defined on batches: runs of 256 ids, which together take every row.
+BATCH = 256
 
 
 @query("pair_distances", f"WITH {_P} SELECT i, j, li, lj, round(d, 6) AS d FROM d")
 def _(read):
-    return L.pair_distances(_e(read).where("vec_id % 5 = 0"), "embedding").withColumn("d", F.round("d", 6))
+    return L.pair_distances(_e(read), "embedding", BATCH).withColumn("d", F.round("d", 6))
 
 
 @query("seraph_pair_entropy", f"""WITH {_P}, e AS (SELECT (avg(d) FILTER (WHERE li = lj) + avg(d) FILTER (WHERE li <> lj)) / 2 AS eta FROM d), x AS (SELECT eta, (eta - d) / 0.5 AS l FROM d, e), y AS (SELECT *, 1 / (1 + exp(-l)) AS s FROM x)
 SELECT count(*) AS pairs, round(max(eta), 6) AS eta, round(avg(greatest(l, 0) + ln(1 + exp(-abs(l))) - s * l), 6) AS entropy, round(avg(CAST(s > 0.9 OR s < 0.1 AS INTEGER)), 6) AS confident FROM y""")
 def _(read):
-    p = L.pair_distances(_e(read).where("vec_id % 5 = 0"), "embedding")
+    p = L.pair_distances(_e(read), "embedding", BATCH)
     return L.pair_entropy(p, L.eta(p, 1.0), 0.5)
 
 
@@ -337,28 +339,34 @@ def _(read):
 
 
 
-@query("contextual_similarity", f"""WITH {_N}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 2.0 ELSE list_inner_product(a.v, b.v) / (a.l * b.l) END AS score FROM n a, n b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0),
+_CTX = f"""{_N}, s AS (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.vec_id = b.vec_id THEN 2.0 ELSE list_inner_product(a.v, b.v) / (a.l * b.l) END AS score FROM n a, n b),
 k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, j) <= 6), v AS (SELECT a.i, a.j FROM k a JOIN k b ON a.i = b.j AND a.j = b.i),
 z AS (SELECT i, count(*) AS n FROM v GROUP BY 1), sh AS (SELECT a.i, b.i AS j, count(*) AS k FROM v a JOIN v b ON a.j = b.j GROUP BY 1, 2), c AS (SELECT sh.i, sh.j, k / greatest(n, 1) AS c FROM sh JOIN v USING (i, j) JOIN z USING (i)),
-m AS (SELECT k.i, c.j, sum(c.c) / 3 AS c FROM k JOIN c ON c.i = k.j WHERE k.rank <= 3 GROUP BY 1, 2) SELECT i, j, round(sum(c) / 2, 6) AS ctx FROM (SELECT * FROM m UNION ALL SELECT j, i, c FROM m) GROUP BY 1, 2""")
-def _(read):
-    e = _e(read).where("vec_id % 5 = 0")
+m AS (SELECT k.i, c.j, sum(c.c) / 3 AS c FROM k JOIN c ON c.i = k.j WHERE k.rank <= 3 GROUP BY 1, 2), ctx AS (SELECT i, j, round(sum(c) / 2, 6) AS ctx FROM (SELECT * FROM m UNION ALL SELECT j, i, c FROM m) GROUP BY 1, 2)"""
+
+
+def _context(read):
+    e = _e(read)
     own = e.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("ref_id"), F.lit(1).cast("long").alias("rank"))
     rest = knn(e, e, "embedding", 5).select("query_id", "ref_id", (F.col("rank") + 1).alias("rank"))
     return L.contextual_similarity(own.unionByName(rest), 6)
 
 
-@query("relaxed_contrastive")
+@query("contextual_similarity", f"WITH {_CTX} SELECT * FROM ctx")
 def _(read):
-    e = _e(read)
-    own = e.select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("ref_id"), F.lit(1).cast("long").alias("rank"))
-    ctx = L.contextual_similarity(own.unionByName(knn(e, e, "embedding", 5).select("query_id", "ref_id", (F.col("rank") + 1).alias("rank"))), 6)
-    return L.relaxed_contrastive(L.pair_distances(e, "embedding"), ctx)
+    return _context(read)
+
+
+@query("relaxed_contrastive", f"""WITH {_CTX}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, greatest(2 - 2 * list_inner_product(a.v, b.v) / (a.l * b.l), 0.0) AS d FROM n a JOIN n b ON a.vec_id // 256 = b.vec_id // 256 AND a.vec_id <> b.vec_id),
+q AS (SELECT i, avg(sqrt(d)) AS m FROM d GROUP BY 1), t AS (SELECT sqrt(d) / m AS r, (exp(-d) + coalesce(ctx, 0)) / 2 AS w FROM d JOIN q USING (i) LEFT JOIN ctx USING (i, j))
+SELECT round(avg(w * r * r + (1 - w) * pow(greatest(1 - r, 0), 2)), 6) AS loss FROM t""")
+def _(read):
+    return L.relaxed_contrastive(L.pair_distances(_e(read), "embedding", BATCH), _context(read))
 
 
 @query("kl_self_distillation", f"""WITH {_P}, b AS (SELECT i, j, d FROM d UNION ALL SELECT j, i, d FROM d), e AS (SELECT i, j, exp(-d) AS a, exp(-2 * d) AS t FROM b), p AS (SELECT i, t / sum(t) OVER (PARTITION BY i) AS p, a / sum(a) OVER (PARTITION BY i) AS q FROM e), r AS (SELECT i, sum(p * (ln(p) - ln(q))) AS k FROM p GROUP BY 1) SELECT round(avg(k), 6) AS kl FROM r""")
 def _(read):
-    p = L.pair_distances(_e(read).where("vec_id % 5 = 0"), "embedding")
+    p = L.pair_distances(_e(read), "embedding", BATCH)
     both = p.select("i", "j", "d").unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     return L.kl_self_distillation(both, both.withColumn("d", F.col("d") * 2))
 
