@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, flac, line_dedup, mixing, near_dedup, pieces, pii, quality, substring_dedup, warc
+from . import codes, exact_dedup, flac, line_dedup, mixing, near_dedup, packing, pieces, pii, prefix_trie, quality, substring_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_pii_crf": pii.query,
     "op10_flac": flac.query,
+    "op11_partial_distance": codes.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_sum_of_squares": packing.query,
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_warc_zip": warc.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op11_partial_distance": codes.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op4_warc_zip": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
