@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, squared_distance
+from ..sources.shared import stored
 
 
 def both_ways(near: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -73,14 +72,8 @@ def induced(edges: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder if there is one, else cached: cuts a loop's lineage."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        return df.persist()
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read again: cuts a loop's lineage."""
+    return stored(df, "graph")
 
 
 def components(edges: DataFrame, nodes: DataFrame, id_col: str, rounds: int = 50) -> DataFrame:

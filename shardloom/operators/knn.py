@@ -8,16 +8,17 @@ other side: with 64 dimensions a hundred million vectors make some 760 blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
 
-BLOCK = 131_072
+#: Bytes of a block's vectors as doubles, whatever their length.
+BLOCK_BYTES = 64 << 20
 STEP_QUERIES, STEP_REFS = 512, 8192
 
 
@@ -52,27 +53,42 @@ def top_k(x: np.ndarray, y: np.ndarray, qi: np.ndarray, ri: np.ndarray, k: int,
     return np.concatenate(scores), np.concatenate(ids)
 
 
+def grid(queries: DataFrame, refs: DataFrame, vec: str, id_col: str, task: Callable[[pa.Table, pa.Table], pa.Table], schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``task`` on every pair of a block of queries and one of references, both (id, v, ``more``) in id order."""
+    known = [d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first() for d in (queries, refs)]
+    rows = max(1, BLOCK_BYTES // (8 * max(1, *[k["d"] or 1 for k in known])))
+    nr = -(-known[1]["n"] // rows) or 1
+    nq = max(-(-known[0]["n"] // rows), -(-queries.sparkSession.sparkContext.defaultParallelism // nr))  # a task for each core
+    side = lambda d, n, cols: d.select(F.col(id_col).cast("long").alias("id"), doubles(vec).alias("v"), *cols, F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
+    q = side(queries, nq, more).withColumnsRenamed({"own": "qb"}).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
+    r = side(refs, nr, [c for c in more if c in refs.columns]).withColumnsRenamed({"own": "rb"}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
+        return task(a.sort_by("id"), b.sort_by("id")).cast(pa.schema(list(zip(names, types, strict=True))))
+
+    types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in schema.split(",")]
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(run, schema)
+
+
+def vectors(block: pa.Table, metric: str = "cosine") -> np.ndarray:
+    """The vectors of a block, one a row; scaled to length 1 for cosines."""
+    x = block.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(block.num_rows, -1)
+    return x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n) if metric == "cosine" else x
+
+
 def knn(queries: DataFrame, refs: DataFrame, vec: str, k: int, id_col: str = "vec_id", metric: str = "cosine", skip_self: bool = True) -> DataFrame:
     """(query_id, ref_id, score, rank): largest cosine or dot product, or least squared distance (as its negative)."""
-    nr = -(-refs.count() // BLOCK) or 1
-    nq = max(-(-queries.count() // BLOCK), -(-queries.sparkSession.sparkContext.defaultParallelism // nr))  # a task for each core
-    side = lambda d, n: d.select(F.col(id_col).cast("long").alias("id"), doubles(vec).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
-    q = side(queries, nq).withColumnsRenamed({"own": "qb"}).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
-    r = side(refs, nr).withColumnsRenamed({"own": "rb"}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "ref_id": [], "score": []}).astype({"query_id": "int64", "ref_id": "int64"})
-        b = b.sort_values("id")
-        x, y = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["v"].to_numpy()).astype(np.float64)
-        if metric == "cosine":
-            x, y = (z / np.where((n := np.linalg.norm(z, axis=1, keepdims=True)) == 0, 1, n) for z in (x, y))
-        qi = a["id"].to_numpy()
-        score, near = top_k(x, y, qi, b["id"].to_numpy(), k, metric, skip_self)
-        out = pd.DataFrame({"query_id": np.repeat(qi, near.shape[1]), "ref_id": near.ravel(), "score": score.ravel()})
-        return out[np.isfinite(out["score"])]
-
-    near = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, "query_id long, ref_id long, score double")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        qi = a.column("id").to_numpy()
+        score, near = top_k(vectors(a, metric), vectors(b, metric), qi, b.column("id").to_numpy(), k, metric, skip_self)
+        out = pa.table({"query_id": np.repeat(qi, near.shape[1]), "ref_id": near.ravel(), "score": score.ravel()})
+        return out.filter(pa.array(np.isfinite(score.ravel())))
+
+    near = grid(queries, refs, vec, id_col, best, "query_id long, ref_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
     return near.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

@@ -1,4 +1,4 @@
-"""Label spreading as joins and sums, and per-class conjugate gradients where a solve is asked for.
+"""Label spreading and diffusion as joins and sums, over the solves of :mod:`.solves` where a system is to be solved.
 
 Scores are long (node, class, score); a round is one join on nodes and one partially aggregated sum. Rounds are cut by a
 written table so that plans don't grow.
@@ -6,13 +6,12 @@ written table so that plans don't grow.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, entropy_confidence, softmax
+from ..functions.vectors import argmax, dot, entropy_confidence, l1_unit, softmax, total
 from .graph import _cut
+from .solves import conjugate_gradients, matrix
 
 
 def normalised_edges(edges: DataFrame) -> DataFrame:
@@ -35,10 +34,13 @@ def spread(edges: DataFrame, seeds: DataFrame, alpha: float = 0.2, rounds: int =
     return f
 
 
-def decided(scores: DataFrame) -> DataFrame:
-    """Best class of each node, its share of the row's mass and the share's complement in entropy."""
+def decided(scores: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Best class of each of ``nodes`` and its share of the node's mass. A node without mass (no seed reaches it, usually
+    because its component has none) is an error."""
     w = scores.groupBy("node").agg(F.sum("score").alias("_m"), F.max_by("class", F.struct("score", -F.col("class"))).alias("pred_label"), F.max("score").alias("_b"))
-    return w.where("_m > 0").select("node", "pred_label", (F.col("_b") / F.col("_m")).alias("confidence"))
+    none = F.raise_error(F.concat(F.lit("no mass: node "), F.coalesce(F.col("node").cast("string"), F.lit("null"))))
+    mass = F.when(F.col("_m") > 0, F.col("_m")).otherwise(none)
+    return nodes.select("node").join(w, "node", "left").select("node", "pred_label", (F.col("_b") / mass).alias("confidence"))
 
 
 def class_shares(scores: DataFrame, slack: float = 1e-12) -> DataFrame:
@@ -52,49 +54,16 @@ def class_shares(scores: DataFrame, slack: float = 1e-12) -> DataFrame:
     return mass.select("node", "class", F.when(F.col("_m") > 0, F.col("_s") / F.col("_m")).otherwise(bad("no mass")).alias("share"))
 
 
-def conjugate_gradient(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, diagonal: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, rounds: int = 1000, tol: float = 1e-8, strict: bool = True) -> np.ndarray:
-    """Solves ``(diag(diagonal) + sum of w at (src, dst)) x = b`` for a symmetric positive definite matrix."""
-    size = np.linalg.norm(b)
-    if size == 0:
-        return np.zeros(n)
-    times = lambda v: diagonal * v + np.bincount(src, weights=w * v[dst], minlength=n)
-    x = np.zeros(n) if x is None else x.copy()
-    r = b - times(x)
-    p, rr = r.copy(), r @ r
-    for _ in range(rounds):
-        if np.sqrt(rr) <= tol * size:
-            return x
-        ap = times(p)
-        step = rr / (p @ ap)
-        x += step * p
-        r -= step * ap
-        new = r @ r
-        p, rr = r + new / rr * p, new
-    if strict and np.sqrt(rr) > tol * size:
-        raise ValueError("no convergence")
-    return x
-
-
-def solved(edges: DataFrame, nodes: DataFrame, right: DataFrame, off_diagonal: float, rounds: int, strict: bool) -> DataFrame:
-    """One linear system per class, in parallel by class: ``(diag + off_diagonal * W) x = y`` with (node, class, y) as
-    right sides. Each task holds the edge list once, as a sparse solve needs it."""
-    classes = right.select("class").distinct()
-    rows = edges.select("src", "dst", "w", F.lit(None).cast("double").alias("diagonal"), F.lit(None).cast("double").alias("y"))
-    base = rows.unionByName(nodes.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("w"), "diagonal", F.lit(None).cast("double").alias("y")))
-    each = base.crossJoin(F.broadcast(classes)).unionByName(right.select(F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("diagonal"), "y", "class"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        at = part[part["diagonal"].notna()].sort_values("src")
-        ids = at["src"].to_numpy()
-        links = part[part["dst"].notna()]
-        s, d = np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"].astype("int64"))
-        b = np.zeros(len(ids))
-        given = part[part["y"].notna()]
-        np.add.at(b, np.searchsorted(ids, given["src"]), given["y"])
-        x = conjugate_gradient(len(ids), s, d, off_diagonal * links["w"].to_numpy(), at["diagonal"].to_numpy(), b, rounds=rounds, strict=strict)
-        return pd.DataFrame({"node": ids, "class": part["class"].iloc[0], "score": x})
-
-    return each.groupBy("class").applyInPandas(run, "node long, class int, score double")
+def dense_rows(scores: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, f): every node's scores in class order, zeros for the classes that it has no score of. ``classes`` is one
+    row with the sorted array ``classes``."""
+    own = scores.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("class", "score"))).alias("_m"))
+    f = F.transform("classes", lambda c: F.coalesce(F.element_at("_m", c), F.lit(0.0)))
+    return nodes.select("node").join(own, "node", "left").crossJoin(F.broadcast(classes)).select("node", f.alias("f"))  # classes: one row
+
+
+def class_list(seeds: DataFrame) -> DataFrame:
+    return seeds.agg(F.array_sort(F.collect_set("class")).alias("classes"))
 
 
 def class_balanced_diffusion(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, component: DataFrame, alpha: float = 0.99, rounds: int = 20) -> DataFrame:
@@ -104,40 +73,49 @@ def class_balanced_diffusion(edges: DataFrame, nodes: DataFrame, seeds: DataFram
     live = component.join(seeded, "component", "left_semi").select("node")
     s = normalised_edges(edges).join(live.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst", F.col("s").alias("w"))
     sizes = seeds.groupBy("class").agg(F.count(F.lit(1)).alias("_n"))
-    right = seeds.join(F.broadcast(sizes), "class").select("node", "class", (1.0 / F.col("_n")).alias("y"))
-    f = solved(s, live.select("node", F.lit(1.0).alias("diagonal")), right, -alpha, rounds, strict=False)
-    return certain(f, seeds)
-
-
-def certain(scores: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, pred_label, certainty) of class scores: clamped at 0, normalised, entropy confidence over the largest."""
-    rows = scores.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("class", F.greatest("score", F.lit(0.0)).alias("s")))).alias("_r"))
-    mass = F.aggregate("_r", F.lit(0.0), lambda a, x: a + x["s"])
-    p = rows.withColumn("_m", mass).where("_m > 0").withColumn("_p", F.transform("_r", lambda x: x["s"] / F.col("_m")))
-    best = F.col("_r")[(F.array_position("_p", F.array_max("_p")) - 1).cast("int")]["class"]
-    made = p.select("node", best.alias("pred_label"), entropy_confidence(F.col("_p")).alias("_c"))
+    right = seeds.join(sizes, "class").select("node", "class", (1.0 / F.col("_n")).alias("y"))
+    f = conjugate_gradients(matrix(s, live.withColumn("diagonal", F.lit(1.0)), -alpha), right, rounds, strict=False)
+    return certain(f, live, seeds)
+
+
+def certain(scores: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, pred_label, certainty) of class scores: clamped at 0, normalised, entropy confidence over the largest. Nodes
+    without mass are left out."""
+    classes = class_list(seeds)
+    rows = dense_rows(scores.select("node", "class", F.greatest("score", F.lit(0.0)).alias("score")), nodes, classes)
+    p = rows.withColumn("_m", total(F.col("f"))).where("_m > 0").withColumn("_p", F.transform("f", lambda x: x / F.col("_m")))
+    best = F.element_at("classes", (argmax(F.col("_p")) + 1).cast("int"))
+    made = _cut(p.crossJoin(F.broadcast(classes)).select("node", best.alias("pred_label"), entropy_confidence(F.col("_p")).alias("_c")))
     top = made.agg(F.max("_c").alias("_t"))
     s = seeds.select("node", F.lit(True).alias("_seed")).distinct()
     return made.crossJoin(F.broadcast(top)).join(s, "node", "left").select("node", "pred_label", F.when(F.col("_seed"), F.lit(1.0)).otherwise(F.col("_c") / F.col("_t")).alias("certainty"))
 
 
-def mixed_propagation(edges: DataFrame, node_ids: DataFrame, seeds: DataFrame, mu: float = 1 / 99, beta: float = 1.0, temperature: float = 4.0) -> DataFrame:
-    """Laplacian solve, dissimilarity weights on its edges, and a second solve with both: (node, class, score)."""
+def confident(scores: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, pred_label, confidence): the best class of each node and the entropy confidence of its scores over their
+    absolute sum. A node whose scores are all zero (nothing reaches it from a seed) is an error."""
+    classes = class_list(seeds)
+    rows = dense_rows(scores, nodes, classes).crossJoin(F.broadcast(classes)).select("node", "classes", l1_unit(F.col("f")).alias("_p"))
+    return rows.select("node", F.element_at("classes", (argmax(F.col("_p")) + 1).cast("int")).alias("pred_label"), entropy_confidence(F.col("_p")).alias("confidence"))
+
+
+def mixed_propagation(edges: DataFrame, node_ids: DataFrame, seeds: DataFrame, mu: float = 1 / 99, beta: float = 1.0, temperature: float = 4.0, tolerance: float = 1e-10, rounds: int = 5000) -> DataFrame:
+    """Laplacian solve, dissimilarity weights on its edges, and a second solve with both, from the first one's scores:
+    (node, class, score)."""
     d = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("_d"))
     marked = node_ids.join(d, "node", "left").join(seeds.select("node", F.lit(mu).alias("_mu")).distinct(), "node", "left")
-    nodes = marked.select("node", (F.coalesce("_d", F.lit(0.0)) + F.coalesce("_mu", F.lit(0.0))).alias("diagonal"), F.coalesce("_d", F.lit(0.0)).alias("degree"))
+    nodes = _cut(marked.select("node", (F.coalesce("_d", F.lit(0.0)) + F.coalesce("_mu", F.lit(0.0))).alias("diagonal"), F.coalesce("_d", F.lit(0.0)).alias("degree")))
     right = seeds.select("node", "class", F.lit(mu).alias("y"))
-    f0 = _cut(solved(edges, nodes.select("node", "diagonal"), right, -1.0, 5000, strict=True))
-    g = _cut(dissimilarity(edges, f0, nodes, temperature))
+    f0 = _cut(conjugate_gradients(matrix(edges, nodes, -1.0), right, rounds, tolerance))
+    g = _cut(dissimilarity(edges, dense_rows(f0, nodes, class_list(seeds)), nodes, temperature))
     sums = g.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("_g"))
-    both = edges.select("src", "dst", (-F.col("w")).alias("w")).unionByName(g.select("src", "dst", (2 * beta * F.col("w")).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    both = edges.select("src", "dst", (-F.col("w")).alias("w")).unionByName(g.select("src", "dst", (2 * beta * F.col("w")).alias("w")))
     wide = nodes.join(sums, "node", "left").select("node", (F.col("diagonal") + 2 * beta * F.coalesce("_g", F.lit(0.0))).alias("diagonal"))
-    return solved(both, wide, right, 1.0, 5000, strict=True)
+    return conjugate_gradients(matrix(both, wide), right, rounds, tolerance, start=f0)
 
 
-def dissimilarity(edges: DataFrame, scores: DataFrame, nodes: DataFrame, temperature: float = 4.0) -> DataFrame:
-    """Per edge ``ec(p_i) ec(p_j) (1 - p_i . p_j)``, where ``p_i`` is the softmax of ``T (d_i f_i - w f_j)``."""
-    rows = scores.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("class", "score"))).alias("_r")).select("node", F.transform("_r", lambda x: x["score"]).alias("f"))
+def dissimilarity(edges: DataFrame, rows: DataFrame, nodes: DataFrame, temperature: float = 4.0) -> DataFrame:
+    """``rows`` is (node, f) with f in class order. Per edge ``ec(p_i) ec(p_j) (1 - p_i . p_j)``, where ``p_i`` is the softmax of ``T (d_i f_i - w f_j)``."""
     rows = rows.join(nodes.select("node", "degree"), "node")
     a, b = (rows.select(F.col("node").alias(n), F.col("f").alias(f"f_{n}"), F.col("degree").alias(f"d_{n}")) for n in ("src", "dst"))
     j = edges.where("src < dst").join(a, "src").join(b, "dst")

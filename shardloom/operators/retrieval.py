@@ -1,36 +1,101 @@
-"""Retrieval metrics over ranked neighbours."""
+"""Retrieval metrics over ranked neighbours, in two passes over pairs of blocks.
+
+Precision at R looks at a query's first R references, R being its own class's size, so a query needs no deeper ranks than
+that (or the largest k). The first pass counts each query's scores by bins, from the top down to the bin that holds its last
+needed reference; sums over blocks give what lies above each bin. The second pass hands on only the references of these bins,
+which are ranked within (query, bin). No query's list is one group, and none is as deep as the largest class of others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .knn import knn
+from .graph import _cut
+from .knn import STEP_QUERIES, STEP_REFS, grid, vectors
+
+BINS = 1024
+
+
+def _score_bins(a: pa.Table, b: pa.Table, same_source: bool) -> Iterator[tuple]:
+    """Runs of (first query, first reference, scores, bins, same label); a query itself has bin -1."""
+    x, y = vectors(a), vectors(b)
+    qi, ri = a.column("id").to_numpy(), b.column("id").to_numpy()
+    ql, rl = a.column("_label").to_numpy(), b.column("_label").to_numpy()
+    for i in range(0, len(x), STEP_QUERIES):
+        for j in range(0, len(y), STEP_REFS):
+            s = x[i : i + STEP_QUERIES] @ y[j : j + STEP_REFS].T
+            at = np.clip(((s + 1) * (BINS / 2)).astype(np.int32), 0, BINS - 1)
+            if same_source:
+                at[qi[i : i + STEP_QUERIES, None] == ri[None, j : j + STEP_REFS]] = -1
+            yield i, j, s, at, ql[i : i + STEP_QUERIES, None] == rl[None, j : j + STEP_REFS]
+
 
+def _counts(same_source: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def task(a: pa.Table, b: pa.Table) -> pa.Table:
+        need, ids, parts = a.column("_need").to_numpy(), a.column("id").to_numpy(), []
+        n = rel = np.zeros((0, BINS), dtype=np.int64)
+        for i, j, _, at, same in _score_bins(a, b, same_source):
+            if j == 0:
+                n, rel = (np.zeros((len(at), BINS), dtype=np.int64) for _ in range(2))
+            cell = np.arange(len(at))[:, None] * BINS + at
+            n += np.bincount(cell[at >= 0], minlength=n.size).reshape(n.shape)
+            rel += np.bincount(cell[(at >= 0) & same], minlength=n.size).reshape(n.shape)
+            if j + STEP_REFS >= b.num_rows:
+                above = np.cumsum(n[:, ::-1], axis=1)[:, ::-1] - n
+                q, c = np.nonzero((n > 0) & (above < need[i : i + len(at), None]))
+                parts.append((ids[i + q], c, n[q, c], rel[q, c]))
+        return pa.table(dict(zip(("query_id", "bin", "n", "rel"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
-def depth(refs: DataFrame, label: str, least: int, same_source: bool) -> int:
-    """The largest class, ``least`` at least, never more than the references there are."""
-    r = refs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m"), F.sum("n").alias("all")).first()
-    return min(max(r["m"] or 1, least), (r["all"] or 1) - same_source) if r["all"] else least
+    return task
+
+
+def _hits(same_source: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def task(a: pa.Table, b: pa.Table) -> pa.Table:
+        qi, ri, floor, parts = a.column("id").to_numpy(), b.column("id").to_numpy(), a.column("_floor").to_numpy(), []
+        for i, j, s, at, same in _score_bins(a, b, same_source):
+            q, r = np.nonzero((at >= 0) & (at >= floor[i : i + len(at), None]))
+            parts.append((qi[i + q], at[q, r], s[q, r], ri[j + r], same[q, r].astype(np.int32)))
+        return pa.table(dict(zip(("query_id", "bin", "score", "ref_id", "rel"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    return task
+
+
+def ranked_hits(queries: DataFrame, refs: DataFrame, vec: str, label: str, least: int, id_col: str = "vec_id", same_source: bool = True) -> DataFrame:
+    """(query_id, label, r, rank, rel, cum): the first ``max(r, least)`` references of each query that has ``r > 0``
+    partners, by cosine, ties to the lower id; ``rel`` is 1 for a partner and ``cum`` counts those so far. Null labels have
+    no partners."""
+    size = refs.where(F.col(label).isNotNull()).groupBy(label).agg((F.count(F.lit(1)) - (1 if same_source else 0)).alias("_r")).where("_r > 0")
+    classes = _cut(size.withColumn("_label", F.xxhash64(label)))
+    q = queries.select(id_col, vec, label).join(classes, label).withColumn("_need", F.greatest("_r", F.lit(least)))
+    r = refs.select(id_col, vec, F.when(F.col(label).isNotNull(), F.xxhash64(label)).otherwise(F.lit(0)).alias("_label"))
+    counts = grid(q, r, vec, id_col, _counts(same_source), "query_id long, bin int, n long, rel long", ("_label", "_need"))
+    facts = q.select(F.col(id_col).cast("long").alias("query_id"), F.col(label).alias("label"), F.col("_r").alias("r"), "_need")
+    down = Window.partitionBy("query_id").orderBy(F.desc("bin"))
+    bins = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"), F.sum("rel").alias("m"))
+    bins = bins.withColumns({"above": F.sum("n").over(down) - F.col("n"), "rel_above": F.sum("m").over(down) - F.col("m")})
+    bins = _cut(bins.join(facts, "query_id").where(F.col("above") < F.col("_need")).drop("n", "m"))
+    floor = bins.groupBy(F.col("query_id").alias(id_col)).agg(F.min("bin").alias("_floor"))
+    hits = grid(q.join(floor, id_col), r, vec, id_col, _hits(same_source), "query_id long, bin int, score double, ref_id long, rel int", ("_label", "_floor"))
+    inside = Window.partitionBy("query_id", "bin").orderBy(F.desc("score"), "ref_id")
+    placed = hits.withColumns({"_pos": F.row_number().over(inside), "_cum": F.sum("rel").over(inside)}).join(bins, ["query_id", "bin"])
+    placed = placed.withColumns({"rank": F.col("above") + F.col("_pos"), "cum": F.col("rel_above") + F.col("_cum")})
+    return placed.where(F.col("rank") <= F.col("_need")).select("query_id", "label", "r", "rank", "rel", "cum")
 
 
 def query_metrics(queries: DataFrame, refs: DataFrame, vec: str, label: str, id_col: str = "vec_id", ks: tuple[int, ...] = (1, 5, 10), same_source: bool = True) -> DataFrame:
     """Per eligible query: precision_at_1, map_at_r, r_precision and hit_at_k. Queries without a partner are left out."""
-    d = depth(refs, label, max(ks), same_source)
-    near = knn(queries, refs, vec, d, id_col, "cosine", same_source)
-    size = refs.groupBy(F.col(label).alias("label")).agg((F.count(F.lit(1)) - (1 if same_source else 0)).alias("r")).where("r > 0")
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(label).alias("label")).join(F.broadcast(size), "label")
-    hits = near.join(q, "query_id").join(refs.select(F.col(id_col).alias("ref_id"), F.col(label).alias("ref_label")), "ref_id")
-    hits = hits.withColumn("rel", (F.col("label") == F.col("ref_label")).cast("int"))
-    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     inside = F.col("rank") <= F.col("r")
-    out = hits.withColumn("cum", F.sum("rel").over(w)).groupBy("query_id", "label").agg(
+    return ranked_hits(queries, refs, vec, label, max(ks), id_col, same_source).groupBy("query_id", "label").agg(
         F.max(F.when(F.col("rank") == 1, F.col("rel"))).cast("double").alias("precision_at_1"),
         (F.sum(F.when(inside, F.col("rel") * F.col("cum") / F.col("rank")).otherwise(0.0)) / F.max("r")).alias("map_at_r"),
         (F.sum(F.when(inside, F.col("rel")).otherwise(0)) / F.max("r")).alias("r_precision"),
         *[F.max(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).cast("double").alias(f"hit_at_{k}") for k in ks if k > 1],
-    )
-    return out
+    )
 
 
 def averaged(metrics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -51,7 +51,9 @@ def kfold(df: DataFrame, sample: str, seed: int, k: int) -> DataFrame:
 
 
 def stratified_kfold(df: DataFrame, sample: str, label: str, seed: int, k: int) -> DataFrame:
-    """Each class is dealt over the folds by its shuffled rank, without any global order."""
+    """Each class is dealt over the folds by its shuffled rank, without any global order. A class with fewer rows than
+    folds is an error."""
+    validate_stratified(df, label, k)
     return ranked(df, sample, label, seed).select(sample, label, F.pmod(F.col("class_rank") - 1, F.lit(k)).cast("long").alias("fold"))
 
 
@@ -73,21 +75,6 @@ def group_kfold(df: DataFrame, sample: str, label: str, k: int) -> DataFrame:
     return df.join(plan, label).select(sample, label, "fold")
 
 
-def superclass_group_folds(df: DataFrame, sample: str, label: str, superclass: str, seed: int, k: int) -> DataFrame:
-    """Whole classes to folds; folds differ by one class at most, and each leaves every superclass a class outside it.
-
-    Superclasses in seeded order, within them the largest class first, are dealt in turn: the classes of one superclass
-    lie next to each other, so a fold gets one of every ``k`` of them, which is all of them for none that has two.
-    """
-    classes = df.groupBy(label, superclass).agg(F.count(F.lit(1)).alias("_n"))
-    fewest = classes.groupBy(superclass).agg(F.count(F.lit(1)).alias("c")).agg(F.min("c").alias("least"), F.sum("c").alias("all")).first()
-    if k < 2 or (fewest["least"] or 0) < 2 or k > fewest["all"]:
-        raise ValueError("too few classes")
-    turn = Window.orderBy(order_key(seed, superclass, "super:"), superclass, F.desc("_n"), label)
-    plan = classes.select(label, F.pmod(F.row_number().over(turn) - 1, F.lit(k)).cast("long").alias("fold"))
-    return df.join(plan, label).select(sample, label, superclass, "fold")
-
-
 def leakage_excluded(tagged: DataFrame, folds: DataFrame, sample: str, label: str, grouped: bool) -> DataFrame:
     """Train rows of each fold: labeled rows of other folds and unlabeled rows; grouped folds also lose the unlabeled
     rows of validation classes."""

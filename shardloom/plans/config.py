@@ -125,8 +125,8 @@ def _(labeled: DataFrame, unlabeled: DataFrame, config: LabelConfig) -> DataFram
     both = labeled.select("vec_id", "embedding").unionByName(unlabeled.select("vec_id", "embedding"))
     edges = graph.mixed_affinity(knn(both, both, "embedding", config.neighbours))
     seeds = labeled.select(F.col("vec_id").alias("node"), F.col("label").alias("class"), F.lit(1.0).alias("y"))
-    out = propagation.decided(propagation.spread(edges, seeds))
-    return out.join(unlabeled.select(F.col("vec_id").alias("node")), "node", "left_semi").select(F.col("node").alias("query_id"), "pred_label", F.least("confidence", F.lit(1.0)).alias("confidence"))
+    nodes = unlabeled.select(F.col("vec_id").alias("node"))
+    return propagation.decided(propagation.spread(edges, seeds), nodes).select(F.col("node").alias("query_id"), "pred_label", F.least("confidence", F.lit(1.0)).alias("confidence"))
 
 
 def build_sets(df: DataFrame, config: LabelConfig, sample: str = "vec_id", label: str = "label", valid: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -241,15 +241,18 @@ def _(read):
     return config.build_training_set(_e(read), config.LabelConfig(k=8, seed=7, method="label_spreading", neighbours=10))
 
 
-@query("stratified_group_kfold")
-def _(read):
-    """Customers' orders by priority: a customer's rows stay together, priorities spread by the shuffled rank of groups."""
-    from ..operators.splits import stratified_kfold
-
-    o = read("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    main = o.groupBy("o_custkey").agg(F.mode("o_orderpriority", True).alias("stratum"))
-    folds = stratified_kfold(main, "o_custkey", "stratum", 7, 5).select("o_custkey", "fold")
-    return o.join(folds, "o_custkey").select("o_orderkey", "o_custkey", "fold")
+@query("stratified_group_kfold", """WITH RECURSIVE c AS (SELECT o_custkey AS g, o_orderpriority AS l, count(*) AS n FROM orders GROUP BY 1, 2), t AS (SELECT l, sum(n) AS n FROM c GROUP BY 1),
+x AS (SELECT g, sum(c.n) AS n, list(coalesce(c.n, 0) / t.n ORDER BY l) AS v FROM (SELECT g, t.l, c.n FROM (SELECT DISTINCT g FROM c) CROSS JOIN t LEFT JOIN c USING (g, l)) c JOIN t USING (l) GROUP BY 1),
+o AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5(concat('7:', CAST(g AS VARCHAR))), g) AS i FROM x),
+w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS g, NULL::BIGINT AS fold, [0, 0, 0, 0, 0]::BIGINT[] AS rows, list_resize([]::DOUBLE[][], 5, (SELECT list(0.0::DOUBLE) FROM t)) AS s
+UNION ALL SELECT i, g, f, list_transform(rows, lambda r, k: CASE WHEN k - 1 = f THEN r + n ELSE r END)::BIGINT[], list_transform(s, lambda a, k: CASE WHEN k - 1 = f THEN list_transform(a, lambda y, j: y + v[j]) ELSE a END) FROM (
+  SELECT o.*, rows, s, list_min([[round(list_dot_product(s[k], v), 12), rows[k], k] FOR k IN [1, 2, 3, 4, 5]])[3]::BIGINT - 1 AS f FROM w JOIN o ON o.i = w.i + 1))
+SELECT o_orderkey, o_custkey, o_orderpriority, fold FROM orders JOIN w ON g = o_custkey""")
+def _(read):
+    """Customers' orders by priority: a customer's rows stay together, every priority is spread over the folds."""
+    from ..operators.folds import stratified_group_folds
+
+    return stratified_group_folds(read("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey", "o_custkey", "o_orderpriority", 7, 5)
 
 
 @query("query_test_report", "SELECT count(*) FILTER (WHERE vec_id % 4 = 0) AS queries, count(*) FILTER (WHERE vec_id % 4 <> 0) AS gallery, count(DISTINCT label) FILTER (WHERE vec_id % 4 = 0) AS query_classes, count(DISTINCT label) FILTER (WHERE vec_id % 4 <> 0) AS gallery_classes FROM embeddings")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import folds as D
 from ..operators import sampling as A
 from ..operators import splits as S
 from ..operators import views as V
@@ -143,11 +144,16 @@ def _(read):
     return S.group_kfold(_rows(read), "s", "l", 5)
 
 
-@query("superclass_group_kfold", f"""WITH {_T}, c AS (SELECT l, n_regionkey AS g, count(*) AS n FROM t JOIN nation ON n_nationkey = l GROUP BY 1, 2),
-f AS (SELECT l, g, (row_number() OVER (ORDER BY md5(concat('{SEED}:super:', CAST(g AS VARCHAR))), g, n DESC, l) - 1) % 3 AS fold FROM c) SELECT s, l, g, fold FROM t JOIN f USING (l)""")
+@query("superclass_group_kfold", f"""WITH RECURSIVE {_T}, c AS (SELECT l, n_regionkey AS g, count(*) AS n FROM t JOIN nation ON n_nationkey = l GROUP BY 1, 2),
+x AS (SELECT *, count(*) OVER (PARTITION BY g) - 1 AS most, count(*) OVER () AS c, row_number() OVER (ORDER BY n DESC, md5(concat('{SEED}:', CAST(l AS VARCHAR))), l) AS i FROM c),
+w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS l, NULL::BIGINT AS fold, [0, 0, 0]::BIGINT[] AS rows, []::BIGINT[][] AS had
+UNION ALL SELECT i, l, best[3], list_transform(rows, lambda r, f: CASE WHEN f - 1 = best[3] THEN r + n ELSE r END), list_append(had, [best[3], g]) FROM (
+  SELECT x.*, rows, had, list_min(list_filter([[rows[f + 1], len(list_filter(had, lambda y: y[1] = f)), f, len(list_filter(had, lambda y: y[1] = f AND y[2] = g))] FOR f IN [0, 1, 2]],
+    lambda z: z[2] < c // 3 + CASE WHEN z[3] < c % 3 THEN 1 ELSE 0 END AND z[4] < most)) AS best FROM w JOIN x ON x.i = w.i + 1))
+SELECT s, t.l, g, fold FROM t JOIN w ON w.l = t.l JOIN c ON c.l = t.l""")
 def _(read):
-    g = _rows(read).join(F.broadcast(read("nation").select(F.col("n_nationkey").alias("l"), F.col("n_regionkey").alias("g"))), "l")
-    return S.superclass_group_folds(g, "s", "l", "g", SEED, 3)
+    g = _rows(read).join(read("nation").select(F.col("n_nationkey").alias("l"), F.col("n_regionkey").alias("g")), "l")
+    return D.superclass_group_folds(g, "s", "l", "g", SEED, 3)
 
 
 @query("cv_leakage_exclusion", f"""WITH {_T}, p AS (SELECT s, l, {_POOL.format('class_rank <= 5')} FROM r), f AS (SELECT s, l, class_no % 3 AS fold FROM p JOIN o USING (l) WHERE pool = 'labeled')

@@ -268,22 +268,48 @@ _ROUNDS = "".join(
 SELECT node, class AS pred_label, round(y / m, 6) AS confidence FROM z""")
 def _(read):
     f = S.spread(G.mixed_affinity(_near(read, 10)), _seeds(read).withColumn("y", F.lit(1.0)), 0.2, 20, 5)
-    return S.decided(f).select("node", "pred_label", F.round("confidence", 6).alias("confidence"))
+    return S.decided(f, _e(read).select(F.col("vec_id").alias("node"))).select("node", "pred_label", F.round("confidence", 6).alias("confidence"))
 
 
-@query("class_balanced_diffusion")
+def _cg(name, matrix, right, rounds):
+    """CTEs of so many rounds of conjugate gradients from zero; the last one is ``name``."""
+    out = f", {name}s0 AS MATERIALIZED (SELECT node, class, 0.0::DOUBLE AS x, y AS r, y AS p FROM {right})"
+    for i in range(rounds):
+        out += f""", {name}u{i} AS MATERIALIZED (SELECT node, class, sum(x) AS x, sum(r) AS r, sum(p) AS p, sum(q) AS q FROM (SELECT *, 0.0 AS q FROM {name}s{i} UNION ALL SELECT src, class, 0.0, 0.0, 0.0, a * p FROM {matrix} JOIN {name}s{i} ON dst = node) GROUP BY 1, 2),
+{name}c{i} AS MATERIALIZED (SELECT class, sum(r * r) AS rr, coalesce(sum(r * r) / nullif(sum(p * q), 0), 0) AS step FROM {name}u{i} GROUP BY 1),
+{name}v{i} AS MATERIALIZED (SELECT node, class, x + step * p AS x, r - step * q AS r, p, rr FROM {name}u{i} JOIN {name}c{i} USING (class)),
+{name}s{i + 1} AS MATERIALIZED (SELECT node, v.class, x, r, r + p * coalesce(b, 0) AS p FROM {name}v{i} v JOIN (SELECT class, sum(r * r) / nullif(max(rr), 0) AS b FROM {name}v{i} GROUP BY 1) USING (class))"""
+    return out + f", {name} AS MATERIALIZED (SELECT node, class, x FROM {name}s{rounds})"
+
+
+@query("class_balanced_diffusion", f"""WITH {_SPREAD}, m AS MATERIALIZED (SELECT src, dst, -0.99 * s AS a FROM sm UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings),
+y AS (SELECT node, class, 1.0::DOUBLE / count(*) OVER (PARTITION BY class) AS y FROM f0){_cg("f", "m", "y", 20)},
+t AS (SELECT node, class, x, x / sum(x) OVER (PARTITION BY node) AS p FROM (SELECT node, class, x FROM f WHERE x > 0)),
+e AS (SELECT node, arg_min(class, (-p, class)) AS pred_label, 1 + sum(p * ln(p)) / ln((SELECT count(DISTINCT class) FROM f0)) AS c FROM t GROUP BY 1)
+SELECT node, pred_label, round(CASE WHEN node % 5 = 0 THEN 1.0 ELSE c / (SELECT max(c) FROM e) END, 6) AS certainty FROM e""")
 def _(read):
     e = G._cut(G.mixed_affinity(_near(read, 10)))
     comp = G.components(e, _e(read), "vec_id")
-    return S.class_balanced_diffusion(e, _e(read).select(F.col("vec_id").alias("node")), _seeds(read), comp)
+    f = S.class_balanced_diffusion(e, _e(read).select(F.col("vec_id").alias("node")), _seeds(read), comp)
+    return f.select("node", "pred_label", F.round("certainty", 6).alias("certainty"))
+
+
+_MIXED = f"""{_G}, f0 AS (SELECT vec_id AS node, label AS class, 1.0::DOUBLE / 99 AS y FROM embeddings WHERE vec_id % 5 = 0), deg AS MATERIALIZED (SELECT src AS node, sum(w) AS d FROM a GROUP BY 1),
+own AS MATERIALIZED (SELECT vec_id AS node, coalesce(d, 0) AS d, coalesce(d, 0) + CASE WHEN vec_id % 5 = 0 THEN 1.0::DOUBLE / 99 ELSE 0 END AS g FROM embeddings LEFT JOIN deg ON node = vec_id),
+m AS MATERIALIZED (SELECT src, dst, -w AS a FROM a UNION ALL SELECT node, node, g FROM own){_cg("f", "m", "f0", 45)},
+k0 AS (SELECT DISTINCT class FROM f0), z AS MATERIALIZED (SELECT o.node, k0.class, d, coalesce(x, 0) AS x FROM own o, k0 LEFT JOIN f ON f.node = o.node AND f.class = k0.class),
+l AS (SELECT src, dst, p.class, 4 * (p.d * p.x - w * q.x) AS u, 4 * (q.d * q.x - w * p.x) AS v FROM a JOIN z p ON p.node = src JOIN z q ON q.node = dst AND q.class = p.class WHERE src < dst),
+h AS (SELECT *, exp(u - max(u) OVER e) AS u1, exp(v - max(v) OVER e) AS v1 FROM l WINDOW e AS (PARTITION BY src, dst)), s AS (SELECT src, dst, u1 / sum(u1) OVER e AS p, v1 / sum(v1) OVER e AS q FROM h WINDOW e AS (PARTITION BY src, dst)),
+diss AS MATERIALIZED (SELECT src, dst, (1 + sum(p * ln(p)) / ln(count(*))) * (1 + sum(q * ln(q)) / ln(count(*))) * (1 - sum(p * q)) AS w FROM s GROUP BY 1, 2), both_ways AS MATERIALIZED (SELECT src, dst, w FROM diss UNION ALL SELECT dst, src, w FROM diss),
+m2 AS MATERIALIZED (SELECT src, dst, sum(a) AS a FROM (SELECT * FROM m UNION ALL SELECT src, dst, 2 * w FROM both_ways UNION ALL SELECT src, src, 2 * w FROM both_ways) GROUP BY 1, 2){_cg("g", "m2", "f0", 45)}"""
 
 
-@query("mixed_label_propagation")
+@query("mixed_label_propagation", f"""WITH {_MIXED}, t AS (SELECT node, class, abs(x) / sum(abs(x)) OVER (PARTITION BY node) AS p FROM g)
+SELECT node, arg_min(class, (-p, class)) AS pred_label, round(1 + sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) / ln((SELECT count(*) FROM k0)), 6) AS confidence FROM t GROUP BY 1""")
 def _(read):
     e = G._cut(G.mixed_affinity(_near(read, 10)))
-    f = S.mixed_propagation(e, _e(read).select(F.col("vec_id").alias("node")), _seeds(read))
-    rows = f.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("class", "score"))).alias("r")).select("node", F.col("r.class").alias("c"), X.l1_normalised(F.col("r.score")).alias("p"))
-    return rows.select("node", F.element_at("c", (X.argmax(F.col("p")) + 1).cast("int")).alias("pred_label"), F.round(X.entropy_confidence(F.col("p")), 6).alias("confidence"))
+    nodes, seeds = _e(read).select(F.col("vec_id").alias("node")), _seeds(read)
+    return S.confident(S.mixed_propagation(e, nodes, seeds), nodes, seeds).select("node", "pred_label", F.round("confidence", 6).alias("confidence"))
 
 
 @query("softmax_rows", f"WITH {_N}, x AS (SELECT vec_id, unnest(v) AS f, generate_subscripts(v, 1) AS i FROM u), m AS (SELECT *, exp(f - max(f) OVER (PARTITION BY vec_id)) AS e FROM x), p AS (SELECT *, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM m) SELECT vec_id, round(max(p), 6) AS top, round(1 + sum(p * ln(p)) / ln(count(*)), 6) AS certainty, arg_min(i, (-f, i)) - 1 AS best FROM p GROUP BY 1")
