@@ -24,22 +24,6 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def eta(pairs: DataFrame, fallback: float) -> DataFrame:
-    """Midpoint of the mean distances of equal and of different labels; the fallback if either is missing."""
-    m = pairs.agg(F.avg(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("_p"), F.avg(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("_n"))
-    return m.select(F.coalesce((F.col("_p") + F.col("_n")) / 2, F.lit(float(fallback))).alias("eta"))
-
-
-def pair_entropy(pairs: DataFrame, eta_row: DataFrame, temperature: float, band: float | None = None) -> DataFrame:
-    """(pairs, eta, entropy, confident): mean binary entropy of ``sigmoid((eta - d) / T)``, within a band of eta if given."""
-    p = pairs.crossJoin(F.broadcast(eta_row))  # one row
-    if band is not None:
-        p = p.where(F.abs(F.col("d") - F.col("eta")) <= band)
-    logit = (F.col("eta") - F.col("d")) / temperature
-    sig = 1 / (1 + F.exp(-logit))
-    return p.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("eta"), 6).alias("eta"), F.round(F.avg(softplus(logit) - sig * logit), 6).alias("entropy"), F.round(F.avg(((sig > 0.9) | (sig < 0.1)).cast("int")), 6).alias("confident"))
-
-
 def reference_entropy(queries: DataFrame, refs: DataFrame, vec: str, scale: float, id_col: str = "vec_id", label: str = "label") -> DataFrame:
     """Entropy (nats) of the softmax of negative squared distances to one reference per class."""
     q = queries.select(F.col(id_col).alias("q"), doubles(vec).alias("x"))

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax, dot, entropy_confidence, l1_unit, softmax, total
-from .graph import _cut
+from .factorisation import factored, patterns
+from .graph import _cut, components
 from .solves import conjugate_gradients, matrix
 
 
@@ -99,19 +100,32 @@ def confident(scores: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFram
     return rows.select("node", F.element_at("classes", (argmax(F.col("_p")) + 1).cast("int")).alias("pred_label"), entropy_confidence(F.col("_p")).alias("confidence"))
 
 
-def mixed_propagation(edges: DataFrame, node_ids: DataFrame, seeds: DataFrame, mu: float = 1 / 99, beta: float = 1.0, temperature: float = 4.0, tolerance: float = 1e-10, rounds: int = 5000) -> DataFrame:
-    """Laplacian solve, dissimilarity weights on its edges, and a second solve with both, from the first one's scores:
-    (node, class, score)."""
+def mixed_propagation(edges: DataFrame, node_ids: DataFrame, seeds: DataFrame, mu: float = 1 / 99, beta: float = 1.0, temperature: float = 4.0, tolerance: float = 1e-10, rounds: int = 5000, solver: str = "cg") -> DataFrame:
+    """Laplacian solve, dissimilarity weights on its edges, and a second solve with both: (node, class, score).
+
+    ``solver`` "cg" starts the second solve from the first one's scores; "factor" factors both systems, which have their
+    entries in the same places, by one set of patterns."""
+    if solver not in ("cg", "factor"):
+        raise ValueError(f"unknown solver {solver!r}")
     d = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("_d"))
     marked = node_ids.join(d, "node", "left").join(seeds.select("node", F.lit(mu).alias("_mu")).distinct(), "node", "left")
     nodes = _cut(marked.select("node", (F.coalesce("_d", F.lit(0.0)) + F.coalesce("_mu", F.lit(0.0))).alias("diagonal"), F.coalesce("_d", F.lit(0.0)).alias("degree")))
     right = seeds.select("node", "class", F.lit(mu).alias("y"))
-    f0 = _cut(conjugate_gradients(matrix(edges, nodes, -1.0), right, rounds, tolerance))
+    first = _cut(matrix(edges, nodes, -1.0))
+    if solver == "factor":
+        every = components(edges, node_ids, "node")
+        # systems without a seed have the solution zero, and no factor: their matrix is singular
+        component = _cut(every.join(every.join(seeds.select("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node", "component"))
+        known = patterns(first, component)
+        f0 = _cut(factored(first, component, right, known))
+    else:
+        f0 = _cut(conjugate_gradients(first, right, rounds, tolerance))
     g = _cut(dissimilarity(edges, dense_rows(f0, nodes, class_list(seeds)), nodes, temperature))
     sums = g.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("_g"))
     both = edges.select("src", "dst", (-F.col("w")).alias("w")).unionByName(g.select("src", "dst", (2 * beta * F.col("w")).alias("w")))
     wide = nodes.join(sums, "node", "left").select("node", (F.col("diagonal") + 2 * beta * F.coalesce("_g", F.lit(0.0))).alias("diagonal"))
-    return conjugate_gradients(matrix(both, wide), right, rounds, tolerance, start=f0)
+    second = matrix(both, wide)
+    return factored(second, component, right, known) if solver == "factor" else conjugate_gradients(second, right, rounds, tolerance, start=f0)
 
 
 def dissimilarity(edges: DataFrame, rows: DataFrame, nodes: DataFrame, temperature: float = 4.0) -> DataFrame:

@@ -47,6 +47,23 @@ def grid_aggregate(runs: DataFrame, keys: list[str], seed: str, metrics: list[st
     return runs.groupBy(*keys).agg(*out)
 
 
+def grid_rows(scenarios: DataFrame, studies: DataFrame, results: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """A summary row per scenario of a grid: its columns, the best trial of its study if it has one, and its run's figures.
+
+    ``studies`` has the keys, best_trial_number, best_hpo_value and what the best trial noted; ``results`` the keys, the
+    last epoch (from 0; -1: none) and the run's figures. Where a scenario has both, the run's figures go before the
+    trial's; one with neither keeps nulls. ``final_training_epochs`` is the number of epochs trained. Scenarios with
+    several studies or runs are errors, as their rows could not be told apart.
+    """
+    one = lambda df, what: df.groupBy(*keys).agg(*[(F.when(F.count(F.lit(1)) == 1, F.first(c)).otherwise(F.raise_error(F.lit(f"several {what} of a scenario")).cast(t))).alias(f"_{what}_{c}") for c, t in df.dtypes if c not in keys])
+    rows = scenarios.join(one(studies, "studies"), keys, "left").join(one(results, "runs"), keys, "left")
+    have = {"studies": set(studies.columns), "runs": set(results.columns)}
+    pick = lambda m: F.coalesce(*[F.col(f"_{w}_{m}") for w in ("runs", "studies") if m in have[w]]).alias(m)
+    epochs = F.greatest(F.lit(0).cast("long"), F.col("_runs_last_epoch") + 1).cast("long")
+    last = F.when(F.col("_runs_last_epoch").isNotNull(), epochs).alias("final_training_epochs")
+    return rows.select(*scenarios.columns, F.col("_studies_best_trial_number").alias("best_trial_number"), F.col("_studies_best_hpo_value").alias("best_hpo_value"), *[pick(m) for m in metrics], last)
+
+
 def paired_deltas(runs: DataFrame, keys: list[str], method: str, base: str, other: str, metrics: list[str]) -> DataFrame:
     """Other minus base per key, null if either is; one pass by conditional aggregation."""
     pick = lambda m, v: F.max(F.when(F.col(method) == v, F.col(m)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_checks, q_more, q_reports, q_sampling, q_sources, q_trials, q_vectors  # noqa: F401  they register on import
+from . import q_checks, q_more, q_reports, q_sampling, q_sources, q_ssl, q_trials, q_vectors  # noqa: F401  they register on import
 from .registry import ORACLES, QUERIES
 
 

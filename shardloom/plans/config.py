@@ -54,6 +54,27 @@ def load(cls: type, source: dict[str, Any] | str, lenient: bool = False) -> tupl
     return cls(**{k: v for k, v in given.items() if k in known}), extra
 
 
+def with_value(config: dict[str, Any], path: str, value: Any) -> dict[str, Any]:
+    """A copy of a nested mapping with ``value`` at a dotted path; mappings on the way are made where they are missing.
+    A path without a key, and one through something that is no mapping, are errors."""
+    head, _, rest = path.partition(".")
+    if not head:
+        raise ValueError(f"no key in path {path!r}")
+    if not isinstance(config, dict):
+        raise ValueError(f"{head!r} is not within a mapping")
+    if not rest and path.endswith("."):
+        raise ValueError(f"no key at the end of {path!r}")
+    return config | {head: with_value(config.get(head, {}), rest, value) if rest else value}
+
+
+def overridden(config: dict[str, Any], prefix: str, params: dict[str, Any]) -> dict[str, Any]:
+    """``config`` with each parameter ``prefix.path`` set at its path; parameters of other names are not for it."""
+    for name in sorted(params):
+        if name == prefix or name.startswith(f"{prefix}."):
+            config = with_value(config, name[len(prefix) + 1 :], params[name])
+    return config
+
+
 def canonical_name(name: str, aliases: dict[str, str]) -> str:
     """A dataset's name from its aliases, whatever the case and separators."""
     key = "".join(c for c in name.lower() if c.isalnum())

@@ -63,11 +63,18 @@ def _(read):
     return v.select("vec_id", F.round(F.col("v")[0], 6).alias("head"), F.round(F.element_at("v", -1), 6).alias("tail"), F.round(X.total(F.transform("v", F.abs)), 6).alias("mass"))
 
 
-@query("k_shot_choices", """WITH c AS (SELECT unnest(['16:4', '32:2', '64:8', '10:3']) AS choice)
-SELECT choice, CAST(split_part(choice, ':', 1) AS BIGINT) AS batch, CAST(split_part(choice, ':', 2) AS BIGINT) AS m FROM c WHERE CAST(split_part(choice, ':', 2) AS BIGINT) <= 3""")
+@query("k_shot_choices", """WITH k AS (SELECT min(n) AS k FROM (SELECT least(count(*), 5) AS n FROM customer GROUP BY c_nationkey)), c AS (SELECT DISTINCT c_nationkey * 4 + m AS batch, m FROM customer, (SELECT unnest([2, 3, 4, 6, 8]) AS m))
+SELECT concat(batch, ':', m) AS choice, CAST(batch AS BIGINT) AS batch, CAST(m AS BIGINT) AS m FROM c WHERE m <= (SELECT k FROM k)""")
 def _(read):
-    spark = read("region").sparkSession
-    return B.k_shot_choices(spark.createDataFrame([("16:4", 16, 4), ("32:2", 32, 2), ("64:8", 64, 8), ("10:3", 10, 3)], "choice string, batch long, m long"), 3)
+    """The label budget of up to five rows a class decides which shots a class can give."""
+    from ..operators.sampling import per_class_min
+
+    c = read("customer")
+    budget = per_class_min(c.select(F.col("c_custkey").alias("s"), F.col("c_nationkey").alias("l")), "s", "l", 7, k=5).where("pool = 'labeled'")
+    k = budget.groupBy("l").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    m = F.explode(F.array(*[F.lit(x) for x in (2, 3, 4, 6, 8)]))
+    choices = c.select("c_nationkey").distinct().select("c_nationkey", m.cast("long").alias("m")).select((F.col("c_nationkey") * 4 + F.col("m")).cast("long").alias("batch"), "m")
+    return B.k_shot_choices(choices.distinct().select(F.concat_ws(":", "batch", "m").alias("choice"), "batch", "m"), k)
 
 
 @query("manifest_summary", """WITH c AS (SELECT o_orderstatus AS split, o_orderpriority AS l, count(*) AS n, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY 1, 2)

@@ -170,9 +170,9 @@ def _(read):
     return n.crossJoin(read("region").agg((F.count(F.lit(1)) == 5).alias("regions_ok")))
 
 
-@query("dense_relabel", "SELECT vec_id, label, dense_rank() OVER (ORDER BY label) - 1 AS mapped FROM embeddings WHERE label % 2 = 1")
+@query("dense_relabel", "SELECT p_partkey, p_size, dense_rank() OVER (ORDER BY p_size) - 1 AS mapped FROM part")
 def _(read):
-    return S.dense_relabel(read("embeddings").where("label % 2 = 1"), "vec_id", "label")
+    return S.dense_relabel(read("part"), "p_partkey", "p_size")
 
 
 @query("label_lookup", """

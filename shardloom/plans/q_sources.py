@@ -17,13 +17,14 @@ def _(read):
     return read("pages").select("page_id", text.group_key(F.regexp_replace("url", "^[a-z]+://", ""), []).alias("group_key"))
 
 
-@query("split_list_tokens", """
-WITH l AS (SELECT p_partkey, string_split_regex(p_name || '.jpg ' || p_brand || '.PNG ' || CAST(p_size AS VARCHAR), '[ ]+') AS a FROM part), t AS (SELECT p_partkey, list_filter(a, lambda x: regexp_full_match(lower(x), '.*\\.(jpg|png)'))[1] AS token FROM l)
-SELECT token, min(p_partkey) AS p_partkey FROM t WHERE token IS NOT NULL GROUP BY 1
+@query("split_list_tokens", r"""
+WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS n FROM pages), t AS (SELECT page_id, n, list_filter(string_split_regex(trim(line, ' '), '[ \t\n\x0B\f\r]+'), lambda x: regexp_full_match(lower(x), '(?s).*\.(net|org)'))[1] AS token FROM l)
+SELECT token, min(page_id * 1048576 + n) AS line_no FROM t WHERE token IS NOT NULL GROUP BY 1
 """)
 def _(read):
-    line = F.concat("p_name", F.lit(".jpg "), "p_brand", F.lit(".PNG "), F.col("p_size").cast("string"))
-    return R.split_list(read("part").select("p_partkey", line.alias("value")), [".jpg", ".png"], order="p_partkey")
+    """Every line of all pages, blank ones and those without a token included; a page has fewer than 2**20 lines here."""
+    lines = read("pages").select("page_id", F.posexplode(F.split("html", "\n")).alias("n", "value"))
+    return R.split_list(lines.select("value", (F.col("page_id") * 1048576 + F.col("n")).alias("line_no")), [".net", ".org"])
 
 
 @query("indexed_text", "SELECT CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS id, c_mktsegment AS rest, count(*) OVER (PARTITION BY CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT)) AS copies FROM customer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as X
 from ..operators import graph as G
 from ..operators import losses as L
+from ..operators import pair_trace as T
 from ..operators import pseudo as P
 from ..operators import retrieval as R
 from ..operators import propagation as S
@@ -237,9 +238,15 @@ def _(read):
     return s.select(F.round(F.col("p") / 2, 6).alias("pairwise"), F.round(F.col("d") - F.col("c"), 6).alias("quadratic"))
 
 
-@query("graph_asymmetry", f"WITH {_G} SELECT src, dst FROM a WHERE (dst, src) NOT IN (SELECT (src, dst) FROM a)")
+@query("graph_asymmetry", f"""WITH {_G}, e AS (SELECT src, dst, CASE WHEN src % 50 = 7 AND src < dst THEN -w ELSE w END AS w FROM a WHERE NOT (src % 10 = 3 AND src < dst) UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id % 100 = 1)
+SELECT src, dst FROM e WHERE src = dst OR w <= 0 UNION SELECT least(src, dst), greatest(src, dst) FROM e GROUP BY 1, 2 HAVING count(*) <> 2""")
 def _(read):
-    return G.asymmetric(G.mixed_affinity(_near(read, 10)))
+    """A graph with planted faults: edges without their way back, weights below zero, loops."""
+    e = G.mixed_affinity(_near(read, 10))
+    up = F.col("src") < F.col("dst")
+    e = e.where(~((F.col("src") % 10 == 3) & up)).withColumn("w", F.when((F.col("src") % 50 == 7) & up, -F.col("w")).otherwise(F.col("w")))
+    loops = _e(read).where("vec_id % 100 = 1").select(F.col("vec_id").alias("src"), F.col("vec_id").alias("dst"), F.lit(1.0).alias("w"))
+    return G.asymmetric(e.unionByName(loops))
 
 
 @query("induced_subgraph", f"WITH {_G} SELECT src, dst, round(w, 6) AS w FROM a WHERE src < dst AND src % 3 = 0 AND dst % 3 = 0")
@@ -338,8 +345,7 @@ def _(read):
 @query("seraph_pair_entropy", f"""WITH {_P}, e AS (SELECT (avg(d) FILTER (WHERE li = lj) + avg(d) FILTER (WHERE li <> lj)) / 2 AS eta FROM d), x AS (SELECT eta, (eta - d) / 0.5 AS l FROM d, e), y AS (SELECT *, 1 / (1 + exp(-l)) AS s FROM x)
 SELECT count(*) AS pairs, round(max(eta), 6) AS eta, round(avg(greatest(l, 0) + ln(1 + exp(-abs(l))) - s * l), 6) AS entropy, round(avg(CAST(s > 0.9 OR s < 0.1 AS INTEGER)), 6) AS confident FROM y""")
 def _(read):
-    p = L.pair_distances(_e(read), "embedding", BATCH)
-    return L.pair_entropy(p, L.eta(p, 1.0), 0.5)
+    return T.batch_entropy(_e(read), "embedding", 0.5, width=BATCH)
 
 
 _REF = "r AS (SELECT label AS c, CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1)"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ordering import id_positioned
 from ..functions.text import cell
 
 
@@ -49,6 +50,40 @@ def manifest_summary(df: DataFrame, split: str, sample: str, label: str) -> Data
     )
 
 
+def split_lists(tagged: DataFrame, part: str, sample: str, outside: tuple[str, ...] = ("valid",)) -> DataFrame:
+    """(list, place, value): what reproduces a split, a row an entry, so that lists are as long as they need be.
+
+    Rows outside the training subset (parts ``outside``) give ``<part>_indices``, their sample ids in order. The others, in
+    order of their ids, are the training subset: ``train_indices`` are its ids, ``<part>_positions`` the places in it of
+    each part's rows, ``<part>_indices`` their ids. ``place`` counts a list's entries from 0.
+    """
+    out = F.col(part).isin(*outside)
+    inside = id_positioned(tagged.where(~out).select(part, sample), sample, "position")
+    whole = inside.select(F.lit("train_indices").alias("list"), F.col("position").alias("place"), F.col(sample).alias("value"))
+    # a part's places follow from the positions: rows of the part before, by buckets of positions
+    ranked = _placed(inside, part, "position")
+    own = ranked.select(F.explode(F.array(
+        F.struct(F.concat(F.col(part), F.lit("_positions")).alias("list"), "place", F.col("position").cast("long").alias("value")),
+        F.struct(F.concat(F.col(part), F.lit("_indices")).alias("list"), "place", F.col(sample).cast("long").alias("value")),
+    )).alias("e")).select("e.*")
+    other = _placed(tagged.where(out).select(part, sample), part, sample)
+    return whole.unionByName(own).unionByName(other.select(F.concat(F.col(part), F.lit("_indices")).alias("list"), "place", F.col(sample).alias("value")))
+
+
+def _placed(rows: DataFrame, part: str, order: str, stretch: int = 1 << 16) -> DataFrame:
+    """``rows`` with their ``place`` (from 0) within ``part`` by the whole number ``order``, ranked by stretches of it."""
+    marked = rows.withColumn("_s", F.floor(F.col(order) / stretch))
+    sizes = marked.groupBy(part, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(part, "_s", (F.sum("_n").over(Window.partitionBy(part).orderBy("_s")) - F.col("_n")).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy(part, "_s").orderBy(order)) - 1
+    return marked.join(before, [part, "_s"]).withColumn("place", (inner + F.col("_before")).cast("long")).drop("_s", "_before")
+
+
+def write_split_lists(lists: DataFrame, path: str) -> None:
+    """A folder per list, its entries sorted by place within files of ranges of it."""
+    lists.repartitionByRange("list", "place").sortWithinPartitions("list", "place").write.mode("overwrite").partitionBy("list").parquet(path)
+
+
 def markdown_rows(df: DataFrame) -> DataFrame:
     """(line) for each row: cells between pipes, fractions with four decimals."""
     cells = [cell(F.col(f"`{n}`"), t) for n, t in df.dtypes]
