@@ -2,14 +2,17 @@
 
 Matrices are long (src, dst, a), unknowns long (node, class, value) with zeros left out. A round of conjugate gradients is
 one join of the matrix with the residuals, one partially aggregated sum by (node, class) and one aggregate by class, which
-has both dot products of the round (the recurrences below need them of the residual only); no task holds a graph or a
-class. Each round is written, so a lost executor costs one round at most.
+has both dot products of the round (the recurrences below need them of the residual only) and comes to the driver, a row per
+class; no task holds a graph or a class. Each round is written, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import _cut
 
@@ -39,35 +42,37 @@ def conjugate_gradients(a: DataFrame, right: DataFrame, rounds: int = 1000, tole
     if rounds < 1 or not 0 < tolerance < float("inf"):
         raise ValueError("rounds and tolerance must be positive")
     a = _cut(a)
-    y = right.groupBy("node", "class").agg(F.sum("y").alias("y")).where("y <> 0")
+    spark = a.sparkSession
+    y = _cut(right.groupBy("node", "class").agg(F.sum("y").alias("y")).where("y <> 0"))
     zero = F.lit(0.0)
-    facts = _cut(y.groupBy("class").agg(F.sum(F.col("y") * F.col("y")).alias("size")).withColumns({c: F.lit(None).cast("double") for c in ("g", "s")}))
+    size = {r["class"]: r["n"] for r in y.groupBy("class").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("n")).collect()}
     state = y.select("node", "class", zero.alias("x"), F.col("y").alias("r"), zero.alias("p"), zero.alias("q"))
     if start is not None:
-        x = _cut(start.join(facts.select("class"), "class", "left_semi").groupBy("node", "class").agg(F.sum("score").alias("x")))
+        x = _cut(start.join(y.select("class").distinct(), "class", "left_semi").groupBy("node", "class").agg(F.sum("score").alias("x")))
         less = _times(a, x, "x").select("node", "class", zero.alias("x"), (-F.col("value")).alias("r"), zero.alias("p"), zero.alias("q"))
-        state = _summed(state.unionByName(x.select("node", "class", "x", zero.alias("r"), zero.alias("p"), zero.alias("q"))).unionByName(less), ["x", "r", "p", "q"])
-        state = _cut(state)
+        state = _cut(_summed(state.unionByName(x.select("node", "class", "x", *[zero.alias(c) for c in "rpq"])).unionByName(less), ["x", "r", "p", "q"]))
+    last: dict = {}  # class -> g and step of the round before; a row per class, as all that comes to the driver
     for i in range(rounds + 1):
-        product = _times(a, state, "r").select("node", "class", *[zero.alias(c) for c in ("x", "r", "p", "q")], F.col("value").alias("w"))
+        product = _times(a, state, "r").select("node", "class", *[zero.alias(c) for c in "xrpq"], F.col("value").alias("w"))
         rows = _cut(_summed(state.withColumn("w", zero).unionByName(product), ["x", "r", "p", "q", "w"]))
-        dots = rows.groupBy("class").agg(F.sum(F.col("r") * F.col("r")).alias("_g"), F.sum(F.col("r") * F.col("w")).alias("_h"))
-        b = F.coalesce(F.col("_g") / F.col("g"), zero)
-        goes_on = F.sqrt("_g") > tolerance * F.sqrt("size")
-        step = F.when(goes_on, F.col("_g") / (F.col("_h") - F.coalesce(b * F.col("_g") / F.col("s"), zero)))
-        facts = _cut(facts.join(dots, "class").select("class", "size", F.col("_g").alias("g"), F.when(goes_on, b).alias("b"), step.alias("s"), F.sqrt(F.col("_g") / F.col("size")).alias("residual")))
-        left = facts.agg(F.count(F.when(F.col("s").isNotNull(), 1)).alias("open"), F.max("residual").alias("worst")).first()
-        if not left["open"] or i == rounds:
+        dots = rows.groupBy("class").agg(F.sum(F.col("r") * F.col("r")).alias("g"), F.sum(F.col("r") * F.col("w")).alias("h")).collect()
+        moves, worst = {}, 0.0
+        for c, g, h in dots:
+            worst = max(worst, math.sqrt(g) / size[c])
+            if math.sqrt(g) > tolerance * size[c]:
+                before = last.get(c)
+                b = g / before[0] if before else 0.0
+                moves[c] = (b, g / (h - (b * g / before[1] if before else 0.0)), g)
+        if not moves or i == rounds:
             break
-        f = facts.select("class", "b", "s")
+        last = {c: (g, s) for c, (_, s, g) in moves.items()}
+        f = spark.createDataFrame([(c, b, s) for c, (b, s, _) in moves.items()], T.StructType([T.StructField("class", right.schema["class"].dataType), T.StructField("b", T.DoubleType()), T.StructField("s", T.DoubleType())]))
         p, q = F.col("r") + F.col("b") * F.col("p"), F.col("w") + F.col("b") * F.col("q")
-        # without a step (the class rests) r, p and q become zero, so it takes no further part
-        state = rows.join(f, "class").select(
-            "node", "class", F.coalesce(F.col("x") + F.col("s") * p, "x").alias("x"), F.coalesce(F.col("r") - F.col("s") * q, zero).alias("r"),
-            F.when(F.col("s").isNull(), zero).otherwise(p).alias("p"), F.when(F.col("s").isNull(), zero).otherwise(q).alias("q"),
-        )
-    if strict and left["open"]:
-        raise ValueError(f"no convergence in {rounds} rounds: {left['open']} classes left, residual {left['worst']:.3g}")
+        rest = F.col("s").isNull()  # without a step a class rests: r, p and q become zero, so it takes no further part
+        moved = {"x": F.when(rest, F.col("x")).otherwise(F.col("x") + F.col("s") * p), "r": F.when(rest, zero).otherwise(F.col("r") - F.col("s") * q), "p": F.when(rest, zero).otherwise(p), "q": F.when(rest, zero).otherwise(q)}
+        state = rows.join(f, "class", "left").select("node", "class", *[v.alias(c) for c, v in moved.items()])
+    if strict and moves:
+        raise ValueError(f"no convergence in {rounds} rounds: {len(moves)} classes left, residual {worst:.3g}")
     return rows.where("x <> 0").select("node", "class", F.col("x").alias("score"))
 
 

@@ -72,8 +72,8 @@ def _(read):
     c = read("customer")
     budget = per_class_min(c.select(F.col("c_custkey").alias("s"), F.col("c_nationkey").alias("l")), "s", "l", 7, k=5).where("pool = 'labeled'")
     k = budget.groupBy("l").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
-    m = F.explode(F.array(*[F.lit(x) for x in (2, 3, 4, 6, 8)]))
-    choices = c.select("c_nationkey").distinct().select("c_nationkey", m.cast("long").alias("m")).select((F.col("c_nationkey") * 4 + F.col("m")).cast("long").alias("batch"), "m")
+    m = F.explode(F.array(*[F.lit(x).cast("long") for x in (2, 3, 4, 6, 8)]))
+    choices = c.select("c_nationkey").distinct().select("c_nationkey", m.alias("m")).select((F.col("c_nationkey") * 4 + F.col("m")).cast("long").alias("batch"), "m")
     return B.k_shot_choices(choices.distinct().select(F.concat_ws(":", "batch", "m").alias("choice"), "batch", "m"), k)
 
 

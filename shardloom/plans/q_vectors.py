@@ -306,8 +306,8 @@ own AS MATERIALIZED (SELECT vec_id AS node, coalesce(d, 0) AS d, coalesce(d, 0)
 m AS MATERIALIZED (SELECT src, dst, -w AS a FROM a UNION ALL SELECT node, node, g FROM own){_cg("f", "m", "f0", 45)},
 k0 AS (SELECT DISTINCT class FROM f0), z AS MATERIALIZED (SELECT o.node, k0.class, d, coalesce(x, 0) AS x FROM own o, k0 LEFT JOIN f ON f.node = o.node AND f.class = k0.class),
 l AS (SELECT src, dst, p.class, 4 * (p.d * p.x - w * q.x) AS u, 4 * (q.d * q.x - w * p.x) AS v FROM a JOIN z p ON p.node = src JOIN z q ON q.node = dst AND q.class = p.class WHERE src < dst),
-h AS (SELECT *, exp(u - max(u) OVER e) AS u1, exp(v - max(v) OVER e) AS v1 FROM l WINDOW e AS (PARTITION BY src, dst)), s AS (SELECT src, dst, u1 / sum(u1) OVER e AS p, v1 / sum(v1) OVER e AS q FROM h WINDOW e AS (PARTITION BY src, dst)),
-diss AS MATERIALIZED (SELECT src, dst, (1 + sum(p * ln(p)) / ln(count(*))) * (1 + sum(q * ln(q)) / ln(count(*))) * (1 - sum(p * q)) AS w FROM s GROUP BY 1, 2), both_ways AS MATERIALIZED (SELECT src, dst, w FROM diss UNION ALL SELECT dst, src, w FROM diss),
+h AS (SELECT *, exp(u - max(u) OVER e) AS u1, exp(v - max(v) OVER e) AS v1 FROM l WINDOW e AS (PARTITION BY src, dst)), sx AS (SELECT src, dst, u1 / sum(u1) OVER e AS p, v1 / sum(v1) OVER e AS q FROM h WINDOW e AS (PARTITION BY src, dst)),
+diss AS MATERIALIZED (SELECT src, dst, (1 + sum(p * ln(p)) / ln(count(*))) * (1 + sum(q * ln(q)) / ln(count(*))) * (1 - sum(p * q)) AS w FROM sx GROUP BY 1, 2), both_ways AS MATERIALIZED (SELECT src, dst, w FROM diss UNION ALL SELECT dst, src, w FROM diss),
 m2 AS MATERIALIZED (SELECT src, dst, sum(a) AS a FROM (SELECT * FROM m UNION ALL SELECT src, dst, 2 * w FROM both_ways UNION ALL SELECT src, src, 2 * w FROM both_ways) GROUP BY 1, 2){_cg("g", "m2", "f0", 45)}"""
 
 
