@@ -21,6 +21,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CHUNK_CHARS = 3 << 18
 MEMO = 200_000
+MEMO_CHARS = 8 << 20
+SLICE = 1 << 19
+LATTICE_CHARS = 1 << 18
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 MOST_PAIRS = 500_000
@@ -78,6 +82,8 @@ class PieceModel:
             self.segment = re.compile(f"{MARK}*{body}+|{MARK}+" + ("|\n" if self.cuts_lines else ""))
         else:
             self.segment = re.compile("[^\n]+|\n" if self.cuts_lines else "(?s:.+)")
+        #: where a text can be cut: a word's first mark, or else a line's end
+        self.edge = re.compile(f"(?<!{MARK}){MARK}" if self.cuts_words else "\n") if self.cuts_words or self.cuts_lines else None
         self.pairs: dict[int, bool] = {}
         self.slot_key: np.ndarray | None = None
         self.slot_ok: np.ndarray | None = None
@@ -245,24 +251,80 @@ def lattice_ids(model: PieceModel, segments: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _split_long(model: PieceModel, segment: str) -> list[str]:
+    """Parts of an over-long segment: it is cut around characters that no piece has, which never merge with others."""
+    chars = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    lone = np.flatnonzero(model.code[chars] == 0)
+    cut = np.unique(np.concatenate([[0], lone, lone + 1, [len(segment)]]))
+    return [segment[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
 class Encoder:
-    """Encodes batches; segments met before in the task are remembered, up to ``MEMO`` of them."""
+    """Encodes batches; segments met before in the task are remembered, up to ``MEMO`` of them and ``MEMO_CHARS``.
+
+    Texts are read in slices of about ``SLICE`` characters, and new segments are indexed in runs of ``LATTICE_CHARS``, so
+    memory doesn't grow with a text but for its ids. Only a segment (a word) without a character unknown to the model is
+    never split.
+    """
 
     def __init__(self, model: PieceModel):
-        self.model, self.memo, self.flat, self.off = model, {}, np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        self.model = model
+        self._forget()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo, self.flat, self.off = {}, np.empty(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    def _forget(self) -> None:
+        self.memo, self.chars, self.flat, self.used, self.off = {}, 0, np.empty(1 << 16, dtype=np.int32), 0, np.zeros(1, dtype=np.int64)
+
+    def _slices(self, text: str) -> Iterator[str]:
+        """Runs of whole segments of a marked text."""
+        at = 0
+        while len(text) - at > SLICE and self.model.edge and (cut := self.model.edge.search(text, at + SLICE)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
+    def _learn(self, segments: list[str]) -> None:
+        size, run = 0, []
+        for s in segments:
+            if run and size + len(s) > LATTICE_CHARS:
+                self._learn_run(run)
+                size, run = 0, []
+            run.append(s)
+            size += len(s)
+        self._learn_run(run)
+
+    def _learn_run(self, run: list[str]) -> None:
+        if len(run) == 1 and len(run[0]) > LATTICE_CHARS and len(parts := _split_long(self.model, run[0])) > 1:
+            other = Encoder(self.model)
+            made = [np.concatenate(other.lists(parts))]
+        else:
+            made = lattice_ids(self.model, run)
+        new = np.concatenate(made)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in made])])
+        self.chars += sum(map(len, run))
+
+    def lists(self, segments: list[str]) -> list[np.ndarray]:
+        """Ids of each segment."""
+        memo = self.memo
+        known = len(memo)
+        at = np.fromiter((memo.setdefault(s, len(memo)) for s in segments), dtype=np.int64, count=len(segments))
+        if len(memo) > known:
+            self._learn(list(islice(memo, known, None)))
+        return [self.flat[self.off[k] : self.off[k + 1]] for k in at]
+
+    def _run(self, slices: list[str]) -> list[np.ndarray]:
+        if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
+            self._forget()
         memo, find, docs = self.memo, self.model.segment.findall, []
         known = len(memo)
-        for t in texts:
-            segments = find(MARK + t.replace(" ", MARK)) if t else []
+        for t in slices:
+            segments = find(t)
             docs.append(np.fromiter((memo.setdefault(s, len(memo)) for s in segments), dtype=np.int64, count=len(segments)))
         if len(memo) > known:
-            new = lattice_ids(self.model, list(memo)[known:])
-            self.flat = np.concatenate([self.flat, *new])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in new])])
+            self._learn(list(islice(memo, known, None)))
         out = []
         for d in docs:
             n = self.off[d + 1] - self.off[d]
@@ -270,6 +332,25 @@ class Encoder:
             out.append(self.flat[np.arange(int(n.sum())) + np.repeat(self.off[d] - first, n)])
         return out
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+        size = 0
+        for k, t in enumerate(texts):
+            for s in self._slices(MARK + t.replace(" ", MARK)) if t else ():
+                waiting.append((k, s))
+                size += len(s)
+                if size >= SLICE:
+                    self._flush(parts, waiting)
+                    waiting, size = [], 0
+        self._flush(parts, waiting)
+        empty = np.empty(0, dtype=np.int32)
+        return [p[0] if len(p) == 1 else np.concatenate(p) if p else empty for p in parts]
+
+    def _flush(self, parts: list[list[np.ndarray]], waiting: list[tuple[int, str]]) -> None:
+        for (k, _), ids in zip(waiting, self._run([s for _, s in waiting]) if waiting else [], strict=True):
+            parts[k].append(ids)
+
 
 def decode(model: PieceModel, ids: np.ndarray) -> str:
     """The text of ids; the space that encoding puts in front goes."""

@@ -1,6 +1,7 @@
 """Classifier, mixing, pieces and personal data."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -326,3 +327,16 @@ def test_pii_edges(docs, none, clashing):
     for d in (docs, clashing):
         got = pii.find_pii(d, pii.train(d))
         assert got.count() == docs.count() and got.where("spans is null").count() == 0
+
+
+def test_pieces_of_long_texts_in_slices(monkeypatch):
+    import sentencepiece
+
+    for name, value in (("SLICE", 60), ("LATTICE_CHARS", 40), ("MEMO", 25), ("MEMO_CHARS", 300)):
+        monkeypatch.setattr(pieces, name, value)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["word", "plain", "é", "日本" * 30, "x" * 90, "\n", "  ", "   ", " ", "☃" * 3, "12"]) + rng.choice(["", " "]) for _ in range(120)) for _ in range(8)]
+    texts += ["a" * 500, " " * 300 + "b", "", "☃ab" * 100]
+    model = pieces.PieceModel()
+    want = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(texts, num_threads=1)
+    assert [x.tolist() for x in pieces.Encoder(model).encode(texts)] == want
