@@ -20,7 +20,7 @@ from ..sources.shared import shared_dir
 from ..sources.sinks import split_lists
 from . import regularisers as R
 from .q_vectors import _K, _MIXED, _N
-from .registry import query
+from .registry import ORACLES, query
 
 _ROWS = "c AS (SELECT c_custkey AS s, c_nationkey AS l, c_custkey % 5 < 4 AS tr FROM customer), k AS (SELECT n_nationkey AS l, n_regionkey AS g, row_number() OVER (ORDER BY n_nationkey) AS i, count(*) OVER () AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS gi, count(*) OVER (PARTITION BY n_regionkey) AS gn FROM nation)"
 
@@ -135,15 +135,17 @@ def _neumann(rounds):
     return out
 
 
+#: From nodes (id, i, v, y), a row (i = 0) and its anchors each, to pr (id, f): the row's propagated probabilities.
+_SOLVED = f"""lg AS (SELECT a.id, a.i, b.i AS j, list_inner_product(a.v, b.v) / 0.1 AS x FROM nodes a JOIN nodes b ON a.id = b.id AND a.i <> b.i), ex AS (SELECT *, exp(x - max(x) OVER (PARTITION BY id, i)) AS w FROM lg),
+tr AS MATERIALIZED (SELECT id, i, j, w / sum(w) OVER (PARTITION BY id, i) AS p FROM ex){_neumann(14)},
+pr AS MATERIALIZED (SELECT id, list_transform(f, lambda x: x / list_sum(f)) AS f FROM f14 WHERE i = 0)"""
 _SIM = f"""{_N}, e AS MATERIALIZED (SELECT vec_id AS id, label, v, list_transform(v, lambda x: x / l) AS s FROM n), tv AS (SELECT id, list_transform(v, lambda x, i: x * (1 + 0.1 * ((i - 1) % 3))) AS t FROM e),
 un AS MATERIALIZED (SELECT e.id, s, list_transform(t, lambda x: x / sqrt(list_inner_product(t, t))) AS t, list_transform(v[11:20], lambda x: 4 * x) AS z, list_transform(v[1:10], lambda x: exp(8 * x)) AS w FROM e JOIN tv USING (id) WHERE id % 5 > 1),
 us AS MATERIALIZED (SELECT id, s, t, z, list_transform(w, lambda x: x / list_sum(w)) AS p FROM un),
 q AS MATERIALIZED (SELECT id, s AS v, list_transform(w, lambda x: x / list_sum(w)) AS p FROM (SELECT id, s, list_transform(v[21:30], lambda x: exp(8 * x)) AS w FROM e WHERE id % 5 = 1)),
 near AS (SELECT us.id, a.id AS ref, a.label, a.s AS v, row_number() OVER (PARTITION BY us.id ORDER BY list_inner_product(us.t, a.s) DESC, a.id) AS i FROM us, e a WHERE a.id % 5 = 0),
 nodes AS MATERIALIZED (SELECT id, 0 AS i, t AS v, p AS y FROM us UNION ALL SELECT id, i, v, list_transform(range(10), lambda c: CASE WHEN c = label THEN 1.0 ELSE 0.0 END) FROM near WHERE i <= 8),
-lg AS (SELECT a.id, a.i, b.i AS j, list_inner_product(a.v, b.v) / 0.1 AS x FROM nodes a JOIN nodes b ON a.id = b.id AND a.i <> b.i), ex AS (SELECT *, exp(x - max(x) OVER (PARTITION BY id, i)) AS w FROM lg),
-tr AS MATERIALIZED (SELECT id, i, j, w / sum(w) OVER (PARTITION BY id, i) AS p FROM ex){_neumann(14)},
-pr AS MATERIALIZED (SELECT id, list_transform(f, lambda x: x / list_sum(f)) AS f FROM f14 WHERE i = 0)"""
+{_SOLVED}"""
 
 
 @query("simmatch_total", f"""WITH {_SIM}, r AS (SELECT us.id, q.id AS slot, q.p AS qp, list_inner_product(us.t, q.v) / 0.1 AS a, list_inner_product(us.s, q.v) / 0.1 AS b FROM us, q),
@@ -168,6 +170,13 @@ def _(read):
     return p.select("id", X.argmax(F.col("propagated")).alias("best"), F.round(F.array_max("propagated"), 6).alias("confidence"))
 
 
+#: The older operator starts rows without probabilities of their own.
+ORACLES["simmatch_propagate"] = f"""WITH {_N}, e AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(v, lambda x: x / l) AS s FROM n),
+near AS (SELECT q.id, a.label, a.s AS v, row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.s, a.s) DESC, a.id) AS i FROM e q, e a WHERE q.id % 5 <> 0 AND a.id % 5 = 0),
+nodes AS MATERIALIZED (SELECT id, 0 AS i, s AS v, list_transform(range(10), lambda c: 0.0::DOUBLE) AS y FROM e WHERE id % 5 <> 0 UNION ALL SELECT id, i, v, list_transform(range(10), lambda c: CASE WHEN c = label THEN 1.0 ELSE 0.0 END) FROM near WHERE i <= 8),
+{_SOLVED} SELECT id AS query_id, list_position(f, list_max(f)) - 1 AS pred_label, round(list_max(f), 6) AS confidence FROM pr"""
+
+
 def _streams(read):
     """Every fifth vector is labelled and an anchor, the ones after them are the queue, the others the unlabelled stream;
     its teacher sees the vector with some dimensions stretched, and logits are parts of the vectors."""
