@@ -214,8 +214,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     parts = shuffle_partitions(df.sparkSession)
     reps = first.where("n is not null").select("h", "rep", "best_id", "best_key", "n", "norm")
     links: list[DataFrame] = []
-    while (salted := _salted(reps)) is not None:
-        hot, reps = salted
+    before = None
+    while (salted := _salted(reps, before)) is not None:
+        hot, reps, before = salted
         again = written(hot.repartition(parts, "h", "salt").drop("salt").mapInArrow(merged, classes), "exact-merged")
         links.append(again.select("rep", "top"))
         reps = reps.unionByName(again.where("rep = top").select("h", "rep", "best_id", "best_key", "n", "norm"))
@@ -238,14 +239,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def _salted(reps: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Rows of hashes that more than ``HOT`` rows have, with a salt that leaves about so many to a part, and the others;
-    None where there are none of the former."""
-    hot = written(reps.groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HOT), "exact-hot")
+def _salted(reps: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Rows of hashes that more than ``HOT`` rows have, with a salt that leaves about so many to a part, the others, and
+    the hashes with their rows; None where there are none of the former. A hash whose rows have not become fewer since
+    ``before`` has that many different contents, and is not salted again."""
+    counts = reps.groupBy("h").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HOT)
+    if before is not None:
+        counts = counts.join(before.select("h", F.col("_rows").alias("_was")), "h", "left")
+    else:
+        counts = counts.withColumn("_was", F.lit(None).cast("long"))
+    counts = written(counts, "exact-hot")
+    hot = counts.where("_was is null or _rows < _was").drop("_was")
     if hot.isEmpty():
         return None
     salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("_rows") / (HOT + 1)))
-    return reps.join(hot, "h").withColumn("salt", salt).drop("_rows"), reps.join(hot, "h", "left_anti")
+    return reps.join(hot, "h").withColumn("salt", salt).drop("_rows"), reps.join(hot, "h", "left_anti"), counts.drop("_was")
 
 
 def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,8 +301,10 @@ def exact_dedup_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     near = written(_prepared(df, id_col, text_col).select("row", "id", "norm", "h", "key").mapInArrow(local, schema).drop("norm"), "exact-rows")
     rest = near.withColumnRenamed("key", "rep")
-    while (salted := _salted(rest)) is not None:
-        hot, rest = (x.withColumnRenamed("rep", "key") for x in salted)
+    before = None
+    while (salted := _salted(rest, before)) is not None:
+        hot, rest = (x.withColumnRenamed("rep", "key") for x in salted[:2])
+        before = salted[2]
         rest = rest.unionByName(written(folded(hot, "h", "salt"), "exact-rows")).withColumnRenamed("key", "rep")
     return folded(rest.withColumnRenamed("rep", "key"), "h").select("row.*")
 
