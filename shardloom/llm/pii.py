@@ -8,7 +8,9 @@ in its length. Loopy belief propagation over all graphs of a batch passes messag
 document move by less than ``SETTLED``; where loops keep them moving, it ends after enough rounds for evidence to cross
 the whole document. Tokens of the patterns' spans are evidence: their labels are fixed, and what repeats or neighbours
 them feels it. Runs of tokens whose posterior for one kind reaches the model's confidence become spans, if they hold what a
-span of that kind must (``LEAST``), unless they overlap a pattern's.
+span of that kind must (:func:`holds`: a card number passes its check digit and has 14 to 19 digits, an address four parts of at most 255,
+a phone number at most 15 digits), unless they overlap a pattern's. Of a token's shape, features see the first 3 and last 3
+characters besides the whole, and up to 8 of its neighbours' shapes; this bounds features, not texts.
 
 All potentials are fitted by the gradient of the likelihood that belief propagation gives: expected features with the
 labels fixed, less those without (``TRAIN_ROUNDS`` of messages at most). In each pass half of the patterns' spans, drawn anew, are evidence and the others are to
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ LABELS = 1 + len(KINDS)  # 0 is outside
 MAX_TRAIN = 3000
 TRAIN_ROUNDS = 30
 BITS = 12
+CHUNK_BYTES = 2 << 20
 SETTLED = 1e-4
 DAMPING = 0.5
 FALSE_SHARE = 0.005
@@ -96,6 +100,20 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+def holds(kind: int, token: str) -> bool:
+    """Whether a span of a kind holds what one must: enough digits (and a sign), and what its pattern would check of them."""
+    digits, sign = LEAST[kind]
+    d = "".join(c for c in token if c in "0123456789")
+    if len(d) < digits or sign not in token:
+        return False
+    if KINDS[kind] == "card":
+        return 14 <= len(d) <= 19 and luhn(d)
+    if KINDS[kind] == "ip":
+        parts = re.findall("[0-9]+", token)
+        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    return KINDS[kind] != "phone" or len(d) <= 15
+
+
 def near_misses(text: str) -> list[tuple[int, int]]:
     """Bounds of what a pattern matches but for its check: personal data or not, the pattern cannot tell."""
     out = [m.span() for m in _IP.finditer(text)]
@@ -331,6 +349,17 @@ class SkipChainCRF:
         unary = self.unary(g)
         return self._beliefs(g, unary if evidence is None else fixed(unary, evidence))[0]
 
+    @staticmethod
+    def _trimmed(g: Graph, texts: list[str], i: int, j: int) -> tuple[int, int, int]:
+        """Document and bounds of a run of tokens without the punctuation around it."""
+        d, start, _ = g.bounds[i]
+        end, text = g.bounds[j - 1][2], texts[d]
+        while end > start and not (text[end - 1].isalnum() or text[end - 1] == ")"):
+            end -= 1
+        while start < end and not (text[start].isalnum() or text[start] in "(+"):
+            start += 1
+        return d, start, end
+
     def added(self, texts: list[str], spans: list[list[Span]]) -> list[list[Span]]:
         """Spans of confident runs that overlap no given one."""
         out: list[list[Span]] = [[] for _ in texts]
@@ -350,15 +379,12 @@ class SkipChainCRF:
             if label[i]:
                 while j < len(label) and joined[j] and label[j] == label[i]:
                     j += 1
-                d, start, _ = g.bounds[i]
-                end, text = g.bounds[j - 1][2], texts[d]
-                while end > start and not (text[end - 1].isalnum() or text[end - 1] == ")"):
-                    end -= 1
-                while start < end and not (text[start].isalnum() or text[start] in "(+"):
-                    start += 1
-                digits, sign = LEAST[label[i] - 1]
-                if sum(c.isdigit() for c in text[start:end]) >= digits and sign in text[start:end]:
-                    out[d].append((start, int(label[i]) - 1, end))
+                kind = int(label[i]) - 1
+                whole = self._trimmed(g, texts, i, j)
+                # a run of several numbers that is none as a whole may have one in it
+                for d, start, end in [whole] if j == i + 1 or holds(kind, texts[whole[0]][whole[1] : whole[2]]) else [self._trimmed(g, texts, k, k + 1) for k in range(i, j)]:
+                    if holds(kind, texts[d][start:end]):
+                        out[d].append((start, kind, end))
             i = j
         return out
 
@@ -395,6 +421,19 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Skip
     return model
 
 
+def _chunks(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with texts of ``CHUNK_BYTES``, or one longer text."""
+    sizes = pa.compute.binary_length(whole.column("t").cast(pa.binary())).to_pylist()
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= CHUNK_BYTES):
+            size += sizes[end]
+            end += 1
+        yield whole.slice(at, end - at)
+        at = end
+
+
 def find_pii(df: DataFrame, model: SkipChainCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, the patterns' counts by kind, their list's SHA-256, and all spans as a list and their number."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
@@ -403,8 +442,7 @@ def find_pii(df: DataFrame, model: SkipChainCRF, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in _chunks(whole):
                 texts = [t.decode("utf-8", "replace") for t in batch.column("t").cast(pa.binary()).to_pylist()]
                 base = [base_spans(t) for t in texts]
                 more = crf.added(texts, base)
