@@ -157,7 +157,7 @@ def trie(paths: DataFrame) -> DataFrame:
         "nodes",
     )
     tops = nodes.where("is_top and depth > 0")
-    parents = tops.select("up").distinct().join(nodes.select(F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id")), "up")
+    parents = nodes.select(F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id"))
     linked = nodes.where("is_top").join(parents, "up", "left").select(*nodes.columns, "parent_conv_id")
     inner = nodes.where("not is_top").withColumn("parent_conv_id", F.col("conv_id"))
     children = tops.groupBy(F.col("up").alias("node")).agg(F.count("*").alias("others"))
