@@ -128,12 +128,17 @@ def _(read):
     return S.kfold(_rows(read), "s", SEED, 7)
 
 
-_SK = f"{_T}, f AS (SELECT s, l, (class_rank - 1) % 5 AS fold FROM r)"
+#: Segments as classes: stratified folds need a row of every class for each fold, at every size of the table.
+_SK = f"t AS (SELECT c_custkey AS s, c_mktsegment AS l FROM customer), f AS (SELECT s, l, (row_number() OVER (PARTITION BY l ORDER BY md5(concat('{SEED}:', CAST(s AS VARCHAR))), s) - 1) % 5 AS fold FROM t)"
+
+
+def _segments(read):
+    return read("customer").select(F.col("c_custkey").alias("s"), F.col("c_mktsegment").alias("l"))
 
 
 @query("stratified_kfold", f"WITH {_SK} SELECT * FROM f")
 def _(read):
-    return S.stratified_kfold(_rows(read), "s", "l", SEED, 5)
+    return S.stratified_kfold(_segments(read), "s", "l", SEED, 5)
 
 
 @query("group_kfold", f"""WITH RECURSIVE {_T}, g AS (SELECT l, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l) AS i FROM t GROUP BY l),
@@ -167,7 +172,7 @@ def _(read):
 
 @query("fold_label_sets", f"WITH {_SK} SELECT x.fold, count(DISTINCT l) AS classes, count(*) AS rows FROM f, (SELECT DISTINCT fold FROM f) x WHERE f.fold <> x.fold GROUP BY 1")
 def _(read):
-    f = S.stratified_kfold(_rows(read), "s", "l", SEED, 5)
+    f = S.stratified_kfold(_segments(read), "s", "l", SEED, 5)
     per = f.groupBy("fold", "l").agg(F.count(F.lit(1)).alias("n"))
     folds = F.broadcast(f.select(F.col("fold").alias("held")).distinct())
     return per.join(folds, F.col("fold") != F.col("held")).groupBy(F.col("held").alias("fold")).agg(F.count_distinct("l").alias("classes"), F.sum("n").alias("rows"))

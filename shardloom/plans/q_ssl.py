@@ -40,10 +40,14 @@ def _(read):
     return _protocol(read, "official")
 
 
-@query("protocol_balanced_fraction", f"""WITH {_ROWS}, m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM c GROUP BY l)), r AS (SELECT s, l, row_number() OVER (PARTITION BY l ORDER BY md5(concat('7:', CAST(s AS VARCHAR))), s) AS i FROM c)
+@query("protocol_balanced_fraction", """WITH c AS (SELECT c_custkey AS s, c_mktsegment AS l FROM customer), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM c GROUP BY l)), r AS (SELECT s, l, row_number() OVER (PARTITION BY l ORDER BY md5(concat('7:', CAST(s AS VARCHAR))), s) AS i FROM c)
 SELECT s, l, CASE WHEN i <= floor(m * 0.7::DOUBLE) THEN 'development' ELSE 'test' END AS part FROM r, m WHERE i <= floor(m * 0.7::DOUBLE) + floor(m * 0.2::DOUBLE)""")
 def _(read):
-    return _protocol(read, "balanced_fraction", train=0.7, test=0.2)
+    """Segments as classes, of which even the smallest table has some rows each."""
+    c = read("customer").select(F.col("c_custkey").alias("s"), F.col("c_mktsegment").alias("l"))
+    plan = P.resolve("balanced_fraction", [(r[0], None) for r in c.select("l").distinct().collect()], train=0.7, test=0.2)  # a row a class
+    parts = P.load(plan, c.where("s % 5 < 4"), c.where("s % 5 = 4"), "s", "l", 7)
+    return parts[0].withColumn("part", F.lit("development")).unionByName(parts[1].withColumn("part", F.lit("test")))
 
 
 @query("protocol_unseen_classes", f"WITH {_ROWS} SELECT s, l, CASE WHEN i <= floor(n * 0.6 + 1e-9) THEN 'development' ELSE 'test' END AS part FROM c JOIN k USING (l)")
