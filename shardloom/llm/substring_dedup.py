@@ -11,8 +11,8 @@ bucket entry is a short segment of text that stands for the run of suffixes whic
    once by their next ``RANKED`` bytes. Any two suffixes reach positions of the cover after an equal number of bytes, so
    bytes up to there, the ranks and the few bytes behind them decide every comparison, however long the tie. The
    suffixes of each bucket are put in lexicographic order that way; one equal to a neighbour repeats.
-4. Buckets of more than ``HEAVY`` segments are dealt again by a second and third anchor; what stays that large is sorted by
-   Spark itself, suffix by suffix.
+4. Buckets of more than ``HEAVY`` segments are dealt again by a second and third anchor; what stays that large
+   leaves the method: its suffixes, as their first ``LENGTH`` bytes, are grouped by Spark, which is exact but no order.
 5. The bytes under repeating suffixes, merged per document, are removed.
 
 Defined cases: null text counts as empty; texts shorter than ``LENGTH`` lose nothing; every row is a document of its own,
@@ -386,7 +386,7 @@ def _dealt_again(level: int):
 
 
 def _by_ranges(segments: DataFrame) -> DataFrame:
-    """Buckets that no anchor splits, suffix by suffix with their bytes: Spark sorts them, over all tasks."""
+    """Buckets that no anchor splits, suffix by suffix with their bytes, which Spark groups over all tasks."""
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches, "segment", 1 << 18):
