@@ -1,10 +1,16 @@
 """Folds of groups: deviation bound, quotas and limits, dead ends."""
 
+import sys
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 from shardloom.operators import folds, propagation, splits
+from shardloom.plans import catalogue
+from twins import connect, differences
 
 
 def table(spark, rng, n_groups, n_classes):
@@ -88,3 +94,14 @@ def test_preconditions_in_the_paths_users_take(spark):
     assert propagation.decided(scores, nodes.where("node < 2")).count() == 2
     with pytest.raises(Exception, match="no mass"):
         propagation.decided(scores, nodes).collect()
+
+
+def test_label_sets_are_of_all_classes(spark, tmp_path):
+    """Nations of 1 to 9 customers, a null one too: what folds train on, counted by hand."""
+    rows = [(100 * n + i, None if n == 8 else n, "ONE SEGMENT") for n in range(9) for i in range(n + 1)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalogue.queries()["fold_label_sets"](spark, str(tmp_path)).toPandas()
+    fold = [(n, i % 5) for n in range(9) for i in range(n + 1)]
+    want = {(k, len({n for n, f in fold if f != k and n < 8}), sum(f != k for _, f in fold)) for k in range(5)}
+    assert set(got[["fold", "classes", "rows"]].itertuples(index=False, name=None)) == want
+    assert not differences(got, connect(str(tmp_path)).sql(catalogue.oracles()["fold_label_sets"]).df())
