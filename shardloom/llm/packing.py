@@ -7,10 +7,12 @@ where it fits into none. Moving a sequence from gap g to g - s changes the sum o
 1 - 2 N[g] where it closes; all gaps are compared at once, ties go to the smallest gap and the sequence opened last.
 The bound on a group's leftovers is a sequence's worth or so, against about ten thousand sequences in a group.
 
-Ids are the tokenizers library's. A word with the space before it always begins a token of its own (any space before a
-character that is no white space does), so texts are cut there, each distinct word of a task is encoded once, and words
-are encoded joined, split again by their tokens' bytes. Only a vocabulary of byte-level tokens without a normaliser
-allows that; any other is encoded text by text. Special tokens' strings in a text are ordinary text.
+Ids are the tokenizers library's. Texts are cut where its split always begins a piece of its own: before a space that a
+character other than white space follows, before and after the last line break of such a run, and after a letter that an
+ASCII character other than a letter follows (see ``_begins``). Arrow numbers the distinct words of a run; those not met
+before are encoded joined, behind spaces or line breaks, and split again by their tokens' bytes. Only a vocabulary of
+byte-level tokens without a normaliser allows that; any other is encoded text by text. Special tokens' strings in a text
+are ordinary text.
 
 Defined cases: null or empty text is one piece, the end id; null ids and repeated rows are documents of their own; an
 empty table gives an empty result; extra columns are ignored. Texts of any length are read in slices of ``SLICE``
@@ -24,7 +26,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 END_ID = 0
 GROUP = 16_384
-SLICE = 1 << 20
+SLICE = 4 << 20
 CHUNK_BYTES = 4 << 20
 MEMO_WORDS = 400_000
 MEMO_CHARS = 16 << 20
@@ -47,15 +48,43 @@ JOINED = 64
 #: A space before anything but white space (U+180E was white space in older Unicode).
 WORD = re.compile(" (?=[^\\s᠎])")
 
-
-class _Memo(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        return k
+_BYTES = np.arange(256)
+_LETTER = (_BYTES >= 65) & (_BYTES <= 90) | (_BYTES >= 97) & (_BYTES <= 122)
+_SPACE = (_BYTES >= 9) & (_BYTES <= 13) | (_BYTES >= 28) & (_BYTES <= 32)
+#: First bytes of characters that are never white space: visible ASCII, and all from U+00C0 on but of U+1000 to U+3FFF.
+_SOLID = (_BYTES > 32) & (_BYTES < 127) | (_BYTES >= 0xC3) & ((_BYTES < 0xE1) | (_BYTES > 0xE3))
+_PAD = b"   "
+
+
+def _visible(head: bytes) -> bool:
+    """Whether a text that begins so begins with no white space."""
+    return bool(_SOLID[head[0]]) or head[0] >= 0x80 and WORD.match(" " + head.decode("utf-8", "ignore")) is not None
+
+
+def _begins(a: np.ndarray) -> np.ndarray:
+    """Where UTF-8 bytes (with ``_PAD`` behind them) can be cut, so that the parts' splits by the byte-level pattern are
+    the split of the whole.
+
+    The pattern's pieces are letters, digits or other marks, each with a space before them or not, contractions, and runs
+    of white space, which leave their last character to what follows. So a space starts a piece unless white space
+    follows; a line break before anything else is a piece; letters end before what is no letter.
+    """
+    n = len(a) - len(_PAD)
+    x, y = a[:n], a[1 : n + 1]
+    out = (x == 32) & ~_SPACE[y]
+    for i in np.flatnonzero(out & (y >= 0x80) & ~_SOLID[y]).tolist():
+        out[i] = _visible(a[i + 1 : i + 5].tobytes())
+    line = (x == 10) & _SOLID[y]
+    out |= line
+    out[1:] |= line[:-1]
+    letter = _LETTER[x]
+    letter[1:] |= (x[:-1] == 0xC3) & (x[1:] != 0x97) & (x[1:] != 0xB7)  # U+00C0 to U+00FF but two signs
+    out[1:] |= letter[:-1] & (x[1:] > 32) & (x[1:] < 127) & ~_LETTER[x[1:]]
+    return out
 
 
 class Encoder:
-    """Ids of texts by one tokenizer; words met before are remembered up to a bound."""
+    """Ids of texts by one tokenizer; words met before are remembered up to a bound, then those met most."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -70,30 +99,59 @@ class Encoder:
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.n_bytes[i] = len(token)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo, self.chars = _Memo(), 0
-        self.flat, self.used, self.off = np.empty(1 << 16, dtype=np.int32), 0, np.zeros(1, dtype=np.int64)
+        self.words = pa.array([], pa.binary())
+        self.flat, self.used = np.empty(1 << 16, dtype=np.int32), 0
+        self.at, self.n, self.met = (np.empty(0, dtype=np.int64) for _ in range(3))  # by word: where its ids begin, how many, how often met
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
-    def _learn(self, words: list[str]) -> None:
-        ids, counts = [], []
-        for lo in range(0, len(words), JOINED):
-            own = words[lo : lo + JOINED]
-            got = self._plain(" " + " ".join(own))
-            ends = np.cumsum([len(w.encode()) + 1 for w in own])
-            ids.append(got)
-            counts.append(np.diff(np.searchsorted(np.cumsum(self.n_bytes[got]), ends, "right"), prepend=0))
-        new = np.concatenate(ids)
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(new)] = new
-        self.used += len(new)
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate(counts))])
-        self.chars += sum(map(len, words))
+    def _forget(self) -> None:
+        """Keeps the words met most, of those met again, up to half the bounds."""
+        order = np.argsort(-self.met, kind="stable")[: MEMO_WORDS // 2]
+        order = order[self.met[order] > 1]
+        sizes = pa.compute.binary_length(self.words).to_numpy()[order]
+        order = order[np.cumsum(sizes, dtype=np.int64) <= MEMO_CHARS // 2]
+        self.words = self.words.take(pa.array(order))
+        self.flat = self._ids(order)
+        self.used = len(self.flat)
+        self.n = self.n[order]
+        self.at = np.cumsum(self.n) - self.n
+        self.met = self.met[order] // 2
+
+    def _ids(self, words: np.ndarray) -> np.ndarray:
+        n = self.n[words]
+        return self.flat[np.arange(int(n.sum())) + np.repeat(self.at[words] - (np.cumsum(n) - n), n)]
+
+    def _learn(self, new_words: pa.Array) -> None:
+        """Words that begin with a space are joined as they are, visible ones behind line breaks, others come alone."""
+        words = new_words.to_pylist()
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, w in enumerate(words):
+            spaced = w[0] == 32 and len(w) > 1
+            kinds[2 if not _visible(w[1:5] if spaced else w[:4]) else 0 if spaced else 1].append(k)
+        at, n = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
+        new, used = [], self.used
+        for own, mark, joined in zip(kinds, (b"", b"\n", b""), (JOINED, JOINED, 1), strict=True):
+            parts = [own[lo : lo + joined] for lo in range(0, len(own), joined)]
+            texts = [(mark + mark.join([words[k] for k in part])).decode() for part in parts]
+            if not texts:
+                continue
+            got = [np.array(x.ids, dtype=np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat = np.concatenate(got)
+            ends = np.cumsum([len(words[k]) + len(mark) for k in own])
+            last = np.searchsorted(np.cumsum(self.n_bytes[flat]), ends, "right")
+            n[own] = np.diff(last, prepend=0) - len(mark)  # a line break is one token
+            at[own] = used + last - n[own]
+            new.append(flat)
+            used += len(flat)
+        while used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), 1 << 16), dtype=np.int32)])
+        self.flat[self.used : used] = np.concatenate(new)
+        self.used = used
+        self.at, self.n = np.concatenate([self.at, at]), np.concatenate([self.n, n])
+        self.met = np.concatenate([self.met, np.zeros(len(words), dtype=np.int64)])
+        self.words = pa.concat_arrays([self.words, new_words])
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -103,21 +161,33 @@ class Encoder:
         yield text[at:]
 
     def _run(self, slices: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_WORDS or self.chars > MEMO_CHARS:
+        if len(self.words) > MEMO_WORDS or self.words.nbytes > MEMO_CHARS:
             self._forget()
-        known, heads, words = len(self.memo), [], []
-        for s in slices:
-            head, *rest = WORD.split(s)
-            heads.append(self._plain(head) if head else np.empty(0, dtype=np.int32))
-            words.append(np.fromiter(map(self.memo.__getitem__, rest), dtype=np.int64, count=len(rest)))
-        if len(self.memo) > known:
-            self._learn(list(islice(self.memo, known, None)))
-        word = np.concatenate(words)
-        n = self.off[word + 1] - self.off[word]
-        first = np.cumsum(n) - n
-        ids = self.flat[np.arange(int(n.sum())) + np.repeat(self.off[word] - first, n)]
-        bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(w) for w in words])])]
-        return [np.concatenate([h, ids[a:b]]) for h, a, b in zip(heads, bounds[:-1], bounds[1:], strict=True)]
+        data = [s.encode() for s in slices]
+        ends = np.cumsum([len(d) + 1 for d in data])
+        raw = b" ".join([*data, _PAD])  # a space ends each slice; it is a word without ids
+        a = np.frombuffer(raw, dtype=np.uint8)
+        begins = _begins(a)
+        begins[0] = True
+        begins[ends - 1] = True
+        begins[ends[:-1]] = True
+        bounds = np.append(np.flatnonzero(begins), ends[-1])
+        words = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)]).dictionary_encode()
+        own, known = words.dictionary, len(self.words)
+        found = pa.compute.index_in(own, value_set=self.words)
+        if found.null_count:
+            self._learn(own.filter(found.is_null()))
+        code = found.fill_null(-1).to_numpy().astype(np.int64)
+        code[code < 0] = np.arange(known, len(self.words))
+        which = words.indices.to_numpy()
+        self.met[code] += np.bincount(which, minlength=len(code))
+        word = code[which]
+        stop = np.searchsorted(bounds, ends - 1)
+        word = np.delete(word, stop)
+        count = np.cumsum(self.n[word])
+        ids = self._ids(word)
+        upto = np.concatenate([[0], count])[stop - np.arange(len(stop))]
+        return np.split(ids, upto[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""

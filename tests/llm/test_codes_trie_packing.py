@@ -219,6 +219,36 @@ def test_long_texts_in_slices(tokenizer, monkeypatch):
     assert [x.tolist() for x in own.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@given(st.lists(st.text(alphabet=st.sampled_from(list("aZ'sé×÷ßÀ \n\r\t\x1c\x7f\x85\xa0,.-_9²ªД中”\u0300\u180e\u2003\u200b\u3000")), max_size=40), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_cuts_at_lines_and_marks_keep_the_ids(encoder, tokenizer, texts):
+    assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_encoded_once(tokenizer, monkeypatch):
+    """Whatever mark or line follows a word, and when rarer ones are forgotten, it is not encoded anew."""
+    monkeypatch.setattr(packing, "MEMO_WORDS", 200)
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        own = packing.Encoder(f.read())
+    given_chars = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given_chars.extend(map(len, texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    own.tokenizer = Counted()
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé", k=8)) for _ in range(60)]
+    rare = 0
+    for _ in range(20):
+        once = ["".join(rng.choices("fghijkl", k=8)) for _ in range(30)]
+        rare += sum(map(len, once))
+        text = " ".join(w + rng.choice([",", ".", "!", ";", ":", ".\n", ""]) for w in words * 5 + once)
+        assert own.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sum(given_chars) < 2 * (rare + sum(map(len, words)))
+
+
 def test_pieces_and_sequences(spark, docs_rows, clashing, small_dir, empty_dir, tokenizer):
     rows = packing.query(spark, small_dir).collect()
     want = []
