@@ -146,3 +146,38 @@ def test_retrieval_of_uneven_classes(spark, monkeypatch, blocks):
         assert np.allclose((r["precision_at_1"], r["map_at_r"], r["r_precision"], r["hit_at_3"]), want[r["query_id"]])
     deepest = retrieval.ranked_hits(df, df, "embedding", "label", 3).groupBy("label").agg({"rank": "max", "r": "max"}).collect()
     assert {r["label"]: r["max(rank)"] for r in deepest} == {0: 59, 1: 19, 2: 4}
+
+
+def test_retrieval_state_does_not_grow_with_references(monkeypatch):
+    """A query keeps what it needs and a fixed room; packed runs, blocks and cuts at ties do not change its ranks."""
+    monkeypatch.setattr(retrieval, "STEP", 8)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:200] = x[50]  # many equal scores
+    labels, ids = rng.integers(0, 5, 300), np.arange(300)
+    need = np.full(20, 30)
+    state = retrieval.Ranking(x[40:60], ids[40:60], labels[40:60], need, True)
+    assert len(state.scores) == (retrieval._room(need)).sum() < 20 * 300
+    for j in range(0, 300, 50):
+        state.add(x[j : j + 50], ids[j : j + 50], labels[j : j + 50])
+    for k, (n, ranks) in zip(range(40, 60), state.partners(), strict=True):
+        s = x[[k]] @ x.T
+        order = [r for r in np.argsort(-np.round(s[0], 12), kind="stable") if r != k][:30]
+        assert n == 30 and ranks.tolist() == [i + 1 for i, r in enumerate(order) if labels[r] == labels[k]]
+
+
+@pytest.mark.parametrize("room", [160 << 20, 20_000])
+def test_metrics_leave_tasks_as_a_row_a_query(spark, monkeypatch, room):
+    """Of blocks of any size comes one row a query, not one a ranked reference."""
+    monkeypatch.setattr(retrieval, "STATE_BYTES", room)
+    monkeypatch.setattr(retrieval, "PACK_BYTES", 400)
+    rng = np.random.default_rng(8)
+    x, labels = rng.normal(size=(80, 5)), rng.integers(0, 3, 80).tolist()
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<double>, label int")
+    stored, cut = [], retrieval._cut
+    monkeypatch.setattr(retrieval, "_cut", lambda d: stored.append(cut(d)) or stored[-1])
+    got = {r["query_id"]: r for r in retrieval.query_metrics(df.where("vec_id % 4 = 0"), df.where("vec_id % 4 <> 0"), "embedding", "label", ks=(1, 5), same_source=False).collect()}
+    want = brute_metrics(list(range(80)), x, labels, (5,), [i for i in range(80) if i % 4 == 0], [i for i in range(80) if i % 4])
+    assert stored[-1].count() == len(want) == len(got)
+    assert all(np.allclose([got[k][c] for c in ("precision_at_1", "map_at_r", "r_precision", "hit_at_5")], want[k]) for k in want)
