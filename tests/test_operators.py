@@ -411,3 +411,24 @@ def test_manifest_summary_counts_labels(spark):
     df = frame(spark, [("a", 1, 0), ("a", 2, 0), ("a", 3, None), ("b", 4, 1)], "split string, s long, l long")
     got = {r["split"]: tuple(r)[1:] for r in sinks.manifest_summary(df, "split", "s", "l").collect()}
     assert got == {"a": (3, 1, 3, '{"0":2,"null":1}'), "b": (1, 4, 4, '{"1":1}')}
+
+
+def test_class_pairs_by_parts(spark, monkeypatch):
+    """Parts of a class give every ordered pair once, spread over tasks; a pair that neighbours share has both weights."""
+    from shardloom.operators import graph
+
+    monkeypatch.setattr(graph, "PART", 4)
+    rows = [(i, None if i % 11 == 0 else 0 if i < 40 else i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, c int")
+    want = {(i, j) for i, a in rows for j, b in rows if i != j and a is not None and a == b}
+    made = graph.supervised_graph(df, "id", "c")
+    got = made.collect()
+    assert len(got) == len(want) and {(r["src"], r["dst"]) for r in got} == want and all(abs(r["w"] * len(want) - 1) < 1e-12 for r in got)
+    largest = made.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < len(want) / 4  # one class has most of the pairs
+    near = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.5), (1, 3, 0.4), (50, 11, 0.3), (4, 41, 0.1)], "query_id long, ref_id long, score double")
+    both = {(r["src"], r["dst"]): r["w"] for r in graph.supervised_knn_graph(near, 2, df, "id", "c").collect()}
+    plain = {(r["src"], r["dst"]): r["w"] for r in graph.weighted_knn_graph(near, 2, made).collect()}
+    assert set(both) == set(plain) and all(abs(both[k] - plain[k]) < 1e-12 for k in both)
+    assert graph.supervised_knn_graph(near, 2, df, "id", "c").count() == len(plain)
+    assert not graph.supervised_graph(df.where("id < 1"), "id", "c").count()
