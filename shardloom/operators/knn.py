@@ -19,35 +19,61 @@ from ..functions.vectors import doubles
 
 #: Bytes of a block's vectors as doubles, whatever their length.
 BLOCK_BYTES = 64 << 20
-STEP_QUERIES, STEP_REFS = 512, 8192
+STEP_QUERIES, STEP_REFS = 512, 2048
+
+
+def _dense(best: np.ndarray, who: np.ndarray, s: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` of those so far and a tile's scores, each row by a partition of all its scores."""
+    s = np.where(np.isnan(s), -np.inf, s)
+    m = min(k, s.shape[1])
+    if m < s.shape[1]:
+        at = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        least = np.take_along_axis(s, at, 1).min(axis=1)
+        for i in np.flatnonzero((s >= least[:, None]).sum(axis=1) > m):  # ties across the cut
+            at[i] = np.argsort(-s[i], kind="stable")[:m]
+        at.sort(axis=1)
+        s, near = np.take_along_axis(s, at, 1), r[at]
+    else:
+        near = np.broadcast_to(r, s.shape)
+    best, who = np.concatenate([best, s], axis=1), np.concatenate([who, near], axis=1)
+    top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
 
 
 def top_k(x: np.ndarray, y: np.ndarray, qi: np.ndarray, ri: np.ndarray, k: int, metric: str, skip_self: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the best ``k`` references (ids ``ri`` ascending) of each query, ties to the lower id."""
+    """Scores and ids of the best ``k`` references (ids ``ri`` ascending) of each query, ties to the lower id.
+
+    Once a query has ``k``, only scores above its last one are looked at: a later id does not displace an equal score."""
     scores, ids = [], []
+    tile, above = np.empty(STEP_QUERIES * STEP_REFS), np.empty(STEP_QUERIES * STEP_REFS, dtype=bool)  # written again and again
     for a in range(0, len(x), STEP_QUERIES):
         xs, q = x[a : a + STEP_QUERIES], qi[a : a + STEP_QUERIES]
         best, who = np.empty((len(xs), 0)), np.empty((len(xs), 0), dtype=np.int64)
         for b in range(0, len(y), STEP_REFS):
             ys, r = y[b : b + STEP_REFS], ri[b : b + STEP_REFS]
-            s = xs @ ys.T
+            s = np.matmul(xs, ys.T, out=tile[: len(xs) * len(ys)].reshape(len(xs), len(ys)))
             if metric == "l2":
                 s = 2 * s - (xs**2).sum(1)[:, None] - (ys**2).sum(1)[None, :]
             if skip_self:
-                s[q[:, None] == r[None, :]] = -np.inf
-            m = min(k, s.shape[1])
-            if m < s.shape[1]:
-                at = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                least = np.take_along_axis(s, at, 1).min(axis=1)
-                for i in np.flatnonzero((s >= least[:, None]).sum(axis=1) > m):  # ties across the cut
-                    at[i] = np.argsort(-s[i], kind="stable")[:m]
-                at.sort(axis=1)
-                s, near = np.take_along_axis(s, at, 1), r[at]
-            else:
-                near = np.broadcast_to(r, s.shape)
-            best, who = np.concatenate([best, s], axis=1), np.concatenate([who, near], axis=1)
-            top = np.argsort(-best, axis=1, kind="stable")[:, :k]
-            best, who = np.take_along_axis(best, top, 1), np.take_along_axis(who, top, 1)
+                at = np.minimum(np.searchsorted(r, q), len(r) - 1)
+                own = np.flatnonzero(r[at] == q)
+                if (r[1:] == r[:-1]).any():
+                    s[q[:, None] == r[None, :]] = -np.inf
+                else:
+                    s[own, at[own]] = -np.inf
+            if best.shape[1] < k:
+                best, who = _dense(best, who, s, r, k)
+                continue
+            over = np.greater(s, best[:, -1:], out=above[: s.size].reshape(s.shape))
+            rows = np.flatnonzero(over.any(axis=1))
+            if np.count_nonzero(over[rows]) > 4 * k * len(xs):
+                best, who = _dense(best, who, s, r, k)
+                continue
+            for i in rows.tolist():
+                c = np.flatnonzero(over[i])
+                v, w = np.concatenate([best[i], s[i, c]]), np.concatenate([who[i], r[c]])
+                top = np.argsort(-v, kind="stable")[:k]
+                best[i], who[i] = v[top], w[top]
         scores.append(best)
         ids.append(who)
     return np.concatenate(scores), np.concatenate(ids)
@@ -58,7 +84,8 @@ def grid(queries: DataFrame, refs: DataFrame, vec: str, id_col: str, task: Calla
     known = [d.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first() for d in (queries, refs)]
     rows = max(1, BLOCK_BYTES // (8 * max(1, *[k["d"] or 1 for k in known])))
     nr = -(-known[1]["n"] // rows) or 1
-    nq = max(-(-known[0]["n"] // rows), -(-queries.sparkSession.sparkContext.defaultParallelism // nr))  # a task for each core
+    # smaller blocks of queries than of references, and at least two tasks for each core: none is left with a long one at the end
+    nq = max(-(-2 * known[0]["n"] // rows), -(-2 * queries.sparkSession.sparkContext.defaultParallelism // nr))
     side = lambda d, n, cols: d.select(F.col(id_col).cast("long").alias("id"), doubles(vec).alias("v"), *cols, F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("own"))
     q = side(queries, nq, more).withColumnsRenamed({"own": "qb"}).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
     r = side(refs, nr, [c for c in more if c in refs.columns]).withColumnsRenamed({"own": "rb"}).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))

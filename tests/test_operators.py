@@ -432,3 +432,17 @@ def test_class_pairs_by_parts(spark, monkeypatch):
     assert set(both) == set(plain) and all(abs(both[k] - plain[k]) < 1e-12 for k in both)
     assert graph.supervised_knn_graph(near, 2, df, "id", "c").count() == len(plain)
     assert not graph.supervised_graph(df.where("id < 1"), "id", "c").count()
+
+
+def test_components_make_their_edges_once(spark):
+    """A path takes several rounds; the edge table is computed in the first only."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    path = frame(spark, [(i, i + 1) for i in range(12)] + [(i + 1, i) for i in range(12)], "src long, dst long").mapInArrow(count, "src long, dst long")
+    got = graph.components(path, frame(spark, [(i,) for i in range(13)], "n long"), "n")
+    assert {r["component"] for r in got.collect()} == {0} and made.value == 24
