@@ -2,12 +2,14 @@
 queue of unlabelled ones.
 
 The unlabelled rows' neighbours among the labelled anchors are one graph, made once: it gives the propagated labels that
-the node-node term uses. Relations to the queue are softmaxes over all of it, made per row in tasks that hold the queue;
-a queue has a fixed size by definition, and its bytes are checked.
+the node-node term uses. Relations to the queue are softmaxes over all of it, made by pairs of a block of rows and one of the
+queue in two passes: the first gives the softmaxes' sums, the second the terms that they scale. A queue of any size fits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,7 @@ from .graph import _cut
 from .knn import BLOCK_BYTES, knn
 
 EPS = 1e-7
+KINDS = {"long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
 def log_softmax(v: Column) -> Column:
@@ -67,33 +70,55 @@ def relations(rows: DataFrame, queue: DataFrame, columns: list[str], temperature
     """(id, edge, expected): for two vectors of each row (``columns``: teacher, student), the cross entropy of the student's
     relations to the queue under the teacher's, and the queue's class probabilities under the student's relations.
 
-    ``queue`` is (slot, v, p); it is one block of every task, so it may take ``BLOCK_BYTES`` at most.
+    ``queue`` is (slot, v, p). A block of it takes ``BLOCK_BYTES`` at most; of each row and block come the largest logits and
+    the sums below them in the first pass, and parts of the results in the second, so a task holds two blocks only.
     """
     size, width = queue.agg(F.count(F.lit(1)), F.max(F.size("v") + F.size("p"))).first()
-    if not size or size * width * 8 > BLOCK_BYTES:
-        raise ValueError(f"a queue of {size} rows of {width} numbers is empty or larger than a block")
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    left = rows.select("id", *[F.col(c).alias(x) for c, x in zip(columns, ("t", "s"), strict=True)], F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
-    right = queue.select("slot", "v", "p").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    if not size:
+        raise ValueError("the queue is empty")
+    spark = rows.sparkSession
+    parts = -(-size * width * 8 // BLOCK_BYTES)
+    n = max(-(-rows.count() * 2 * width * 8 // BLOCK_BYTES), -(-2 * spark.sparkContext.defaultParallelism // parts))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = rows.select("id", *[F.col(c).alias(x) for c, x in zip(columns, ("t", "s"), strict=True)])
+    right = _cut(queue.select("slot", "v", "p", F.pmod(F.xxhash64("slot"), F.lit(parts)).alias("part"))).withColumn("block", each(n))
     wide = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-    schema = "id long, edge double, expected array<double>"
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows:
-            return pa.table({"id": pa.array([], pa.int64()), "edge": pa.array([], pa.float64()), "expected": pa.array([], pa.list_(pa.float64()))})
-        b = b.sort_by("slot")
-        bank, probs = wide(b, "v"), wide(b, "p")
-        ids, edges, expected = a.column("id").to_numpy(), [], []
-        for at in range(0, a.num_rows, 1024):
-            part = a.slice(at, 1024)
-            t, s = (wide(part, c) @ bank.T / temperature for c in ("t", "s"))
-            t, s = (np.exp(x - x.max(axis=1, keepdims=True)) for x in (t, s))
-            t, s = (x / x.sum(axis=1, keepdims=True) for x in (t, s))
-            edges.append(-(t * np.log(np.maximum(s, EPS))).sum(axis=1))
-            expected += (s @ probs).tolist()
-        return pa.table({"id": ids, "edge": np.concatenate(edges), "expected": pa.array(expected, pa.list_(pa.float64()))})
-
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
+
+    def paired(rows: DataFrame, task: Callable, schema: str) -> DataFrame:
+        """What ``task`` gives of each run of rows and block of the queue."""
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({c.split()[0]: pa.array([], KINDS[c.split()[1]]) for c in schema.split(", ")})
+            b = b.sort_by("slot")
+            bank, probs, made = wide(b, "v"), wide(b, "p"), []
+            step = max(1, (1 << 22) // len(bank))
+            for at in range(0, a.num_rows, step):
+                run_of = a.slice(at, step)
+                made.append(task(run_of, *(wide(run_of, c) @ bank.T / temperature for c in ("t", "s")), probs))
+            return pa.concat_tables(made)
+
+        dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(n)), "part": each(parts)})
+        return dealt.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(run, schema)
+
+    def tops(a: pa.Table, t: np.ndarray, s: np.ndarray, probs: np.ndarray) -> pa.Table:
+        high = {f"{n}_top": x.max(axis=1) for n, x in (("t", t), ("s", s))}
+        sums = {f"{n}_sum": np.exp(x - high[f"{n}_top"][:, None]).sum(axis=1) for n, x in (("t", t), ("s", s))}
+        return pa.table({"id": a.column("id"), **high, **sums})
+
+    def terms(a: pa.Table, t: np.ndarray, s: np.ndarray, probs: np.ndarray) -> pa.Table:
+        t -= a.column("t_log").to_numpy()[:, None]
+        s -= a.column("s_log").to_numpy()[:, None]
+        edge = -np.einsum("ij,ij->i", np.exp(t), np.maximum(s, np.log(EPS)))
+        return pa.table({"id": a.column("id"), "edge": edge, "expected": pa.array((np.exp(s) @ probs).tolist(), pa.list_(pa.float64()))})
+
+    found = paired(left, tops, "id long, t_top double, s_top double, t_sum double, s_sum double").withColumn("_own", F.struct("t_top", "t_sum", "s_top", "s_sum"))
+    high = found.groupBy("id").agg(F.max("t_top").alias("t_high"), F.max("s_top").alias("s_high"), F.collect_list("_own").alias("_own"))  # a row per block of the queue
+    log = lambda n: (F.col(f"{n}_high") + F.ln(total(F.transform("_own", lambda o: o[f"{n}_sum"] * F.exp(o[f"{n}_top"] - F.col(f"{n}_high")))))).alias(f"{n}_log")
+    scaled = left.join(_cut(high.select("id", log("t"), log("s"))), "id")
+    made = paired(scaled, terms, "id long, edge double, expected array<double>").groupBy("id").agg(F.sum("edge").alias("edge"), F.collect_list("expected").alias("_e"))
+    summed = F.aggregate("_e", F.transform(F.element_at("_e", 1), lambda x: x * 0), lambda acc, e: F.zip_with(acc, e, lambda x, y: x + y))
+    return made.select("id", "edge", summed.alias("expected"))
 
 
 def total_loss(

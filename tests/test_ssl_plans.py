@@ -239,3 +239,48 @@ def test_grid_rows_with_and_without_studies(spark):
     assert got == {"a": (4, 0.9, 0.5, None, None), "b": (7, 0.8, 0.7, 1.0, 10), "c": (None, None, 0.1, None, 0), "d": (None, None, None, None, None)}
     with pytest.raises(Exception, match="several runs"):
         trials.grid_rows(scenarios, studies, runs.unionByName(runs), ["s"], ["m"]).collect()
+
+
+def test_relations_to_a_queue_of_several_blocks(spark, monkeypatch):
+    """A queue of many blocks gives what one block does."""
+    from shardloom.operators import simmatch
+
+    rng = np.random.default_rng(5)
+    t, s, bank, probs = (rng.normal(size=(k, 3)) for k in (11, 11, 40, 40))
+    probs = np.abs(probs) / np.abs(probs).sum(axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(t, s, strict=True))], "id long, t array<double>, s array<double>")
+    queue = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(bank, probs, strict=True))], "slot long, v array<double>, p array<double>")
+    soft = lambda x: np.exp(x - x.max(axis=1, keepdims=True)) / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)
+    p, q = soft(t @ bank.T / 0.05), soft(s @ bank.T / 0.05)
+    monkeypatch.setattr(simmatch, "BLOCK_BYTES", 6 * 6 * 8)
+    got = {r["id"]: r for r in simmatch.relations(rows, queue, ["t", "s"], 0.05).collect()}
+    assert len(got) == 11
+    for i in range(11):
+        assert np.isclose(got[i]["edge"], -(p[i] * np.log(np.maximum(q[i], 1e-7))).sum()) and np.allclose(got[i]["expected"], q[i] @ probs)
+
+
+def test_traces_of_narrow_blocks_ship_rows_once_a_run(spark, monkeypatch):
+    """Blocks of two ids: a row goes to as many tasks as there are runs of 16 ids, and the sums are those of its blocks."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4))
+    label = [i % 3 if i % 4 == 0 else None for i in range(60)]
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label long")
+    monkeypatch.setattr(pair_trace, "SUPER", 16)
+    tasks, pairs = [], pair_trace._pairs
+    monkeypatch.setattr(pair_trace, "_pairs", lambda rows, *a: tasks.append(rows.select("block").distinct().count()) or pairs(rows, *a))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for band in (0.4, None):
+        got = {(r["kind"], r["left_block"], r["right_block"]): (r["candidates"], r["selected"], r["confident"], r["contribution"]) for r in pair_trace.block_trace(df, "embedding", 1.9, 0.5, band, width=2).collect()}
+        want = {}
+        for i in range(60):
+            for j in range(i + 1, 60):
+                if label[i] is None or label[j] is None:
+                    d = 2 - 2 * u[i] @ u[j]
+                    z = (1.9 - d) / 0.5
+                    w = want.setdefault(("uu" if label[i] is None and label[j] is None else "lu", i // 2, j // 2), np.zeros(4))
+                    chosen = band is None or abs(d - 1.9) <= band
+                    w += [1, chosen, abs(z) > np.log(9), (np.logaddexp(0, z) - z / (1 + np.exp(-z))) * chosen]
+        n = sum(w[1] for w in want.values())
+        assert set(got) == set(want)
+        assert all(np.allclose(got[k], (*w[:3], w[3] / n), atol=1e-12) for k, w in want.items())
+    assert tasks == [4, 4]
