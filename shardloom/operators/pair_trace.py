@@ -1,7 +1,8 @@
 """Which pairs make up a pairwise entropy objective: statistics of pairs of blocks that sum to the loss.
 
-Rows are dealt to blocks of consecutive ids; every pair of blocks is one task, which walks through its distances by matrix
-products and gives sums only. Single pairs are given for chosen pairs of blocks.
+Rows are dealt to blocks of consecutive ids; every pair of runs of ``SUPER`` ids is one task, which walks through its
+distances by matrix products and gives sums of each pair of blocks only, so a row is shipped once a run of the other side,
+however narrow blocks are. Single pairs are given for chosen pairs of blocks.
 """
 
 from __future__ import annotations
@@ -10,13 +11,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
+from .graph import _cut
 from .knn import vectors
 
-STEP = 1024
+STEP, TILE = 1024, 256
+#: Ids of a run of blocks, which is shipped as a whole.
+SUPER = 16384
 _SUMS = ["candidates", "selected", "entropy", "confident"]
 
 
@@ -40,7 +44,7 @@ def _pairs(rows: DataFrame, task: Callable[[pa.Table, pa.Table, bool], dict], sc
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         made = task(a.sort_by("id"), b.sort_by("id"), key[0] == key[1])
         size = len(next(iter(made.values())))
-        made |= {"left_block": [key[0].as_py()] * size, "right_block": [key[1].as_py()] * size}
+        made = {"left_block": [key[0].as_py()] * size, "right_block": [key[1].as_py()] * size} | made  # a task may name blocks of its own
         return pa.table({n: pa.array(made[n], t) for n, t in zip(names, types, strict=True)})
 
     keys = ["left_block", "right_block"]
@@ -71,7 +75,7 @@ def midpoint(rows: DataFrame, vec: str, fallback: float, id_col: str = "vec_id",
             out += [(p == q).sum(), d[p == q].sum(), (p != q).sum(), d[p != q].sum()]
         return dict(zip(("n1", "d1", "n2", "d2"), ([v] for v in out), strict=True))
 
-    labelled = _blocks(rows.where(F.col(label).isNotNull()), vec, id_col, label, width)
+    labelled = _blocks(rows.where(F.col(label).isNotNull()), vec, id_col, label, width if within else max(width, SUPER))  # only totals are asked for
     sums = _pairs(labelled, task, "n1 double,d1 double,n2 double,d2 double,left_block long,right_block long", _inside(labelled) if within else None)
     n1, d1, n2, d2 = sums.agg(*[F.sum(c) for c in ("n1", "d1", "n2", "d2")]).first()
     return (d1 / n1 + d2 / n2) / 2 if n1 and n2 else float(fallback)
@@ -84,6 +88,89 @@ def _terms(d: np.ndarray, eta: float, temperature: float, band: float | None) ->
     return logit, p, entropy, np.ones(len(d), dtype=bool) if band is None else np.abs(d - eta) <= band
 
 
+def _entropy(reach: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The entropy of ``sigmoid(z)`` for ``|z| <= reach``. It is an even function without singularities nearer than ``pi i``, so
+    for a small reach a short polynomial in z^2 has it to double precision; else by its definition."""
+    exact = lambda z: np.maximum(z, 0) + np.log(1 + np.exp(-np.abs(z))) - z / (1 + np.exp(-z))
+    if not 0 < reach <= 1.5:
+        return exact
+    near = 1 + 2 * np.pi**2 / reach**2  # the nearest singularity, where the interval is [-1, 1]
+    degree = int(np.ceil(37 / np.log(near + np.sqrt(near**2 - 1))))
+    fit = np.polynomial.Chebyshev.interpolate(lambda u: exact(np.sqrt(np.maximum(u, 0))), degree, [0, reach**2]).convert(kind=np.polynomial.Polynomial, domain=[0, reach**2])
+    low, scale = fit.mapparms()
+
+    def polynomial(z: np.ndarray) -> np.ndarray:
+        u = z * z
+        u *= scale
+        u += low
+        out = np.full_like(u, fit.coef[-1])
+        for c in fit.coef[-2::-1]:
+            out *= u
+            out += c
+        return out
+
+    return polynomial
+
+
+def _block_sums(a: pa.Table, b: pa.Table, same: bool, eta: float, temperature: float, band: float | None) -> dict:
+    """Sums of all pairs of blocks (column ``own``) of two runs, by kind. Rows of a block are sorted by whether they have a
+    label, so that both kinds are sums over rectangles. ``same``: both are one run; each pair of its rows counts once."""
+
+    def segments(t: pa.Table) -> tuple[np.ndarray, ...]:
+        block, free = t.column("own").to_numpy(), t.column("label").is_null().to_numpy()
+        order = np.lexsort((free, block))
+        block, free = block[order], free[order]
+        starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (free[1:] != free[:-1])])
+        cuts, ends = [0], np.r_[np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)]
+        for e, after in zip(ends.tolist(), [*ends[1:].tolist(), None], strict=True):  # of whole blocks, some TILE rows each, which stay in the cache
+            if after is None or after - cuts[-1] > TILE:
+                cuts.append(e)
+        return vectors(t)[order], starts, block[starts], free[starts], np.array(cuts)
+
+    x, xs, xb, xf, xc = segments(a)
+    y, ys, yb, yf, yc = segments(b)
+    count = lambda starts, n: np.diff(np.r_[starts, n])
+    entropy_of = _entropy(np.inf if band is None else band / temperature)
+    sums = np.zeros((3, len(xs), len(ys)))
+    for i, k in zip(xc[:-1], xc[1:], strict=True):
+        for j, m in zip(yc[:-1], yc[1:], strict=True):
+            if same and j < i:
+                continue
+            d = x[i:k] @ y[j:m].T
+            d *= -2
+            d += 2
+            if same and i == j:
+                np.fill_diagonal(d, np.nan)  # no pair of a row with itself
+            d -= eta
+            p, q = (slice(np.searchsorted(s, u), np.searchsorted(s, v)) for s, u, v in ((xs, i, k), (ys, j, m)))
+            add = lambda v: np.add.reduceat(np.add.reduceat(v, ys[q] - j, axis=1), xs[p] - i, axis=0)  # noqa: B023, E731
+            size = np.abs(d)
+            chosen = size <= (np.inf if band is None else band)
+            d /= -temperature
+            h = entropy_of(d)
+            h[~chosen] = 0
+            sums[0, p, q], sums[1, p, q] = add(chosen.astype(np.float64)), add(h)
+            sure = size > temperature * np.log(9)
+            if sure.any():
+                sums[2, p, q] = add(sure.astype(np.float64))
+    pairs = np.outer(count(xs, len(x)), count(ys, len(y))).astype(np.float64)
+    if same:
+        np.fill_diagonal(pairs, pairs.diagonal() - count(xs, len(x)))
+    parts = np.concatenate([pairs[None], sums])
+    left, lk = np.unique(xb, return_inverse=True)
+    right, rk = np.unique(yb, return_inverse=True)
+    names, out = ("kind", "left_block", "right_block", *_SUMS), []
+    for kind in ("uu", "lu"):
+        own = np.where((xf[:, None] & yf if kind == "uu" else xf[:, None] ^ yf), parts, 0)
+        total = np.zeros((4, len(left), len(right)))
+        np.add.at(total, (slice(None), lk[:, None], rk[None, :]), own)
+        if same:  # a block with itself has each pair twice
+            total[:, np.arange(len(left)), np.arange(len(left))] /= 2
+        i, j = np.nonzero((total[0] > 0) & ((left[:, None] <= right) if same else True))
+        out.append((np.full(len(i), kind), left[i], right[j], *total[:, i, j]))
+    return {n: np.concatenate(v) for n, v in zip(names, zip(*out, strict=True), strict=True)}
+
+
 def block_trace(rows: DataFrame, vec: str, eta: float, temperature: float, band: float | None = None, id_col: str = "vec_id", label: str = "label", width: int = 4096, within: bool = False) -> DataFrame:
     """(kind, left_block, right_block, candidates, selected, mean_entropy, weight, contribution) of pairs of two unlabelled
     rows (``uu``) and of a labelled with an unlabelled one (``lu``).
@@ -104,10 +191,15 @@ def block_trace(rows: DataFrame, vec: str, eta: float, temperature: float, band:
         kept = {k: v for k, v in sums.items() if v[0]}
         return {"kind": list(kept), **{n: [v[i] for v in kept.values()] for i, n in enumerate(_SUMS)}}
 
+    schema = "kind string," + ",".join(f"{c} double" for c in _SUMS) + ",left_block long,right_block long"
     dealt = _blocks(rows, vec, id_col, label, width)
-    found = _pairs(dealt, task, "kind string," + ",".join(f"{c} double" for c in _SUMS) + ",left_block long,right_block long", _inside(dealt) if within else None)
-    everything = F.sum("selected").over(Window.partitionBy())  # a row per pair of blocks
-    found = found.withColumn("_all", everything)
+    if within:
+        found = _pairs(dealt, task, schema, _inside(dealt))
+    else:
+        runs = dealt.withColumnRenamed("block", "own").withColumn("block", F.floor(F.col("own") / max(1, SUPER // width)).cast("long"))
+        found = _pairs(runs, lambda a, b, same: _block_sums(a, b, same, eta, temperature, band), schema)
+    found = _cut(found)
+    found = found.crossJoin(F.broadcast(found.agg(F.sum("selected").alias("_all"))))  # one row
     share = F.when(F.col("_all") > 0, F.col("selected") / F.col("_all")).otherwise(0.0)
     return found.select(
         "kind", "left_block", "right_block", F.col("candidates").cast("long").alias("candidates"), F.col("selected").cast("long").alias("selected"), F.col("confident").cast("long").alias("confident"),
