@@ -1,21 +1,28 @@
 """Symmetric positive definite systems over graphs, one right side per class, solved for all classes at once.
 
-Matrices are long (src, dst, a), unknowns long (node, class, value) with zeros left out. A round of conjugate gradients is
-one join of the matrix with the residuals, one partially aggregated sum by (node, class) and one aggregate by class, which
-has both dot products of the round (the recurrences below need them of the residual only) and comes to the driver, a row per
-class; no task holds a graph or a class. Each round is written, so a lost executor costs one round at most.
+Matrices are long (src, dst, a), unknowns long (node, class, value) with zeros left out. Inside, a row has a node's values
+of up to ``WIDE`` classes, so an entry of the matrix is joined once for all of them. A round of conjugate gradients is one
+join of the matrix with the residuals, one partially aggregated sum by node and one aggregate over nodes, which has both dot
+products of the round (the recurrences below need them of the residual only) and comes to the driver, two numbers per class;
+no task holds a graph or a class. Each round is written, so a lost executor costs one round at most, and the one before goes.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import forget
 from .graph import _cut
 
+#: Classes of a row.
+WIDE = 16
+
 
 def matrix(edges: DataFrame, nodes: DataFrame, off_diagonal: float = 1.0) -> DataFrame:
     """``diag(diagonal) + off_diagonal * W`` from edges (src, dst, w) and nodes (node, diagonal)."""
@@ -23,10 +30,17 @@ def matrix(edges: DataFrame, nodes: DataFrame, off_diagonal: float = 1.0) -> Dat
     return edges.select("src", "dst", (off_diagonal * F.col("w")).alias("a")).unionByName(diagonal).groupBy("src", "dst").agg(F.sum("a").alias("a"))
 
 
-def _times(a: DataFrame, x: DataFrame, column: str) -> DataFrame:
-    """Summands of ``a x``: (node, class, value)."""
-    x = x.select(F.col("node").alias("dst"), "class", F.col(column).alias("_x")).where("_x <> 0")
-    return a.join(x, "dst").select(F.col("src").alias("node"), "class", (F.col("a") * F.col("_x")).alias("value"))
+def _wide(rows: DataFrame, places: DataFrame, column: str, width: int, name: str) -> DataFrame:
+    """(node, _chunk, name0, name1, ...) of (node, class, column), summed; classes without a place are left out."""
+    value = lambda k: F.sum(F.when(F.col("_slot") == k, F.col(column)).otherwise(0.0)).alias(f"{name}{k}")
+    return rows.join(places, "class").groupBy("node", "_chunk").agg(*[value(k) for k in range(width)])
+
+
+def _times(a: DataFrame, x: DataFrame, name: str, width: int) -> DataFrame:
+    """``a x``: (node, _chunk, w0, w1, ...)."""
+    some = reduce(or_, [F.col(f"{name}{k}") != 0 for k in range(width)])
+    x = x.where(some).select(F.col("node").alias("dst"), "_chunk", *[f"{name}{k}" for k in range(width)])
+    return a.join(x, "dst").groupBy(F.col("src").alias("node"), "_chunk").agg(*[F.sum(F.col("a") * F.col(f"{name}{k}")).alias(f"w{k}") for k in range(width)])
 
 
 def conjugate_gradients(a: DataFrame, right: DataFrame, rounds: int = 1000, tolerance: float = 1e-8, strict: bool = True, start: DataFrame | None = None) -> DataFrame:
@@ -44,37 +58,68 @@ def conjugate_gradients(a: DataFrame, right: DataFrame, rounds: int = 1000, tole
     a = _cut(a)
     spark = a.sparkSession
     y = _cut(right.groupBy("node", "class").agg(F.sum("y").alias("y")).where("y <> 0"))
-    zero = F.lit(0.0)
     size = {r["class"]: r["n"] for r in y.groupBy("class").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("n")).collect()}
-    state = y.select("node", "class", zero.alias("x"), F.col("y").alias("r"), zero.alias("p"), zero.alias("q"))
-    if start is not None:
-        x = _cut(start.join(y.select("class").distinct(), "class", "left_semi").groupBy("node", "class").agg(F.sum("score").alias("x")))
-        less = _times(a, x, "x").select("node", "class", zero.alias("x"), (-F.col("value")).alias("r"), zero.alias("p"), zero.alias("q"))
-        state = _cut(_summed(state.unionByName(x.select("node", "class", "x", *[zero.alias(c) for c in "rpq"])).unionByName(less), ["x", "r", "p", "q"]))
+    if not size:
+        return y.select("node", "class", F.col("y").cast("double").alias("score"))
+    classes, width = list(size), min(WIDE, len(size))
+    place = {c: divmod(i, width) for i, c in enumerate(classes)}
+    kind = T.StructType([T.StructField("class", right.schema["class"].dataType), T.StructField("_chunk", T.IntegerType()), T.StructField("_slot", T.IntegerType())])
+    places = F.broadcast(spark.createDataFrame([(c, *at) for c, at in place.items()], kind))  # a row per class
+    every = lambda f: [f(k) for k in range(width)]
+    zeros = lambda names: every(lambda k: [F.lit(0.0).alias(f"{n}{k}") for n in names])
+    flat = lambda lists: [c for cs in lists for c in cs]
+    keys = ["node", "_chunk"]
+    state = _wide(y, places, "y", width, "r")
+    if start is None:
+        state = state.select(*keys, *every(lambda k: f"r{k}"), *flat(zeros("xpq")))
+    else:
+        x = _cut(_wide(start, places, "score", width, "x"))
+        less = _times(a, x, "x", width).select(*keys, *every(lambda k: (-F.col(f"w{k}")).alias(f"r{k}")), *flat(zeros("x")))
+        both = state.select(*keys, *every(lambda k: f"r{k}"), *flat(zeros("x"))).unionByName(x.select("*", *flat(zeros("r")))).unionByName(less)
+        sums = both.groupBy(*keys).agg(*flat(every(lambda k: [F.sum(f"{n}{k}").alias(f"{n}{k}") for n in "xr"])))
+        state = _cut(sums.select("*", *flat(zeros("pq"))))
     last: dict = {}  # class -> g and step of the round before; a row per class, as all that comes to the driver
+    rows = None
     for i in range(rounds + 1):
-        product = _times(a, state, "r").select("node", "class", *[zero.alias(c) for c in "xrpq"], F.col("value").alias("w"))
-        rows = _cut(_summed(state.withColumn("w", zero).unionByName(product), ["x", "r", "p", "q", "w"]))
-        dots = rows.groupBy("class").agg(F.sum(F.col("r") * F.col("r")).alias("g"), F.sum(F.col("r") * F.col("w")).alias("h")).collect()
+        product = _times(a, state, "r", width)
+        filled = flat(every(lambda k: [F.coalesce(f"{n}{k}", F.lit(0.0)).alias(f"{n}{k}") for n in "xrpqw"]))
+        before, rows = rows, _cut(state.join(product, keys, "full").select(*keys, *filled))
+        if before is not None:
+            forget(before)
+        found = rows.groupBy("_chunk").agg(*flat(every(lambda k: [F.sum(F.col(f"r{k}") * F.col(f"r{k}")), F.sum(F.col(f"r{k}") * F.col(f"w{k}"))]))).collect()
+        dots = {d[0]: d[1:] for d in found}
         moves, worst = {}, 0.0
-        for c, g, h in dots:
+        for c, (chunk, slot) in place.items():
+            g, h = dots[chunk][2 * slot : 2 * slot + 2]
             worst = max(worst, math.sqrt(g) / size[c])
             if math.sqrt(g) > tolerance * size[c]:
-                before = last.get(c)
-                b = g / before[0] if before else 0.0
-                moves[c] = (b, g / (h - (b * g / before[1] if before else 0.0)), g)
+                was = last.get(c)
+                b = g / was[0] if was else 0.0
+                moves[c] = (b, g / (h - (b * g / was[1] if was else 0.0)), g)
         if not moves or i == rounds:
             break
         last = {c: (g, s) for c, (_, s, g) in moves.items()}
-        f = spark.createDataFrame([(c, b, s) for c, (b, s, _) in moves.items()], T.StructType([T.StructField("class", right.schema["class"].dataType), T.StructField("b", T.DoubleType()), T.StructField("s", T.DoubleType())]))
-        p, q = F.col("r") + F.col("b") * F.col("p"), F.col("w") + F.col("b") * F.col("q")
-        rest = F.col("s").isNull()  # without a step a class rests: r, p and q become zero, so it takes no further part
-        moved = {"x": F.when(rest, F.col("x")).otherwise(F.col("x") + F.col("s") * p), "r": F.when(rest, zero).otherwise(F.col("r") - F.col("s") * q), "p": F.when(rest, zero).otherwise(p), "q": F.when(rest, zero).otherwise(q)}
-        state = rows.join(f, "class", "left").select("node", "class", *[v.alias(c) for c, v in moved.items()])
+        steps = [(int(chunk), *[float(moves[c][j]) if c in moves else None for j in (0, 1) for c in _row(classes, chunk, width)]) for chunk in range(-(-len(classes) // width))]
+        f = spark.createDataFrame(steps, T.StructType([T.StructField("_chunk", T.IntegerType()), *[T.StructField(f"{n}{k}", T.DoubleType()) for n in "bs" for k in range(width)]]))
+
+        def moved(k: int) -> list[Column]:
+            """Without a step a class rests: r, p and q become zero, so it takes no further part."""
+            x, r, p, q, w, b, s = (F.col(f"{n}{k}") for n in "xrpqwbs")
+            p, q, rest = r + b * p, w + b * q, s.isNull()
+            new = {"x": F.when(rest, x).otherwise(x + s * p), "r": F.when(rest, 0.0).otherwise(r - s * q), "p": F.when(rest, 0.0).otherwise(p), "q": F.when(rest, 0.0).otherwise(q)}
+            return [v.alias(f"{n}{k}") for n, v in new.items()]
+
+        state = rows.join(F.broadcast(f), "_chunk").select(*keys, *flat(every(moved)))
     if strict and moves:
         raise ValueError(f"no convergence in {rounds} rounds: {len(moves)} classes left, residual {worst:.3g}")
-    return rows.where("x <> 0").select("node", "class", F.col("x").alias("score"))
+    out = rows.select(*keys, F.posexplode(F.array(*every(lambda k: f"x{k}"))).alias("_slot", "score")).where("score <> 0")
+    return out.join(places, ["_chunk", "_slot"]).select("node", "class", "score")
+
+
+def _row(classes: list, chunk: int, width: int) -> list:
+    """A chunk's classes; the last one may have fewer, and then has places of no class."""
+    row = classes[chunk * width : (chunk + 1) * width]
+    return row + [_NONE] * (width - len(row))
 
 
-def _summed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.groupBy("node", "class").agg(*[F.sum(c).alias(c) for c in columns])
+_NONE = object()

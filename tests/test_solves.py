@@ -181,3 +181,12 @@ def test_metrics_leave_tasks_as_a_row_a_query(spark, monkeypatch, room):
     want = brute_metrics(list(range(80)), x, labels, (5,), [i for i in range(80) if i % 4 == 0], [i for i in range(80) if i % 4])
     assert stored[-1].count() == len(want) == len(got)
     assert all(np.allclose([got[k][c] for c in ("precision_at_1", "map_at_r", "r_precision", "hit_at_5")], want[k]) for k in want)
+
+
+def test_more_classes_than_a_row_has(spark, problem, monkeypatch):
+    a, y, m, right = problem
+    monkeypatch.setattr(solves, "WIDE", 2)  # three classes with right sides: two rows a node
+    x = np.linalg.solve(a, y)
+    for start in (None, long(spark, x + 0.1, "node long, class int, score double")):
+        got = solves.conjugate_gradients(m, right, 200, 1e-11, start=start)
+        assert np.allclose(dense(got.collect(), y.shape), x, atol=1e-9)
