@@ -14,6 +14,9 @@ from .factorisation import factored, patterns
 from .graph import _cut, components
 from .solves import conjugate_gradients, matrix
 
+#: Nodes of the largest component that is factored: its factor is at worst a dense block of 128 MB.
+FACTOR_NODES = 4096
+
 
 def normalised_edges(edges: DataFrame) -> DataFrame:
     """``D^-1/2 A D^-1/2``; nodes without weight have no edges here."""
@@ -104,7 +107,8 @@ def mixed_propagation(edges: DataFrame, node_ids: DataFrame, seeds: DataFrame, m
     """Laplacian solve, dissimilarity weights on its edges, and a second solve with both: (node, class, score).
 
     ``solver`` "cg" starts the second solve from the first one's scores; "factor" factors both systems, which have their
-    entries in the same places, by one set of patterns."""
+    entries in the same places, by one set of patterns. Components of more than ``FACTOR_NODES`` are solved by conjugate
+    gradients then too: their factor would fill up beyond a task's memory."""
     if solver not in ("cg", "factor"):
         raise ValueError(f"unknown solver {solver!r}")
     d = edges.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("_d"))
@@ -116,16 +120,27 @@ def mixed_propagation(edges: DataFrame, node_ids: DataFrame, seeds: DataFrame, m
         every = components(edges, node_ids, "node")
         # systems without a seed have the solution zero, and no factor: their matrix is singular
         component = _cut(every.join(every.join(seeds.select("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node", "component"))
+        wide = component.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FACTOR_NODES)
+        large = _cut(component.join(wide, "component", "left_semi").select("node"))
+        component = _cut(component.join(wide, "component", "left_anti"))
         known = patterns(first, component)
-        f0 = _cut(factored(first, component, right, known))
+
+        def solved(m: DataFrame, f: DataFrame | None = None) -> DataFrame:
+            own = lambda d, c: d.join(large.withColumnRenamed("node", c), c, "left_semi")
+            direct = factored(m, component, right, known)
+            if large.isEmpty():
+                return direct
+            return direct.unionByName(conjugate_gradients(own(m, "src"), own(right, "node"), rounds, tolerance, start=None if f is None else own(f, "node")))
+
+        f0 = _cut(solved(first))
     else:
         f0 = _cut(conjugate_gradients(first, right, rounds, tolerance))
     g = _cut(dissimilarity(edges, dense_rows(f0, nodes, class_list(seeds)), nodes, temperature))
     sums = g.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("_g"))
     both = edges.select("src", "dst", (-F.col("w")).alias("w")).unionByName(g.select("src", "dst", (2 * beta * F.col("w")).alias("w")))
-    wide = nodes.join(sums, "node", "left").select("node", (F.col("diagonal") + 2 * beta * F.coalesce("_g", F.lit(0.0))).alias("diagonal"))
-    second = matrix(both, wide)
-    return factored(second, component, right, known) if solver == "factor" else conjugate_gradients(second, right, rounds, tolerance, start=f0)
+    filled = nodes.join(sums, "node", "left").select("node", (F.col("diagonal") + 2 * beta * F.coalesce("_g", F.lit(0.0))).alias("diagonal"))
+    second = matrix(both, filled)
+    return solved(_cut(second), f0) if solver == "factor" else conjugate_gradients(second, right, rounds, tolerance, start=f0)
 
 
 def dissimilarity(edges: DataFrame, rows: DataFrame, nodes: DataFrame, temperature: float = 4.0) -> DataFrame:

@@ -87,3 +87,20 @@ def test_mixed_propagation_by_factors(spark):
     with pytest.raises(ValueError, match="solver"):
         propagation.mixed_propagation(edges, nodes, seeds, solver="lu")
     assert solves.matrix(edges, nodes.selectExpr("node", "1.0D as diagonal")).count() == edges.count() + 20
+
+
+def test_components_too_large_for_a_factor_are_solved_too(spark, monkeypatch):
+    """One component of 20 nodes and one of 3, where a task factors 8 at most."""
+    monkeypatch.setattr(propagation, "FACTOR_NODES", 8, raising=False)
+    monkeypatch.setattr(X, "MOST_NODES", 8)
+    w = np.zeros((23, 23))
+    rng = np.random.default_rng(7)
+    w[:20, :20] = np.triu(rng.random((20, 20)) * (rng.random((20, 20)) < 0.4), 1)
+    w[20, 21], w[21, 22] = 0.5, 0.25
+    w = w + w.T
+    edges = spark.createDataFrame([(int(p), int(q), float(w[p, q])) for p, q in zip(*np.nonzero(w), strict=True)], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(i,) for i in range(23)], "node long")
+    seeds = spark.createDataFrame([(0, 0), (5, 1), (9, 2), (20, 1)], "node long, class int")
+    one, two = ({(r["node"], r["class"]): r["score"] for r in propagation.mixed_propagation(edges, nodes, seeds, solver=s).collect()} for s in ("cg", "factor"))
+    assert {n for n, _ in two} == set(range(23))
+    assert set(one) == set(two) and all(abs(one[k] - two[k]) < 1e-8 for k in one)
